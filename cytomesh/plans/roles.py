@@ -6,9 +6,10 @@ Every role has a DataFrame form and a SQL form built from the same expressions.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from cytomesh.operators.core import with_scalars
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -96,7 +97,8 @@ def samples(spark, sf_dir) -> DataFrame:
         F.dayofmonth("ts").alias("iter"), F.col("user_id").alias("obs_id"), "ts", "event_id", "event_type"
     )
     seen = ev.groupBy("iter", "obs_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("label"))
-    grid = ev.select("iter").distinct().crossJoin(ev.select("obs_id").distinct())
+    days = ev.agg(F.collect_set("iter").alias("iters"))  # at most 31 days of a month
+    grid = with_scalars(ev.select("obs_id").distinct(), days).select("obs_id", F.explode("iters").alias("iter"))
     return grid.join(seen, ["iter", "obs_id"], "left").select(
         "iter", "obs_id", F.coalesce("label", F.lit("none")).alias("label")
     )
