@@ -81,13 +81,14 @@ def smallest_k(dist: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     order = np.argsort(ids, kind="stable")
     d = dist[:, order]
     k = min(k, d.shape[1])
-    if k < d.shape[1]:
-        # the k-th distance bounds the candidates; stable sort keeps id order among equals
-        kth = np.partition(d, k - 1, axis=1)[:, k - 1 : k]
-        width = int((d <= kth).sum(1).max())
-        cols = np.argsort(np.where(d <= kth, d, np.inf), axis=1, kind="stable")[:, : min(width, d.shape[1])][:, :k]
-    else:
-        cols = np.argsort(d, axis=1, kind="stable")
+    if k == d.shape[1]:
+        return order[np.argsort(d, axis=1, kind="stable")]
+    part = np.sort(np.argpartition(d, k - 1, axis=1)[:, :k], axis=1)
+    val = np.take_along_axis(d, part, 1)
+    cols = np.take_along_axis(part, np.argsort(val, axis=1, kind="stable"), 1)
+    tied = np.flatnonzero((d <= val.max(1, keepdims=True)).sum(1) > k)
+    if len(tied):  # the partition may have dropped a smaller id among equals
+        cols[tied] = np.argsort(d[tied], axis=1, kind="stable")[:, :k]
     return order[cols]
 
 

@@ -21,8 +21,9 @@ from cytomesh.functions.kernels import smallest_k
 from cytomesh.operators.core import cut_lineage, salted_join, top_k_per_group, union_all
 
 DEPTH = 30  # levels of the finest grid
-LEAF_ROWS = 1024  # a leaf is split while it holds more
+LEAF_ROWS = 512  # a leaf is split while it holds more
 LEAVES_PER_TASK = 32  # query leaves that one group of the second round may receive
+SMALL_CANDIDATES = 4096  # up to this many candidates are carried to the queries as they are
 SLACK = 1 + 1e-9  # radii are widened by this before comparing
 KEY = ["realm", "lv", "cx", "cy"]
 
@@ -31,13 +32,18 @@ def _parent(c: str, steps) -> Column:
     return F.expr(f"shiftright({c}, cast({steps} as int))")
 
 
-def assign_leaves(rows: DataFrame, leaf_rows: int = LEAF_ROWS) -> tuple[DataFrame, float]:
-    """Adds the leaf key (lv, cx, cy) to rows with (realm, x, y, weight); returns the rows and the grid's side."""
+def _tasks(df: DataFrame) -> int:
+    """Partitions for the numeric kernels; adaptive coalescing looks at bytes and would put them in one task."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.sparkSession.sparkContext.defaultParallelism)
+
+
+def assign_leaves(rows: DataFrame, leaf_rows: int = LEAF_ROWS) -> tuple[DataFrame, float, float, float]:
+    """Adds the leaf key (lv, cx, cy) to rows with (realm, x, y); returns the rows and the grid's side and corner."""
     ext = rows.agg(
-        F.sum("weight").alias("n"), F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")
+        F.count(F.lit(1)).alias("n"), F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")
     ).first()
-    if ext["n"] is None:
-        return rows.withColumns({"lv": F.lit(0), "cx": F.lit(0).cast("bigint"), "cy": F.lit(0).cast("bigint")}), 1.0
+    if ext["n"] == 0:
+        return rows.withColumns({"lv": F.lit(0), "cx": F.lit(0).cast("bigint"), "cy": F.lit(0).cast("bigint")}), 1.0, 0.0, 0.0
     span = max(ext["x1"] - ext["x0"], ext["y1"] - ext["y0"]) * (1 + 1e-12) or 1.0
     top = 2**DEPTH - 1
 
@@ -45,7 +51,8 @@ def assign_leaves(rows: DataFrame, leaf_rows: int = LEAF_ROWS) -> tuple[DataFram
         return F.least(F.floor((F.col(c) - F.lit(lo)) / F.lit(span) * F.lit(float(2**DEPTH))), F.lit(top)).cast("bigint")
 
     rest = rows.withColumns({"_ix": fine("x", ext["x0"]), "_iy": fine("y", ext["y0"])})
-    level = min(DEPTH, max(0, math.ceil(math.log(max(ext["n"] / (leaf_rows / 2), 1), 4))))
+    short = max(min(ext["x1"] - ext["x0"], ext["y1"] - ext["y0"]), span / 256)
+    level = min(DEPTH, max(0, math.ceil(math.log(max(ext["n"] / (leaf_rows / 2) * span / short, 1), 4))))
     parts = []
     while True:
         up = DEPTH - level
@@ -55,9 +62,8 @@ def assign_leaves(rows: DataFrame, leaf_rows: int = LEAF_ROWS) -> tuple[DataFram
         if level == DEPTH:
             parts.append(keyed)
             break
-        heavy = cut_lineage(
-            keyed.groupBy("realm", "cx", "cy").agg(F.sum("weight").alias("n")).where(F.col("n") > leaf_rows)
-        ).select("realm", "cx", "cy", F.lit(True).alias("_heavy"))
+        size = keyed.groupBy("realm", "cx", "cy").agg(F.count(F.lit(1)).alias("n"))
+        heavy = size.where(F.col("n") > leaf_rows).select("realm", "cx", "cy", F.lit(True).alias("_heavy"))
         if heavy.isEmpty():
             parts.append(keyed)
             break
@@ -65,26 +71,25 @@ def assign_leaves(rows: DataFrame, leaf_rows: int = LEAF_ROWS) -> tuple[DataFram
         parts.append(flagged.where(F.col("_heavy").isNull()).drop("_heavy"))
         rest = flagged.where("_heavy").drop("_heavy", "lv", "cx", "cy")
         level = min(DEPTH, level + 2)
-    return union_all(parts).drop("_ix", "_iy"), span
+    return union_all(parts).drop("_ix", "_iy"), span, ext["x0"], ext["y0"]
 
 
 def _leaf_stats(tree: DataFrame, need: int, foreign: bool, span: float) -> DataFrame:
     """Per leaf: box of its candidates and a radius within which every query of the leaf surely finds enough."""
-    size = F.when(F.col("is_c"), F.size("ids")).otherwise(0)
     cx = F.when(F.col("is_c"), F.col("x"))
     cy = F.when(F.col("is_c"), F.col("y"))
-    labs = F.when(F.col("is_c"), F.col("labs"))
+    lab = F.when(F.col("is_c"), F.col("lab"))
     leaf = tree.groupBy(*KEY).agg(
-        F.sum(size).alias("nc"),
+        F.count_if("is_c").alias("nc"),
         F.min(cx).alias("bx0"), F.max(cx).alias("bx1"), F.min(cy).alias("by0"), F.max(cy).alias("by1"),
-        F.min(F.array_min(labs)).alias("lo"), F.max(F.array_max(labs)).alias("hi"),
+        F.min(lab).alias("lo"), F.max(lab).alias("hi"),
         F.max(F.col("is_q")).alias("has_q"),
     )
 
     def enough(df_lo="lo", df_hi="hi", df_n="nc") -> Column:
         return (F.col(df_lo) != F.col(df_hi)) if foreign else (F.col(df_n) >= need)
 
-    leaf = cut_lineage(leaf.withColumn("ok", F.coalesce(enough(), F.lit(False))))
+    leaf = leaf.withColumn("ok", F.coalesce(enough(), F.lit(False)))
     lacking = leaf.where(~F.col("ok") & F.col("has_q"))
     levels = F.sequence(F.lit(0), F.col("lv"))
     anc = leaf.select("realm", "nc", "lo", "hi", "lv", "cx", "cy", F.explode(levels).alias("al")).select(
@@ -153,112 +158,182 @@ def _reached_leaves(local: DataFrame, stats: DataFrame, span: float, x0: float,
     return near.select(*cols[:11]).distinct()
 
 
-def _best(qx, qy, qlab, radius, cand: pd.DataFrame, need: int, foreign: bool):
-    """Per query: ids and distances of the nearest candidates, and the radius after looking here."""
-    size = cand["ids"].map(len).to_numpy()
-    if not len(cand) or size.sum() == 0:
-        none = [np.array([], dtype=np.int64)] * len(qx)
-        return none, [np.array([])] * len(qx), radius
-    cx, cy = np.repeat(cand["x"].to_numpy(), size), np.repeat(cand["y"].to_numpy(), size)
-    ids = np.concatenate(cand["ids"].to_list())
-    labs = np.concatenate(cand["labs"].to_list()) if foreign else None
-    out_i, out_d, out_r = [], [], np.array(radius, float)
-    step = max(1, 4_000_000 // len(ids))
+def _nearest(qx, qy, qlab, radius, cx, cy, cid, clab, need: int, foreign: bool):
+    """Flat result: query position, neighbour id, distance (NaN when there is none), the query's new radius.
+
+    Candidates farther than the radius are left out. A query that finds none keeps one row without neighbour.
+    """
+    parts = []
+    step = max(1, 4_000_000 // max(len(cid), 1))
     for a in range(0, len(qx), step):
-        dx, dy = qx[a : a + step, None] - cx[None, :], qy[a : a + step, None] - cy[None, :]
+        rows = np.arange(a, min(a + step, len(qx)))
+        rad = radius[rows].astype(float)
+        if len(cid) == 0:
+            parts.append((rows, np.zeros(len(rows), dtype=cid.dtype), np.full(len(rows), np.nan), rad))
+            continue
+        dx, dy = qx[rows, None] - cx[None, :], qy[rows, None] - cy[None, :]
         d = np.sqrt(dx * dx + dy * dy)
         if foreign:
-            d[qlab[a : a + step, None] == labs[None, :]] = np.inf
-        pick = smallest_k(d, ids, need)
+            d[qlab[rows, None] == clab[None, :]] = np.inf
+        pick = smallest_k(d, cid, need)
         dist = np.take_along_axis(d, pick, 1)
-        limit = out_r[a : a + step] * SLACK
-        for row in range(len(pick)):
-            ok = np.isfinite(dist[row]) & (dist[row] <= limit[row])
-            out_i.append(ids[pick[row][ok]])
-            out_d.append(dist[row][ok])
-            if ok.sum() >= need:
-                out_r[a + row] = min(out_r[a + row], dist[row][ok][need - 1])
-    return out_i, out_d, out_r
+        ok = np.isfinite(dist) & (dist <= rad[:, None] * SLACK)
+        if dist.shape[1] >= need:
+            rad = np.minimum(rad, np.where(ok[:, need - 1], dist[:, need - 1], np.inf))
+        none = ~ok.any(1)
+        ok[none, 0] = True
+        r, c = np.nonzero(ok)
+        parts.append((rows[r], cid[pick[r, c]], np.where(none[r], np.nan, dist[r, c]), rad[r]))
+    return [np.concatenate(v) for v in zip(*parts)]
+
+
+def _search_groups(df: DataFrame, spread: Sequence[str], keys: Sequence[str], out: Sequence[str], id_type: str, need: int, foreign: bool) -> DataFrame:
+    """Run the kernel on every group of ``keys``; a group holds candidate rows (is_c) and query rows (is_q, radius).
+
+    Rows are partitioned by ``spread`` and sorted by group, so one Python call walks through many small groups
+    of an Arrow batch instead of paying the start of a call per group. A group may continue in the next batch.
+    """
+    names = list(keys)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        cols = {c: pdf[c].to_numpy() for c in ("x", "y", "lab", "qlab", "radius")}
+        ids, is_c, is_q = pdf["id"].to_numpy(), pdf["is_c"].to_numpy(bool), pdf["is_q"].to_numpy(bool)
+        change = np.zeros(len(pdf), dtype=bool)
+        for k in names:
+            v = pdf[k].to_numpy()
+            change[1:] |= v[1:] != v[:-1]
+        starts = np.concatenate([[0], np.flatnonzero(change), [len(pdf)]])
+        found = []
+        for a, b in zip(starts[:-1], starts[1:]):
+            q, c = a + np.flatnonzero(is_q[a:b]), a + np.flatnonzero(is_c[a:b])
+            if len(q):
+                cid = ids[c].astype(np.int64) if id_type in ("bigint", "int") else ids[c]
+                res = _nearest(
+                    cols["x"][q], cols["y"][q], cols["qlab"][q], cols["radius"][q],
+                    cols["x"][c], cols["y"][c], cid, cols["lab"][c], need, foreign,
+                )
+                res[0] = q[res[0]]
+                found.append(res)
+        if not found:
+            return pd.DataFrame(columns=[*out, "nid", "nd", "radius"])
+        pos, nid, nd, rad = (np.concatenate(v) for v in zip(*found))
+        res = pdf.iloc[pos][list(out)].reset_index(drop=True)
+        res["nid"], res["nd"], res["radius"] = nid, nd, rad
+        return res
+
+    def kernel(batches):
+        rest = None
+        for pdf in batches:
+            if len(pdf) == 0:
+                continue
+            pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
+            last = np.ones(len(pdf), dtype=bool)
+            for k in names:
+                v = pdf[k].to_numpy()
+                last &= v == v[-1]
+            cut = len(pdf) - int(last.sum())
+            if cut:
+                yield run(pdf.iloc[:cut])
+            rest = pdf.iloc[cut:]
+        if rest is not None and len(rest):
+            yield run(rest)
+
+    types = dict(df.dtypes)
+    schema = ", ".join(f"{c} {types[c]}" for c in out) + f", nid {id_type}, nd double, radius double"
+    placed = df.repartition(_tasks(df), *spread).sortWithinPartitions(*names)
+    return placed.mapInPandas(kernel, schema)
 
 
 def search(rows: DataFrame, need: int, foreign: bool = False, id_type: str = "bigint", leaf_rows: int = LEAF_ROWS) -> DataFrame:
-    """The core search. ``rows``: realm, x, y, is_c, ids, labs (candidates), is_q, qlab (queries).
+    """The core search. ``rows``: realm, x, y, is_c, id, lab (candidates), is_q, qlab (queries).
 
     Returns realm, x, y, qlab, near = array of (d, id), at most ``need`` entries in (distance, id) order.
     """
-    weight = F.greatest(F.when(F.col("is_c"), F.size("ids")).otherwise(0), F.lit(1))
-    tree, span = assign_leaves(rows.withColumn("weight", weight), leaf_rows)
-    tree = cut_lineage(tree.drop("weight"))
-    corner = tree.agg(F.min("x").alias("x0"), F.min("y").alias("y0")).first()
+    tree, span, x0, y0 = assign_leaves(rows, leaf_rows)
+    tree = cut_lineage(tree)
     stats = cut_lineage(_leaf_stats(tree, need, foreign, span))
-    schema = (
-        "realm string, x double, y double, qlab bigint, lv int, cx bigint, cy bigint, radius double, "
-        f"nid array<{id_type}>, nd array<double>"
+    with_bound = tree.join(stats.select(*KEY, F.col("bound").alias("radius")), KEY)
+    local = cut_lineage(
+        _search_groups(with_bound, KEY[1:], KEY, ["realm", "x", "y", "qlab", *KEY[1:]], id_type, need, foreign)
     )
 
-    def first_round(pdf: pd.DataFrame) -> pd.DataFrame:
-        q = pdf[pdf["is_q"]]
-        cand = pdf[pdf["is_c"]]
-        i, d, r = _best(
-            q["x"].to_numpy(), q["y"].to_numpy(), q["qlab"].to_numpy(), q["bound"].to_numpy(), cand, need, foreign
-        )
-        return pd.DataFrame(
-            {
-                "realm": q["realm"], "x": q["x"], "y": q["y"], "qlab": q["qlab"], "lv": q["lv"], "cx": q["cx"], "cy": q["cy"],
-                "radius": r, "nid": pd.Series(i, index=q.index, dtype=object), "nd": pd.Series(d, index=q.index, dtype=object),
-            }
-        )
-
-    with_bound = tree.join(stats.select(*KEY, "bound"), KEY)
-    local = cut_lineage(with_bound.groupBy(*KEY).applyInPandas(first_round, schema))
-
-    pairs = _reached_leaves(local, stats, span, corner["x0"] or 0.0, corner["y0"] or 0.0)
+    pairs = _reached_leaves(local, stats, span, x0, y0)
     target = ["realm", "tlv", "tcx", "tcy"]
     lot = F.floor((F.row_number().over(W.partitionBy(*target).orderBy("qlv", "qcx", "qcy")) - 1) / LEAVES_PER_TASK)
     pairs = cut_lineage(pairs.withColumn("lot", lot.cast("int")))
     gap_x = F.greatest(F.col("bx0") - F.col("x"), F.col("x") - F.col("bx1"), F.lit(0.0))
     gap_y = F.greatest(F.col("by0") - F.col("y"), F.col("y") - F.col("by1"), F.lit(0.0))
-    asking = local.select(
-        "realm", "x", "y", "qlab", "radius", *[F.col(c).alias(f"q{c}") for c in ("lv", "cx", "cy")]
-    ).join(pairs, ["realm", "qlv", "qcx", "qcy"]).where(
+    group = [*target, "lot"]
+    queries = local.groupBy("realm", "x", "y", "qlab", *[F.col(c).alias(f"q{c}") for c in KEY[1:]]).agg(F.min("radius").alias("radius"))
+    asking = queries.join(pairs, ["realm", "qlv", "qcx", "qcy"]).where(
         F.sqrt(gap_x * gap_x + gap_y * gap_y) <= F.col("radius") * SLACK
-    ).select("realm", "x", "y", "qlab", "radius", "tlv", "tcx", "tcy", "lot")
-    lots = pairs.select(*target, "lot").distinct()
+    )
     offered = tree.where("is_c").select(
-        "realm", "x", "y", "ids", "labs", *[F.col(c).alias(f"t{c}") for c in ("lv", "cx", "cy")]
-    ).join(lots, target)
-
-    def second_round(q: pd.DataFrame, cand: pd.DataFrame) -> pd.DataFrame:
-        i, d, _ = _best(q["x"].to_numpy(), q["y"].to_numpy(), q["qlab"].to_numpy(), q["radius"].to_numpy(), cand, need, foreign)
-        return pd.DataFrame(
-            {
-                "realm": q["realm"], "x": q["x"], "y": q["y"], "qlab": q["qlab"],
-                "nid": pd.Series(i, index=q.index, dtype=object), "nd": pd.Series(d, index=q.index, dtype=object),
-            }
+        "realm", "x", "y", "id", "lab", *[F.col(c).alias(f"t{c}") for c in KEY[1:]]
+    ).join(pairs.select(*group).distinct(), target)
+    no_id, no_lab = F.lit(None).cast(id_type).alias("id"), F.lit(None).cast("bigint")
+    second = asking.select(
+        *group, "x", "y", no_id, no_lab.alias("lab"), "qlab", "radius", F.lit(False).alias("is_c"), F.lit(True).alias("is_q")
+    ).unionByName(
+        offered.select(
+            *group, "x", "y", "id", "lab", no_lab.alias("qlab"), F.lit(None).cast("double").alias("radius"),
+            F.lit(True).alias("is_c"), F.lit(False).alias("is_q"),
         )
-
-    group = [*target, "lot"]
-    remote = asking.groupBy(*group).cogroup(offered.groupBy(*group)).applyInPandas(
-        second_round, f"realm string, x double, y double, qlab bigint, nid array<{id_type}>, nd array<double>"
     )
+    remote = _search_groups(second, group[1:], group, ["realm", "x", "y", "qlab"], id_type, need, foreign)
     cols = ["realm", "x", "y", "qlab", "nid", "nd"]
-    both = local.select(*cols).unionByName(remote.select(*cols))
-    zipped = F.zip_with("nd", "nid", lambda d, i: F.struct(d.alias("d"), i.alias("id")))
-    # each side brings at most `need` entries per leaf reached
-    merged = both.select("realm", "x", "y", "qlab", zipped.alias("z")).groupBy("realm", "x", "y", "qlab").agg(
-        F.flatten(F.collect_list("z")).alias("z")
+    both = local.select(*cols).unionByName(remote.select(*cols)).where(F.col("nd").isNotNull() & ~F.isnan("nd"))
+    # each leaf that was reached brings at most `need` entries
+    merged = both.groupBy("realm", "x", "y", "qlab").agg(
+        F.sort_array(F.collect_list(F.struct(F.col("nd").alias("d"), F.col("nid").alias("id")))).alias("z")
     )
-    return merged.select("realm", "x", "y", "qlab", F.slice(F.sort_array("z"), 1, need).alias("near"))
+    return merged.select("realm", "x", "y", "qlab", F.slice("z", 1, need).alias("near"))
 
 
 def _locations(points: DataFrame, keep: int) -> DataFrame:
-    """realm, x, y, ids: at each location the ``keep`` smallest ids."""
-    few = top_k_per_group(points, ["realm", "x", "y"], [F.asc("id")], keep)
-    return few.groupBy("realm", "x", "y").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+    """At each location the rows with the ``keep`` smallest ids; ``rk`` 1 is the first."""
+    return top_k_per_group(points, ["realm", "x", "y"], [F.asc("id")], keep)
+
+
+def _knn_small(asks: DataFrame, cand: pd.DataFrame, k: int, self_join: bool, id_type: str) -> DataFrame:
+    """Queries of any number against a checked handful of candidates: a map-only pass."""
+    groups = {r: (g["x"].to_numpy(), g["y"].to_numpy(), g["id"].to_numpy()) for r, g in cand.groupby("realm")}
+
+    def kernel(batches):
+        for pdf in batches:
+            for r, q in pdf.groupby("realm"):
+                if r not in groups:
+                    continue
+                cx, cy, ids = groups[r]
+                step = max(1, 4_000_000 // len(ids))
+                for a in range(0, len(q), step):
+                    part = q.iloc[a : a + step]
+                    dx, dy = part["x"].to_numpy()[:, None] - cx, part["y"].to_numpy()[:, None] - cy
+                    d = np.sqrt(dx * dx + dy * dy)
+                    if self_join:
+                        d[part["id"].to_numpy()[:, None] == ids[None, :]] = np.inf
+                    pick = smallest_k(d, ids, k)
+                    dist = np.take_along_axis(d, pick, 1)
+                    n = pick.shape[1]
+                    out = pd.DataFrame(
+                        {
+                            "src": np.repeat(part["id"].to_numpy(), n), "dst": ids[pick].ravel(), "d": dist.ravel(),
+                            "rk": np.tile(np.arange(1, n + 1, dtype=np.int32), len(part)),
+                        }
+                    )
+                    yield out[np.isfinite(out["d"])]
+
+    src_type = dict(asks.dtypes)["id"]
+    return asks.repartition(_tasks(asks)).mapInPandas(kernel, f"src {src_type}, dst {id_type}, d double, rk int")
 
 
 def knn_join(
-    queries: DataFrame | None, candidates: DataFrame, k: int, realm: str | None = None, leaf_rows: int = LEAF_ROWS
+    queries: DataFrame | None,
+    candidates: DataFrame,
+    k: int,
+    realm: str | None = None,
+    leaf_rows: int = LEAF_ROWS,
+    small: int = SMALL_CANDIDATES,
 ) -> DataFrame:
     """src, dst, d, rk: the k nearest candidates of every query, smaller id first among equal distances.
 
@@ -271,18 +346,18 @@ def knn_join(
     pos = [F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")]
     cand = candidates.select(tag.alias("realm"), "id", *pos)
     asks = cand if self_join else queries.select(tag.alias("realm"), "id", *pos)
+    id_type = dict(cand.dtypes)["id"]
+    few = cand.limit(small + 1).toPandas() if small else None
+    if few is not None and len(few) <= small:
+        return _knn_small(asks, few, k, self_join, id_type)
     places = _locations(cand, need)
-    none = F.lit(None).cast("array<bigint>")
-    if self_join:
-        rows = places.withColumns({"is_c": F.lit(True), "is_q": F.lit(True)})
-    else:
-        rows = (
-            places.withColumn("is_c", F.lit(True))
-            .join(asks.select("realm", "x", "y").distinct().withColumn("is_q", F.lit(True)), ["realm", "x", "y"], "full")
-            .withColumns({"is_c": F.coalesce("is_c", F.lit(False)), "is_q": F.coalesce("is_q", F.lit(False))})
+    rows = places.select("realm", "x", "y", "id", F.lit(True).alias("is_c"), (F.lit(self_join) & (F.col("rk") == 1)).alias("is_q"))
+    if not self_join:
+        spots = asks.select("realm", "x", "y").distinct()
+        rows = rows.unionByName(
+            spots.select("realm", "x", "y", F.lit(None).cast(id_type).alias("id"), F.lit(False).alias("is_c"), F.lit(True).alias("is_q"))
         )
-    id_type = dict(cand.dtypes)["id"]
-    rows = rows.withColumns({"labs": none, "qlab": F.lit(0).cast("bigint")})
+    rows = rows.withColumns({"lab": F.lit(0).cast("bigint"), "qlab": F.lit(0).cast("bigint")})
     near = search(rows, need, id_type=id_type, leaf_rows=leaf_rows).drop("qlab")
     out = salted_join(asks.withColumnRenamed("id", "src"), near, ["realm", "x", "y"])
     picked = F.filter("near", lambda e: e["id"] != F.col("src")) if self_join else F.col("near")
@@ -300,17 +375,15 @@ def nearest_foreign(points: DataFrame, asking: DataFrame | None = None, leaf_row
     unit = p.groupBy("realm", "x", "y", "qlab").agg(F.min("id").alias("id"))
     # two different labels per location are enough to serve any asking label
     two = top_k_per_group(unit, ["realm", "x", "y"], [F.asc("id")], 2)
-    entry = F.sort_array(F.collect_list(F.struct("id", "qlab")))
-    places = two.groupBy("realm", "x", "y").agg(entry.alias("e")).select(
-        "realm", "x", "y", F.transform("e", lambda s: s["id"]).alias("ids"), F.transform("e", lambda s: s["qlab"]).alias("labs"),
-        F.lit(True).alias("is_c"), F.lit(False).alias("is_q"), F.lit(None).cast("bigint").alias("qlab"),
+    places = two.select(
+        "realm", "x", "y", "id", F.col("qlab").alias("lab"), F.lit(True).alias("is_c"), F.lit(False).alias("is_q"), F.lit(None).cast("bigint").alias("qlab"),
     )
     ask = unit if asking is None else salted_join(unit, asking.select(F.col("label").cast("bigint").alias("qlab")).distinct(), ["qlab"])
     ask_rows = ask.select(
-        "realm", "x", "y", F.lit(None).cast("array<bigint>").alias("ids"), F.lit(None).cast("array<bigint>").alias("labs"),
+        "realm", "x", "y", F.lit(None).cast(dict(unit.dtypes)["id"]).alias("id"), F.lit(None).cast("bigint").alias("lab"),
         F.lit(False).alias("is_c"), F.lit(True).alias("is_q"), "qlab",
     )
-    near = search(places.unionByName(ask_rows), 1, foreign=True, leaf_rows=leaf_rows).where(F.size("near") > 0)
+    near = search(places.unionByName(ask_rows), 1, foreign=True, id_type=dict(unit.dtypes)["id"], leaf_rows=leaf_rows).where(F.size("near") > 0)
     own = near.join(unit, ["realm", "x", "y", "qlab"]).select(
         F.col("qlab").alias("label"), F.col("id").alias("src"), F.col("near")[0]["id"].alias("dst"), F.col("near")[0]["d"].alias("d")
     )
