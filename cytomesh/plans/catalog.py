@@ -1,3 +1,3 @@
 """Imports every plan module, which registers its queries."""
 
-from cytomesh.plans import agreement, aggregates, tables  # noqa: F401
+from cytomesh.plans import agreement, aggregates, modelling, spatial, tables  # noqa: F401
