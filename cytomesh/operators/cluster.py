@@ -12,7 +12,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cytomesh.operators.core import cut_lineage, quantiles, salted_join, top_k_per_group, union_all, with_scalars
+from cytomesh.operators.core import cut_lineage, quantiles_long, salted_join, top_k_per_group, union_all, with_scalars
 from cytomesh.operators.graph import connected_components
 from cytomesh.operators.metrics import ari
 
@@ -30,13 +30,14 @@ def select_hvg(moments: DataFrame, n: int = 2000, span: float = 0.3, min_mean: f
     g = moments.where(F.col("mean") > min_mean).select(
         "gene_id", "mean", "variance", F.log10(F.col("mean") + 1).alias("x"), F.log10(F.col("variance") + 1).alias("y")
     )
-    probs = {}
+    names, probs = [], []
     for i in range(ANCHORS):
         q = i / (ANCHORS - 1)
         lo = min(max(q - span / 2, 0.0), 1 - span)
-        probs.update({f"c{i}": q, f"l{i}": lo, f"h{i}": lo + span})
-    pos = quantiles(g, "x", probs).first()
-    if pos is None or pos["c0"] is None:
+        names += [f"c{i}", f"l{i}", f"h{i}"]
+        probs += [q, lo, lo + span]
+    pos = {names[row["i"]]: row["q"] for row in quantiles_long(g, "x", probs).collect()}  # three rows per anchor
+    if not pos:
         return g.select("gene_id", "mean", "variance", F.lit(0.0).alias("residual"), F.lit(False).alias("highly_variable"))
     anchors = []
     for i in range(ANCHORS):

@@ -124,6 +124,24 @@ def quantiles(df: DataFrame, value: str, probs: dict[str, float], by: Sequence[s
     return grouped.select(*by, *outs)
 
 
+def quantiles_long(df: DataFrame, value: str, probs: Sequence[float]) -> DataFrame:
+    """i, q: the same quantiles for a long list of probabilities, one row each."""
+    c = cumulative_counts(df, value)
+    arr = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("p")) for i, p in enumerate(probs)])
+    h = F.transform(arr, lambda a: F.struct(a["i"].alias("i"), ((F.col("total") - 1) * a["p"]).alias("h")))
+    upto = F.col("before") + F.col("cnt")
+
+    def holds(pos: Column) -> Column:
+        return (F.col("before") <= pos) & (pos < upto)
+
+    hit = c.select("value", "before", "cnt", F.explode(F.filter(h, lambda a: holds(F.floor(a["h"])) | holds(F.ceil(a["h"])))).alias("e"))
+    lo, hi = F.floor("e.h"), F.ceil("e.h")
+    g = hit.groupBy(F.col("e.i").alias("i")).agg(
+        F.max(F.when(holds(lo), F.col("value"))).alias("a"), F.max(F.when(holds(hi), F.col("value"))).alias("b"), F.max(F.col("e.h") - lo).alias("f")
+    )
+    return g.select("i", (F.col("a") + (F.col("b") - F.col("a")) * F.col("f")).alias("q"))
+
+
 def average_ranks(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
     """``by, value, ties, avg_rank``: mid-rank of each distinct value inside its group."""
     c = cumulative_counts(df, value, by)

@@ -197,7 +197,7 @@ def _cell_graph(spark, sf_dir, k: int = 6):
 _KRUSKAL = (
     "eo AS (SELECT row_number() OVER (ORDER BY d, src, dst) AS rn, src, dst, d FROM und), "
     "kr(rn, comp, used) AS (SELECT 0::BIGINT, (SELECT list(id ORDER BY id) FROM c), false UNION ALL "
-    "SELECT eo.rn, CASE WHEN comp[src + 1] = comp[dst + 1] THEN comp ELSE list_transform(comp, v -> CASE WHEN v = comp[dst + 1] THEN comp[src + 1] ELSE v END) END, "
+    "SELECT eo.rn, CASE WHEN comp[src + 1] = comp[dst + 1] THEN comp ELSE list_transform(comp, lambda v: CASE WHEN v = comp[dst + 1] THEN comp[src + 1] ELSE v END) END, "
     "comp[src + 1] <> comp[dst + 1] FROM kr JOIN eo ON eo.rn = kr.rn + 1), "
     "tree AS (SELECT src, dst, d FROM eo JOIN kr USING (rn) WHERE used)"
 )
@@ -237,14 +237,14 @@ def g15(spark, sf_dir):
     "G16_same_label_targets",
     f"WITH RECURSIVE {_RAD}, {_SAME_EDGES}, {_closure_sql('same', 'points')}, "
     "cp AS (SELECT component, label, count(*) AS n, avg(x) AS x, avg(y) AS y FROM cc JOIN points USING (id) GROUP BY 1, 2), "
-    f"big AS (SELECT a.component, b.component AS target, row_number() OVER (PARTITION BY a.component ORDER BY round({_DIST}, 9), b.component) AS rn FROM cp a JOIN cp b ON a.label = b.label AND b.n >= 8 WHERE a.n < 8) "
+    f"big AS (SELECT a.component, b.component AS target, row_number() OVER (PARTITION BY a.component ORDER BY round({_DIST}, 9), b.component) AS rn FROM cp a JOIN cp b ON a.label = b.label AND b.n >= 3 WHERE a.n < 3) "
     "SELECT component, target FROM big WHERE rn = 1",
 )
 def g16(spark, sf_dir):
     p = R.points(spark, sf_dir)
     m = G.spatial_components(N.radius_graph(p, _R), p).join(p, "id")
     comps = m.groupBy("component", "label").agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("x"), F.avg("y").alias("y"))
-    return G.same_label_targets(cut_lineage(comps), 8)
+    return G.same_label_targets(cut_lineage(comps), 3)
 
 
 def _heap_tree(df):
