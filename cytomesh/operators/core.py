@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 SALTS = 16
 RANGE_BUCKETS = 64
+RANGE_VALUES = 100_000  # distinct values one running sum may see
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -64,12 +65,19 @@ def with_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
     return df.join(F.broadcast(one_row))
 
 
+def _running_counts(vc: DataFrame, by: list[str]) -> DataFrame:
+    """Running counts of groups that are known to be of bounded size."""
+    w = W.partitionBy(*by) if by else W.partitionBy(F.lit(0))
+    before = F.sum("cnt").over(w.orderBy("value")) - F.col("cnt")
+    return vc.select(*by, "value", "cnt", before.alias("before"), F.sum("cnt").over(w).alias("total"))
+
+
 def cumulative_counts(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
     """``by, value, cnt, before, total``: rows per distinct value and how many come earlier.
 
-    Values are first collapsed to (value, count). Each group is then cut into value ranges taken from a
-    mergeable quantile sketch, so that a running sum never sees more than one range of one group. The
-    sketch decides balance only; the counts are exact.
+    Values are first collapsed to (value, count). Groups with more than RANGE_VALUES distinct values are cut
+    into value ranges taken from a mergeable quantile sketch, so that a running sum never sees more than one
+    range of one group. The sketch decides balance only; the counts are exact.
     """
     by = list(by)
     vc = (
@@ -79,14 +87,20 @@ def cumulative_counts(df: DataFrame, value: str, by: Sequence[str] = ()) -> Data
     )
     probs = [i / RANGE_BUCKETS for i in range(1, RANGE_BUCKETS)]
     sketch = F.percentile_approx("value", probs, F.lit(20 * RANGE_BUCKETS)).alias("cuts")
+    n_values = F.count(F.lit(1)).alias("n_values")
     if by:
-        cuts = cut_lineage(vc.groupBy(*by).agg(sketch))
-        vc = salted_join(vc, cuts, by)
+        large = vc.groupBy(*by).agg(n_values).where(F.col("n_values") > RANGE_VALUES).select(*by)
+        cuts = cut_lineage(salted_join(vc, large, by).groupBy(*by).agg(sketch))
+        if cuts.isEmpty():
+            return _running_counts(vc, by)
+        cut_at = F.coalesce(F.size(F.filter("cuts", lambda c: c < F.col("value"))), F.lit(0))
+        vc = salted_join(vc, cuts, by, "left").withColumn("rb", F.greatest(cut_at, F.lit(0))).drop("cuts")
     else:
-        row = vc.agg(sketch).first()
-        cuts_lit = F.array(*[F.lit(c) for c in (row["cuts"] or [])]) if row["cuts"] else F.array(F.lit(0.0))
-        vc = vc.withColumn("cuts", cuts_lit)
-    vc = vc.withColumn("rb", F.size(F.filter("cuts", lambda c: c < F.col("value")))).drop("cuts")
+        row = vc.agg(n_values, sketch).first()
+        if row["n_values"] <= RANGE_VALUES:
+            return _running_counts(vc, by)
+        cuts_lit = F.array(*[F.lit(c) for c in row["cuts"]])
+        vc = vc.withColumn("rb", F.size(F.filter(cuts_lit, lambda c: c < F.col("value"))))
     ranges = vc.groupBy(*by, "rb").agg(F.sum("cnt").alias("range_cnt"))
     w = W.partitionBy(*by) if by else W.partitionBy(F.lit(0))
     ranges = ranges.select(

@@ -24,14 +24,16 @@ SALTS = 4
 def _roots(parent: DataFrame) -> DataFrame:
     """(u, parent) pointers of a forest -> (u, root) by pointer doubling; log2(depth) rounds."""
     p = cut_lineage(parent)
+
+    def double(q: DataFrame) -> DataFrame:
+        up = q.select(F.col("u").alias("parent"), F.col("parent").alias("_up"))
+        j = salted_join(q.select("u", "parent"), up, ["parent"], salts=SALTS)
+        return j.select("u", F.col("_up").alias("parent"), (F.col("_up") != F.col("parent")).alias("moved"))
+
     while True:
-        up = p.select(F.col("u").alias("parent"), F.col("parent").alias("_up"))
-        p2 = salted_join(p, up, ["parent"], salts=SALTS).select("u", F.col("_up").alias("parent"), (F.col("_up") != F.col("parent")).alias("moved"))
-        p2 = cut_lineage(p2)
-        moved = not p2.where("moved").isEmpty()
-        p = p2.select("u", "parent")
-        if not moved:
-            return p.withColumnRenamed("parent", "root")
+        p = cut_lineage(double(double(p)))  # four steps up per round
+        if p.where("moved").isEmpty():
+            return p.select("u", F.col("parent").alias("root"))
 
 
 def _relabel(edges: DataFrame, roots: DataFrame) -> DataFrame:
