@@ -12,7 +12,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cytomesh.operators.core import cut_lineage, quantiles_long, salted_join, top_k_per_group, union_all, with_scalars
+from cytomesh.operators.core import cut_lineage, quantiles_long, salted_join, union_all, with_scalars
 from cytomesh.operators.graph import connected_components
 from cytomesh.operators.metrics import ari
 
@@ -253,5 +253,5 @@ def score_cuts(tree: DataFrame, features: DataFrame, cut_eids: DataFrame, p: int
 
 
 __all__ = [
-    "select_hvg", "dense_features", "pca", "kmeans", "gmm", "sweep", "select_k", "marginal_loglik", "score_cuts", "top_k_per_group",
+    "select_hvg", "dense_features", "pca", "kmeans", "gmm", "sweep", "select_k", "marginal_loglik", "score_cuts",
 ]

@@ -243,8 +243,8 @@ def geodesic(edges: DataFrame, sources: DataFrame, verts: DataFrame, weight: str
     front = best
 
     def spread(f: DataFrame) -> DataFrame:
-        j = salted_join(f.withColumnRenamed("id", "src"), arcs.groupBy("src").agg(F.collect_list(F.struct("dst", "w")).alias("out")), ["src"], salts=SALTS)
-        return j.select("source", F.explode("out").alias("o"), "d").select("source", F.col("o.dst").alias("id"), (F.col("d") + F.col("o.w")).alias("d"))
+        j = salted_join(arcs, f.withColumnRenamed("id", "src"), ["src"], salts=SALTS)  # a hub's arcs are spread
+        return j.select("source", F.col("dst").alias("id"), (F.col("d") + F.col("w")).alias("d"))
 
     for _ in range(max_rounds):
         one = spread(front).groupBy("source", "id").agg(F.min("d").alias("d"))

@@ -59,7 +59,7 @@ def label_codes(df: DataFrame, column: str, out: str = "code") -> DataFrame:
     """Dense 1-based codes in sorted label order; NULL stays NULL. Labels are few, rows are many."""
     levels = df.select(column).where(F.col(column).isNotNull()).distinct()
     coded = levels.withColumn(out, F.dense_rank().over(W.partitionBy(F.lit(0)).orderBy(column)))
-    return df.join(coded, column, "left")
+    return salted_join(df, coded, [column], "left")
 
 
 def adapt_result(df: DataFrame, label: str, offset: int = 0, swap_xy: bool = False) -> DataFrame:

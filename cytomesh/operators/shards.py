@@ -19,7 +19,7 @@ from cytomesh.functions.kernels import transport_cost, w2_cov_term
 from cytomesh.operators.blocks import block_pairs
 from cytomesh.operators.core import cut_lineage, hashed_row_index, salted_join, top_k_per_group, with_scalars
 from cytomesh.operators.metrics import ari
-from cytomesh.operators.prep import centroids, cov_matrix, proportions, quantiles
+from cytomesh.operators.prep import centroids, cov_matrix, proportions
 
 # --------------------------------------------------------------------------- sharding
 
@@ -31,8 +31,8 @@ def assign_shards(df: DataFrame, n_shards: int, key: str = "cell_id", seed: int
 
 
 def sample_n(df: DataFrame, n: int, key: str = "cell_id", seed: int = 1) -> DataFrame:
-    """Exactly n rows (or all), chosen by hash order; a distributed top-n."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), F.col(key)).limit(n)
+    """Exactly n rows (or all) from a hashed order; no task gathers the sample."""
+    return hashed_row_index(df, key, seed).where(F.col("row_index") < n).drop("row_index")
 
 
 def map_shards(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str | T.StructType, key: str = "shard_id") -> DataFrame:
@@ -252,5 +252,5 @@ def kmeans_by_shard(cells: DataFrame, k: int, p: int, iters: int = 10, seed: int
 __all__: Sequence[str] = [
     "assign_shards", "sample_n", "map_shards", "shard_summary", "shard_scores", "cost_matrix", "soft_assign",
     "hard_assign", "confidence", "global_params", "select_reference_shard", "align", "final_assignments",
-    "kmeans_by_shard", "quantiles", "gaussian_w2", "shard_distances",
+    "kmeans_by_shard", "gaussian_w2", "shard_distances",
 ]

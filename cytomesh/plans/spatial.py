@@ -237,7 +237,7 @@ def g15(spark, sf_dir):
     "G16_same_label_targets",
     f"WITH RECURSIVE {_RAD}, {_SAME_EDGES}, {_closure_sql('same', 'points')}, "
     "cp AS (SELECT component, label, count(*) AS n, avg(x) AS x, avg(y) AS y FROM cc JOIN points USING (id) GROUP BY 1, 2), "
-    f"big AS (SELECT a.component, b.component AS target, row_number() OVER (PARTITION BY a.component ORDER BY round({_DIST}, 9), b.component) AS rn FROM cp a JOIN cp b ON a.label = b.label AND b.n >= 3 WHERE a.n < 3) "
+    f"big AS (SELECT a.component, b.component AS target, row_number() OVER (PARTITION BY a.component ORDER BY round({_DIST}, 9), b.component) AS rn FROM cp a JOIN cp b ON a.label = b.label AND a.component <> b.component AND (b.n >= 3 OR a.label NOT IN (SELECT label FROM cp WHERE n >= 3)) WHERE a.n < 3) "
     "SELECT component, target FROM big WHERE rn = 1",
 )
 def g16(spark, sf_dir):

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from cytomesh.functions import columns as C
@@ -12,10 +10,8 @@ from cytomesh.operators import prep as P
 from cytomesh.plans import roles as R
 from cytomesh.plans.registry import query
 from cytomesh.plans.sql import (
-    CELL_RINGS,
     CROSSES_RAY_SQL,
     ON_SEGMENT_SQL,
-    RINGS,
     SEG_DIST_SQL,
     SEG_T_SQL,
     r,
@@ -110,7 +106,7 @@ def s3(spark, sf_dir):
     return readers.read_shards(spark, f"{path}/*", r"Shard_(\d+)_proportions", readers.PROPORTIONS_SCHEMA, companions)
 
 
-@query("S4_read_boundary", f"WITH {vertices_sql(RINGS)}, p AS (SELECT nation.n_nationkey AS polygon_id, (c_custkey % 3)::INTEGER AS ring_id, c_custkey AS seq, c_acctbal AS x, c_custkey::DOUBLE AS y FROM customer JOIN nation ON c_nationkey = n_nationkey) "
+@query("S4_read_boundary", "WITH p AS (SELECT nation.n_nationkey AS polygon_id, (c_custkey % 3)::INTEGER AS ring_id, c_custkey AS seq, c_acctbal AS x, c_custkey::DOUBLE AS y FROM customer JOIN nation ON c_nationkey = n_nationkey) "
     "SELECT * FROM (SELECT polygon_id, ring_id, seq, x AS x1, y AS y1, coalesce(lead(x) OVER w, first_value(x) OVER w) AS x2, "
     "coalesce(lead(y) OVER w, first_value(y) OVER w) AS y2 FROM p WINDOW w AS (PARTITION BY polygon_id, ring_id ORDER BY seq)) WHERE x1 <> x2 OR y1 <> y2")
 def s4(spark, sf_dir):
