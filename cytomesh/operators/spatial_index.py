@@ -366,28 +366,54 @@ def knn_join(
     )
 
 
-def nearest_foreign(points: DataFrame, asking: DataFrame | None = None, leaf_rows: int = LEAF_ROWS) -> DataFrame:
+def _foreign_small(ask: DataFrame, cand: pd.DataFrame, id_type: str) -> DataFrame:
+    """The closest candidate of another label, for a checked handful of candidates: a map-only pass."""
+    cx, cy, ids, labs = (cand[c].to_numpy() for c in ("x", "y", "id", "qlab"))
+
+    def kernel(batches):
+        for pdf in batches:
+            if len(pdf) and len(ids):
+                res = _nearest(
+                    pdf["x"].to_numpy(), pdf["y"].to_numpy(), pdf["qlab"].to_numpy(), np.full(len(pdf), np.inf), cx, cy, ids, labs, 1, True
+                )
+                out = pdf.iloc[res[0]][["id", "qlab"]].reset_index(drop=True)
+                out["nid"], out["nd"] = res[1], res[2]
+                yield out[np.isfinite(out["nd"])]
+
+    return ask.select("id", "x", "y", "qlab").mapInPandas(kernel, f"id {id_type}, qlab bigint, nid {id_type}, nd double").select(
+        F.col("qlab").alias("label"), F.col("id").alias("src"), F.col("nid").alias("dst"), F.col("nd").alias("d")
+    )
+
+
+def nearest_foreign(
+    points: DataFrame, asking: DataFrame | None = None, leaf_rows: int = LEAF_ROWS, small: int = SMALL_CANDIDATES
+) -> DataFrame:
     """label, src, dst, d: for every label group the closest pair to a point of another group.
 
     ``points``: id, x, y, label (integers). ``asking(label)`` limits the groups that look for a partner.
     """
     p = points.select(F.lit("").alias("realm"), "id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), F.col("label").cast("bigint").alias("qlab"))
     unit = p.groupBy("realm", "x", "y", "qlab").agg(F.min("id").alias("id"))
+    ask = unit if asking is None else salted_join(unit, asking.select(F.col("label").cast("bigint").alias("qlab")).distinct(), ["qlab"])
+    id_type = dict(unit.dtypes)["id"]
+    best = F.min(F.struct("d", F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), "src", "dst")).alias("m")
+    few = unit.limit(small + 1).toPandas() if small else None
+    if few is not None and len(few) <= small:
+        own = _foreign_small(ask, few, id_type)
+        return own.groupBy("label").agg(best).select("label", "m.src", "m.dst", "m.d")
     # two different labels per location are enough to serve any asking label
     two = top_k_per_group(unit, ["realm", "x", "y"], [F.asc("id")], 2)
     places = two.select(
         "realm", "x", "y", "id", F.col("qlab").alias("lab"), F.lit(True).alias("is_c"), F.lit(False).alias("is_q"), F.lit(None).cast("bigint").alias("qlab"),
     )
-    ask = unit if asking is None else salted_join(unit, asking.select(F.col("label").cast("bigint").alias("qlab")).distinct(), ["qlab"])
     ask_rows = ask.select(
-        "realm", "x", "y", F.lit(None).cast(dict(unit.dtypes)["id"]).alias("id"), F.lit(None).cast("bigint").alias("lab"),
+        "realm", "x", "y", F.lit(None).cast(id_type).alias("id"), F.lit(None).cast("bigint").alias("lab"),
         F.lit(False).alias("is_c"), F.lit(True).alias("is_q"), "qlab",
     )
-    near = search(places.unionByName(ask_rows), 1, foreign=True, id_type=dict(unit.dtypes)["id"], leaf_rows=leaf_rows).where(F.size("near") > 0)
+    near = search(places.unionByName(ask_rows), 1, foreign=True, id_type=id_type, leaf_rows=leaf_rows).where(F.size("near") > 0)
     own = near.join(unit, ["realm", "x", "y", "qlab"]).select(
         F.col("qlab").alias("label"), F.col("id").alias("src"), F.col("near")[0]["id"].alias("dst"), F.col("near")[0]["d"].alias("d")
     )
-    best = F.min(F.struct("d", F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), "src", "dst")).alias("m")
     return own.groupBy("label").agg(best).select("label", "m.src", "m.dst", "m.d")
 
 

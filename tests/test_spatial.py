@@ -46,8 +46,9 @@ def test_far_queries(spark, cloud):
     assert as_dict(got) == brute(q, cloud, 2, False)
 
 
-def test_nearest_foreign(spark, cloud):
-    got = nearest_foreign(spark.createDataFrame(cloud), leaf_rows=64).toPandas().set_index("label")
+@pytest.mark.parametrize("small", [0, 4096])
+def test_nearest_foreign(spark, cloud, small):
+    got = nearest_foreign(spark.createDataFrame(cloud), leaf_rows=64, small=small).toPandas().set_index("label")
     for lab, own in cloud.groupby("label"):
         other = cloud[cloud.label != lab]
         best = min(np.sqrt((other.x - r.x) ** 2 + (other.y - r.y) ** 2).min() for r in own.itertuples())
