@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from cytomesh.llm import sharding
+from cytomesh.llm import mixing, sharding
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
+    "op2_mixing": mixing.op2_mixing,
 }
 
 ORACLES = {
     "op1_sharding": sharding.SHARDING_SQL,
+    "op2_mixing": mixing.MIXING_SQL,
 }

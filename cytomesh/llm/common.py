@@ -55,13 +55,18 @@ def crc32_of(column: str) -> Column:
     return F.crc32(F.col(column).cast("string"))
 
 
-def join_small(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
-    """Null-safe join with a table unique per key; broadcast only after its rows were counted.
+def is_small(df: DataFrame) -> bool:
+    """Whether a count allows this table to be broadcast."""
+    return df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+
+
+def join_small(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left", small: bool | None = None) -> DataFrame:
+    """Null-safe join with a table unique per key; broadcast only after its rows were counted (``small``: before).
 
     Larger tables go through a shuffle join, whose hot partitions adaptive execution splits.
     """
     right = right.select(*[F.col(c).alias(f"_r_{c}") if c in keys else F.col(c) for c in right.columns])
-    if right.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    if is_small(right) if small is None else small:
         right = F.broadcast(right)
     cond = None
     for k in keys:
