@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from cytomesh.llm import mixing, sharding
+from cytomesh.llm import mixing, quality, sharding
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
     "op2_mixing": mixing.op2_mixing,
+    "op8_quality_rules": quality.op8_quality_rules,
 }
 
 ORACLES = {
     "op1_sharding": sharding.SHARDING_SQL,
     "op2_mixing": mixing.MIXING_SQL,
+    "op8_quality_rules": quality.QUALITY_SQL,
 }
