@@ -32,9 +32,9 @@ TOKENIZER = "word_bpe_49k.json"
 END_ID = 0
 #: Lengths above this share of a sequence are grouped; the rest is small.
 SMALL_SHARE = 8
-GROUPS = 96
+GROUPS = 512
 #: A configuration is used when its rounded lengths leave at most so much of a sequence free.
-SLACK = 48
+SLACK = 8
 #: Words whose ids a Python worker keeps at a time; others are tokenized again.
 CACHE_WORDS = 300_000
 #: White space for str.split, but not for the vocabulary.
@@ -218,28 +218,32 @@ def make_plan(counts: dict[int, int], capacity: int = CAPACITY, n_groups: int =
     groups = _groups(counts, small, n_groups)
     rounded = [g[0] for g in groups]
     open_ = [sum(counts[x] for x in g) for g in groups]
-    while any(open_):
-        take = _configuration(rounded, open_, capacity)
-        if capacity - sum(t * r for t, r in zip(take, rounded, strict=True)) > SLACK:
-            break
-        times = min(o // t for o, t in zip(open_, take, strict=True) if t)
-        first = plan.sequences
-        plan.sequences += times
-        runs = [(first, times, 0)]  # first sequence, sequences, tokens so far
-        for g, t in enumerate(take):
-            open_[g] -= t * times
-            for _ in range(t):
-                grown = []
-                for start, n, filled in runs:
-                    while n:
-                        length = next(x for x in groups[g] if plan.left[x])
-                        m = min(n, plan.left[length])
-                        plan.place(length, start, m, 1, m, filled)
-                        grown.append((start, m, filled + length))
-                        start, n = start + m, n - m
-                runs = grown
-        for start, n, filled in runs:
-            plan.leave(capacity - filled, start, n)
+    for largest, size in enumerate(rounded):
+        while open_[largest]:
+            # every configuration holds the largest open size, whose partners are the hardest to find
+            rest = [n - (g == largest) for g, n in enumerate(open_)]
+            take = _configuration(rounded, rest, capacity - size)
+            take[largest] += 1
+            if capacity - sum(t * r for t, r in zip(take, rounded, strict=True)) > SLACK:
+                break
+            times = min(o // t for o, t in zip(open_, take, strict=True) if t)
+            first = plan.sequences
+            plan.sequences += times
+            runs = [(first, times, 0)]  # first sequence, sequences, tokens so far
+            for g, t in enumerate(take):
+                open_[g] -= t * times
+                for _ in range(t):
+                    grown = []
+                    for start, n, filled in runs:
+                        while n:
+                            length = next(x for x in groups[g] if plan.left[x])
+                            m = min(n, plan.left[length])
+                            plan.place(length, start, m, 1, m, filled)
+                            grown.append((start, m, filled + length))
+                            start, n = start + m, n - m
+                    runs = grown
+            for start, n, filled in runs:
+                plan.leave(capacity - filled, start, n)
     for length in sorted(counts, reverse=True):
         plan.best_fit(length)
     return plan
