@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from cytomesh.llm import mixing, packing, quality, sharding
+from cytomesh.llm import langid, mixing, packing, quality, sharding
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
     "op2_mixing": mixing.op2_mixing,
+    "op4_language_id": langid.op4_language_id,
     "op8_quality_rules": quality.op8_quality_rules,
     "op9_packing": packing.op9_packing,
 }
