@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from cytomesh.llm import langid, mixing, packing, quality, sharding
+from cytomesh.llm import langid, mixing, packing, quality, sharding, warc
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
     "op2_mixing": mixing.op2_mixing,
+    "op3_warc": warc.op3_warc,
     "op4_language_id": langid.op4_language_id,
     "op8_quality_rules": quality.op8_quality_rules,
     "op9_packing": packing.op9_packing,
@@ -15,5 +16,6 @@ QUERIES = {
 ORACLES = {
     "op1_sharding": sharding.SHARDING_SQL,
     "op2_mixing": mixing.MIXING_SQL,
+    "op3_warc": warc.WARC_SQL,
     "op8_quality_rules": quality.QUALITY_SQL,
 }
