@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cytomesh.llm import langid, mixing, packing, quality, sharding, warc
+from cytomesh.llm import langid, mixing, neardup, packing, quality, sharding, warc
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_warc": warc.op3_warc,
     "op4_language_id": langid.op4_language_id,
     "op8_quality_rules": quality.op8_quality_rules,
+    "op6_near_duplicates": neardup.op6_near_duplicates,
     "op9_packing": packing.op9_packing,
 }
 
