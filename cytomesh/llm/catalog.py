@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cytomesh.llm import langid, mixing, neardup, packing, quality, sharding, warc
+from cytomesh.llm import langid, mixing, neardup, packing, quality, sharding, topk, warc
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
@@ -12,6 +12,7 @@ QUERIES = {
     "op8_quality_rules": quality.op8_quality_rules,
     "op6_near_duplicates": neardup.op6_near_duplicates,
     "op9_packing": packing.op9_packing,
+    "op10_topk_search": topk.op10_topk_search,
 }
 
 ORACLES = {
@@ -19,4 +20,5 @@ ORACLES = {
     "op2_mixing": mixing.MIXING_SQL,
     "op3_warc": warc.WARC_SQL,
     "op8_quality_rules": quality.QUALITY_SQL,
+    "op10_topk_search": topk.TOPK_SQL,
 }
