@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cytomesh.llm import langid, mixing, neardup, packing, quality, sharding, topk, warc
+from cytomesh.llm import chat, langid, mixing, neardup, packing, quality, sharding, topk, warc
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_warc": warc.op3_warc,
     "op4_language_id": langid.op4_language_id,
     "op8_quality_rules": quality.op8_quality_rules,
+    "op5_chat_formatting": chat.op5_chat_formatting,
     "op6_near_duplicates": neardup.op6_near_duplicates,
     "op9_packing": packing.op9_packing,
     "op10_topk_search": topk.op10_topk_search,
@@ -20,5 +21,6 @@ ORACLES = {
     "op2_mixing": mixing.MIXING_SQL,
     "op3_warc": warc.WARC_SQL,
     "op8_quality_rules": quality.QUALITY_SQL,
+    "op5_chat_formatting": chat.CHAT_SQL,
     "op10_topk_search": topk.TOPK_SQL,
 }
