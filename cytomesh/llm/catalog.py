@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cytomesh.llm import chat, langid, mixing, neardup, packing, quality, sharding, topk, warc
+from cytomesh.llm import chat, langid, mixing, neardup, packing, quality, scoring, sharding, topk, warc
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
@@ -12,6 +12,7 @@ QUERIES = {
     "op8_quality_rules": quality.op8_quality_rules,
     "op5_chat_formatting": chat.op5_chat_formatting,
     "op6_near_duplicates": neardup.op6_near_duplicates,
+    "op7_lm_scoring": scoring.op7_lm_scoring,
     "op9_packing": packing.op9_packing,
     "op10_topk_search": topk.op10_topk_search,
 }
