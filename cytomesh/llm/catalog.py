@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from cytomesh.llm import chat, langid, mixing, neardup, packing, quality, scoring, sharding, topk, warc
 
 QUERIES = {
@@ -15,6 +16,7 @@ QUERIES = {
     "op7_lm_scoring": scoring.op7_lm_scoring,
     "op9_packing": packing.op9_packing,
     "op10_topk_search": topk.op10_topk_search,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES = {
@@ -25,3 +27,6 @@ ORACLES = {
     "op5_chat_formatting": chat.CHAT_SQL,
     "op10_topk_search": topk.TOPK_SQL,
 }
+
+if corpus_pipeline.ORACLE_SQL is not None:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

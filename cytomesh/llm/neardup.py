@@ -347,5 +347,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
 
 
+def without_duplicates(docs: DataFrame) -> DataFrame:
+    """The rows of the documents that stay, one of every group; of equal rows with one id, one."""
+    found = written(near_duplicates(docs.select("doc_id", "text")).where("kept").select(F.col("doc_id").alias("_kept")))
+    rows = found.count()
+    ids = found.distinct()
+    stay = docs.join(F.broadcast(ids) if rows <= NARROW_ROWS else ids, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    # texts are dealt by id only if some id is there twice
+    return stay if ids.count() == rows else stay.dropDuplicates(["doc_id", "text"])
+
+
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_shingles", "component_id", "kept")
