@@ -94,7 +94,7 @@ class ArchiveWriter:
     def __init__(self, folder: str, name: str):
         self.fs, base = pafs.FileSystem.from_uri(folder)
         self.fs.create_dir(base, recursive=True)
-        self.path, self.stream = f"{folder}/{name}", self.fs.open_output_stream(f"{base}/{name}")
+        self.path, self.stream = f"{folder}/{name}", self.fs.open_output_stream(f"{base}/{name}", compression=None)
         self.waiting: list[bytes] = []
         self.compressor: zstandard.ZstdCompressor | None = None
         self.records = self.bytes = self.raw = 0
@@ -133,7 +133,7 @@ class ArchiveWriter:
 def read_records(uri: str, chunk: int = 1 << 20) -> Iterator[bytes]:
     """Records of a file in order, with no more in memory than a record and a chunk."""
     fs, path = pafs.FileSystem.from_uri(uri)
-    with fs.open_input_stream(path) as stream:
+    with fs.open_input_stream(path, compression=None) as stream:
         magic, size = struct.unpack("<II", stream.read(8))
         if magic != DICTIONARY_MAGIC:
             raise ValueError(f"{uri} does not start with a dictionary")
