@@ -16,7 +16,10 @@ Empty tables give an empty result. Extra columns are not read. Pieces that a doc
 from __future__ import annotations
 
 import re
+import string
+import unicodedata
 import zlib
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -32,7 +35,7 @@ TOKENIZER = "word_bpe_49k.json"
 END_ID = 0
 #: Lengths above this share of a sequence are grouped; the rest is small.
 SMALL_SHARE = 8
-GROUPS = 512
+GROUPS = (512, 64, 0)
 #: A configuration is used when its rounded lengths leave at most so much of a sequence free.
 SLACK = 8
 #: Words whose ids a Python worker keeps at a time; others are tokenized again.
@@ -48,29 +51,61 @@ def _words(text: str) -> list[str]:
     return re.split(r"[ \t\n\r\x0b\x0c]+", text) if NOT_SPACE.search(text) else text.split()
 
 
+#: Characters of the byte-level alphabet, fixed by the vocabulary: printable bytes stand for themselves, others follow 255.
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_ALPHABET = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in set(_PRINTABLE))}
+MARKS = "".join(c for c in string.punctuation if c != "'")
+
+
+class _Words(dict):
+    """Ids of words, made when they are first asked for."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, word: str) -> bytes:
+        self[word] = ids = self.make(word)
+        return ids
+
+
 class WordTokenizer:
-    """Ids of whole texts. The vocabulary drops white space, so a text's ids are those of its words in order."""
+    """Ids of whole texts. The vocabulary drops white space, so a text's ids are those of its words in order.
+
+    Words of letters, with or without closing marks, go straight to the merges; all others through the whole tokenizer.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
+        self.merges = self.tokenizer.model.tokenize
+        self.known, self.letters, self.marks = _Words(self._word), _Words(self._letters), _Words(self._whole)
+
+    def _whole(self, word: str) -> bytes:
+        return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+
+    def _letters(self, low: str) -> bytes:
+        """Ids of one run of lower-case, composed letters."""
+        if not low.isascii():
+            low = low.encode().decode("latin-1").translate(BYTE_ALPHABET)
+        return array("I", [t.id for t in self.merges(low)]).tobytes()
+
+    def _word(self, word: str) -> bytes:
+        stem = word if word.isalpha() else word.rstrip(MARKS)
+        low = stem.lower()
+        if not low.isalpha() or not stem.isalpha() or not (stem.isascii() or ("Σ" not in stem and unicodedata.is_normalized("NFC", stem))):
+            return self._whole(word)
+        return self.letters[low] + (self.marks[word[len(stem) :]] if len(stem) < len(word) else b"")
 
     def ids(self, texts: list[str], end_id: int) -> list[bytes]:
         """Little-endian 32-bit ids of each text and the closing id."""
-        split = [_words(t) for t in texts]
-        known = self.known
-        new = list(set().union(*split) - known.keys())
-        if len(known) + len(new) > CACHE_WORDS:
-            known.clear()
-            new = list(set().union(*split))
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            for word, enc in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                known[word] = np.asarray(enc.ids, dtype="<u4").tobytes()
-        end = np.asarray([end_id], dtype="<u4").tobytes()
-        return [b"".join(map(known.__getitem__, w)) + end for w in split]
+        end, get = array("I", [end_id]).tobytes(), self.known.__getitem__
+        out = [b"".join(map(get, _words(t))) + end for t in texts]
+        for kept in (self.known, self.letters, self.marks):
+            if len(kept) > CACHE_WORDS:
+                kept.clear()
+        return out
 
 
 def _parts(text: str, size: int = 1 << 20) -> Iterator[str]:
@@ -212,10 +247,15 @@ def _configuration(sizes: list[int], open_: list[int], capacity: int) -> list[in
     return take
 
 
-def make_plan(counts: dict[int, int], capacity: int = CAPACITY, n_groups: int = GROUPS) -> Plan:
+def make_plan(counts: dict[int, int], capacity: int = CAPACITY) -> Plan:
+    """The plan with the fewest sequences over some numbers of groups; with none, all lengths go best-fit."""
+    return min((grouped_plan(counts, capacity, n) for n in GROUPS), key=lambda p: p.sequences)
+
+
+def grouped_plan(counts: dict[int, int], capacity: int, n_groups: int) -> Plan:
     plan = Plan(counts, capacity)
     small = capacity // SMALL_SHARE
-    groups = _groups(counts, small, n_groups)
+    groups = _groups(counts, small, n_groups) if n_groups else []
     rounded = [g[0] for g in groups]
     open_ = [sum(counts[x] for x in g) for g in groups]
     for largest, size in enumerate(rounded):
