@@ -216,17 +216,21 @@ def estimated(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(judged, "a bigint, b bigint")
 
 
+def texts_of(ids: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """nid, fp, text of the nodes in ``ids``; every text whose id is a node's."""
+    wanted = written(ids.join(nodes.select("nid", "rep", "fp"), "nid"))
+    known = docs.select(F.col("doc_id").cast("bigint").alias("rep"), "text")
+    found = known.join(F.broadcast(wanted) if wanted.count() <= NARROW_ROWS else wanted, "rep")
+    return written(found.dropDuplicates(["nid", "rep", "text"]).select("nid", "fp", "text"))
+
+
 def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough. Texts of b are the fewer; each serves up to PARTNERS of a.
 
     Texts are fetched by id; should an id stand for several texts, the set's digest tells which is meant.
     """
     pairs = written(pairs)
-    ids = pairs.select(F.col("a").alias("nid")).unionByName(pairs.select(F.col("b").alias("nid"))).distinct()
-    wanted = written(ids.join(nodes.select("nid", "rep", "fp"), "nid"))
-    rows = wanted.count()
-    known = docs.select(F.col("doc_id").cast("bigint").alias("rep"), "text")
-    texts = written(known.join(F.broadcast(wanted) if rows <= NARROW_ROWS else wanted, "rep").dropDuplicates(["nid", "rep", "text"]).select("nid", "fp", "text"))
+    texts = texts_of(pairs.select(F.explode(F.array("a", "b")).alias("nid")).distinct(), nodes, docs)
     hubs = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / PARTNERS).cast("int").alias("chunks"))
     members = pairs.join(hubs, "b").withColumn("chunk", F.pmod(F.xxhash64("a"), F.col("chunks")).cast("int"))
     members = members.join(texts, F.col("a") == F.col("nid")).select("b", "chunk", F.lit(1).alias("kind"), "a", "fp", "text")
@@ -256,70 +260,109 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def band_members(nodes: DataFrame) -> DataFrame:
-    """key, nid, hub (the bucket's smallest member), cnt of all buckets with more than one node."""
+    """key, band, nid, hub (the bucket's smallest member), cnt of all buckets with more than one node."""
     width = 2 * ROWS
     keys = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring(F.col("regs"), i * width + 1, F.lit(width))))
-    bands = nodes.select("nid", F.explode(keys).alias("key"))
+    bands = nodes.select("nid", F.posexplode(keys).alias("band", "key"))
     shared = bands.groupBy("key").agg(F.min("nid").alias("hub"), F.count(F.lit(1)).alias("cnt")).where("cnt > 1")
     return bands.join(shared, "key")
 
 
-def block_pairs(members: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs (a, b) of one bucket and different components that may be linked.
+def candidates(regs: np.ndarray, n: np.ndarray, comp: np.ndarray, own: np.ndarray, lo: int, hi: int, band: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """i, partners j and estimates: pairs of different components that may be linked, each in the first band it shares.
 
-    ``members``: key, nid, comp, cnt. A bucket is cut into blocks; a task sees two blocks at a time.
+    Inside a block (lo = hi) every pair comes once, between two blocks from the first to the second.
+    """
+    for i in range(len(regs)):
+        if lo != hi and own[i] != lo:
+            continue
+        js = np.flatnonzero((comp != comp[i]) & ((own == hi) if lo != hi else (np.arange(len(regs)) > i)))
+        if len(js):
+            same = regs[js] == regs[i]
+            js = js[same.reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == band]
+        if len(js):
+            js = js[may_link(regs[i : i + 1], regs[js], np.full(len(js), float(n[i])), n[js].astype(float))]
+        if len(js):
+            yield i, js, (regs[js] == regs[i]).mean(axis=1)
+
+
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """Runs of rows that agree in their first three columns."""
+    group: list[tuple] = []
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if group and row[:3] != group[0][:3]:
+                yield group
+                group = []
+            group.append(row)
+    if group:
+        yield group
+
+
+def block_links(members: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """Verified links (a, b) between different components of one bucket, enough of them to join all that are linked.
+
+    ``members``: key, band, nid, comp, cnt. A bucket is cut into blocks; a task sees two blocks at a time, first the
+    sketches alone, then the texts of those that have a candidate partner there. It verifies its candidates, likeliest
+    first, until they are joined already, so it hands on less than a row a member.
     """
     blocks = F.ceil(F.col("cnt") / BLOCK).cast("int")
     rows = members.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("nid"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    rows = rows.select("key", "nid", "comp", "own", other).withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")})
-    rows = rows.join(nodes.select("nid", "n_shingles", "regs"), "nid").select("key", "lo", "hi", "own", "nid", "comp", "n_shingles", "regs")
-
-    def pairs_of(group: list[tuple]) -> list[tuple[int, int]]:
-        lo, hi = group[0][1], group[0][2]
-        nid, comp, n = (np.array([r[k] for r in group]) for k in (4, 5, 6))
-        own = np.array([r[3] for r in group])
-        regs = np.frombuffer(b"".join(r[7] for r in group), np.uint16).reshape(-1, REGISTERS)
-        found = []
-        for i in range(len(group)):
-            far = comp != comp[i]
-            far[: i + 1] &= lo != hi  # inside a block every pair once; between blocks from the first to the second
-            far &= (own != own[i]) if lo != hi else True
-            if lo != hi and own[i] != lo:
-                continue
-            js = np.flatnonzero(far)
-            if len(js):
-                ok = may_link(regs[i : i + 1], regs[js], np.full(len(js), float(n[i])), n[js].astype(float))
-                found += [(max(nid[i], nid[j]), min(nid[i], nid[j])) for j in js[ok]]
-        return found
-
-    def blocked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group: list[tuple] = []
-        out: list[tuple[int, int]] = []
-
-        def block() -> pa.RecordBatch:
-            made = pa.RecordBatch.from_arrays([pa.array([int(x[i]) for x in out], pa.int64()) for i in (0, 1)], ["a", "b"])
-            out.clear()
-            return made
-
-        for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if group and row[:3] != group[0][:3]:
-                    out += pairs_of(group)
-                    group = []
-                    if len(out) > 10_000:
-                        yield block()
-                group.append(row)
-        if group:
-            out += pairs_of(group)
-        yield block()
-
-    dealt = rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
-    return dealt.mapInArrow(blocked, "a bigint, b bigint").distinct()
+    rows = rows.select("key", "band", "nid", "comp", "own", other).withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")})
+    rows = rows.join(nodes.select("nid", "n_shingles", "regs"), "nid").select("key", "lo", "hi", "own", "band", "nid", "comp", "n_shingles", "regs")
+
+    def of_group(group: list[tuple]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        own, comp, n = (np.array([r[k] for r in group]) for k in (3, 6, 7))
+        regs = np.frombuffer(b"".join(r[8] for r in group), np.uint16).reshape(-1, REGISTERS)
+        return candidates(regs, n, comp, own, group[0][1], group[0][2], group[0][4])
+
+    def suspected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _grouped(batches):
+            found = [np.append(js, i) for i, js, _ in of_group(group)]
+            if found:
+                hit = [group[k] for k in np.unique(np.concatenate(found))]
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in hit], t) for k, t in zip(range(9), kinds, strict=True)], names)
+
+    names = ["key", "lo", "hi", "own", "band", "nid", "comp", "n_shingles", "regs"]
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+    fields = "key bigint, lo int, hi int, own int, band int, nid bigint, comp bigint, n_shingles bigint, regs binary"
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _grouped(batches):
+            # an id that stands for several texts: the digest tells which is meant
+            sets = shingle_sets([r[10] or "" for r in group])
+            good = [k for k, r in enumerate(group) if hashlib.blake2b(sets[k], digest_size=16).digest() == r[9]]
+            group, sets = [group[k] for k in good], [sets[k] for k in good]
+            pairs = [(-e, i, int(j)) for i, js, es in of_group(group) for j, e in zip(js, es.tolist(), strict=True)]
+            root = {r[6]: r[6] for r in group}
+
+            def find(x: int) -> int:
+                while root[x] != x:
+                    root[x] = root[root[x]]
+                    x = root[x]
+                return x
+
+            links = []
+            for _, i, j in sorted(pairs):
+                x, y = find(group[i][6]), find(group[j][6])
+                if x != y:
+                    both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                    if 100 * both >= PERCENT * (len(sets[i]) + len(sets[j]) - both):
+                        root[max(x, y)] = min(x, y)
+                        links.append((group[i][5], group[j][5]))
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    block = ("key", "lo", "hi")
+    suspects = written(rows.repartition(*block).sortWithinPartitions(*block).mapInArrow(suspected, fields))
+    texts = texts_of(suspects.select("nid").distinct(), nodes, docs)
+    dealt = suspects.join(texts, "nid").select(*names, "fp", "text").repartition(*block).sortWithinPartitions(*block)
+    return written(dealt.mapInArrow(joined, "a bigint, b bigint"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept and links (verified links of the document's set, copies aside) per row."""
+    """doc_id, n_shingles, component_id and kept of every row."""
     signed = written(signatures(docs))
     nodes = signed.where("fp IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("regs").alias("regs"))
     nodes = written(nodes.withColumn("nid", F.monotonically_increasing_id()))
@@ -330,21 +373,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     stars = verified(estimated(best.select(F.col("nid").alias("a"), (-F.col("m.h")).alias("b")), nodes), nodes, docs)
     first = components(stars.select(F.col("a").alias("v"), F.col("b").alias("u")))
     # buckets that still hold several components
-    placed = members.join(first.withColumnRenamed("v", "nid"), "nid", "left").select("key", "nid", F.coalesce("root", "nid").alias("comp"), "cnt")
+    placed = members.join(first.withColumnRenamed("v", "nid"), "nid", "left").select("key", "band", "nid", F.coalesce("root", "nid").alias("comp"), "cnt")
     placed = written(placed)
     mixed = placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
-    more = verified(block_pairs(placed.join(mixed, "key"), nodes), nodes, docs)
-    links = stars.unionByName(more)
+    links = stars.unionByName(block_links(placed.join(mixed, "key"), nodes, docs))
     found = components(links.select(F.col("a").alias("v"), F.col("b").alias("u")))
-    ends = links.select(F.explode(F.array("a", "b")).alias("nid")).groupBy("nid").agg(F.count(F.lit(1)).alias("links"))
     roots = nodes.select("nid", "fp", "rep").join(found.withColumnRenamed("v", "nid"), "nid", "left").withColumn("root", F.coalesce("root", "nid"))
     least = roots.groupBy("root").agg(F.min("rep").alias("component_id"))
-    by_set = written(roots.join(least, "root").join(ends, "nid", "left").select(F.col("fp").alias("_fp"), "component_id", F.coalesce("links", F.lit(0)).alias("links")))
+    by_set = written(roots.join(least, "root").select(F.col("fp").alias("_fp"), "component_id"))
     out = signed.drop("regs").join(by_set, F.col("fp") == F.col("_fp"), "left")
     component = F.coalesce("component_id", "doc_id")
-    return out.select(
-        "doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), F.coalesce("links", F.lit(0)).cast("bigint").alias("links")
-    )
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
 def without_duplicates(docs: DataFrame) -> DataFrame:
