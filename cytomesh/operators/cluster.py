@@ -18,6 +18,11 @@ from cytomesh.operators.metrics import ari
 
 ANCHORS = 33
 
+#: Starts and rounds that the compared methods use.
+KMEANS_SEEDS, KMEANS_ROUNDS = tuple(range(1, 21)), 1000
+MIXTURE_SEEDS = tuple(range(1, 11))
+
+
 # --------------------------------------------------------------------------- features
 
 
@@ -103,24 +108,25 @@ def _vectors(df: DataFrame, p: int, vector: str, keep: Sequence[str]) -> DataFra
     return df.select(*keep, array_to_vector(F.slice(vector, 1, p)).alias("features"))
 
 
-def kmeans(df: DataFrame, k: int, p: int, seeds: Sequence[int] = (1, 2, 3), iters: int = 100, vector: str = "pcs", key: str = "cell_id") -> DataFrame:
+def kmeans(df: DataFrame, k: int, p: int, seeds: Sequence[int] = KMEANS_SEEDS, iters: int = KMEANS_ROUNDS, vector: str = "pcs", key: str = "cell_id") -> DataFrame:
     """key, cluster (1-based) from the start with the lowest within-cluster cost."""
     v = _vectors(df, p, vector, [key]).cache()
     models = [KMeans(k=k, seed=s, maxIter=iters).fit(v) for s in seeds]
     best = min(models, key=lambda m: m.summary.trainingCost)
-    out = best.transform(v).select(key, (F.col("prediction") + 1).alias("cluster"))
-    return out
+    v.unpersist()
+    return best.transform(_vectors(df, p, vector, [key])).select(key, (F.col("prediction") + 1).alias("cluster"))
 
 
-def gmm(df: DataFrame, k: int, p: int, seeds: Sequence[int] = (1, 2, 3), vector: str = "pcs", key: str = "cell_id") -> DataFrame:
+def gmm(df: DataFrame, k: int, p: int, seeds: Sequence[int] = MIXTURE_SEEDS, vector: str = "pcs", key: str = "cell_id") -> DataFrame:
     """key, cluster (1-based) from the Gaussian mixture with the highest likelihood."""
     v = _vectors(df, p, vector, [key]).cache()
     models = [GaussianMixture(k=k, seed=s, maxIter=100).fit(v) for s in seeds]
     best = max(models, key=lambda m: m.summary.logLikelihood)
-    return best.transform(v).select(key, (F.col("prediction") + 1).alias("cluster"))
+    v.unpersist()
+    return best.transform(_vectors(df, p, vector, [key])).select(key, (F.col("prediction") + 1).alias("cluster"))
 
 
-def sweep(df: DataFrame, ks: Sequence[int], ps: Sequence[int], truth: str, seeds: Sequence[int] = (1,), key: str = "cell_id") -> DataFrame:
+def sweep(df: DataFrame, ks: Sequence[int], ps: Sequence[int], truth: str, seeds: Sequence[int] = KMEANS_SEEDS, key: str = "cell_id") -> DataFrame:
     """k, p, ari: k-means for every setting, scored in one pass over the stacked labels."""
     runs = []
     for p in ps:
@@ -131,15 +137,16 @@ def sweep(df: DataFrame, ks: Sequence[int], ps: Sequence[int], truth: str, seeds
     return ari(stacked, truth, "cluster", ["k", "p"])
 
 
-def select_k(df: DataFrame, ks: Sequence[int], p: int, seed: int = 1, vector: str = "pcs", key: str = "cell_id") -> DataFrame:
-    """k, log_likelihood, bic, best: Gaussian mixtures compared by -2 log L + parameters * ln n."""
+def select_k(df: DataFrame, ks: Sequence[int], p: int, seeds: Sequence[int] = MIXTURE_SEEDS, vector: str = "pcs", key: str = "cell_id") -> DataFrame:
+    """k, log_likelihood, bic, best: Gaussian mixtures, each from its likeliest start, by -2 log L + parameters * ln n."""
     v = _vectors(df, p, vector, [key]).cache()
     n = v.count()
     rows = []
     for k in ks:
-        ll = float(GaussianMixture(k=k, seed=seed, maxIter=100).fit(v).summary.logLikelihood)
+        ll = max(float(GaussianMixture(k=k, seed=s, maxIter=100).fit(v).summary.logLikelihood) for s in seeds)
         params = (k - 1) + k * p + k * p * (p + 1) // 2
         rows.append((k, ll, -2 * ll + params * float(np.log(n))))
+    v.unpersist()
     low = min(r[2] for r in rows)
     return df.sparkSession.createDataFrame(
         [(k, ll, b, b == low) for k, ll, b in rows], "k int, log_likelihood double, bic double, best boolean"

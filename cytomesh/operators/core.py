@@ -12,8 +12,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 SALTS = 16
-RANGE_BUCKETS = 64
-RANGE_VALUES = 100_000  # distinct values one running sum may see
+RANGE_VALUES = 100_000  # distinct values one running sum should see
+MAX_RANGES = 4096  # value ranges the sketch may ask for
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -42,6 +42,25 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_table(df: DataFrame | None) -> None:
+    """Delete a table made by ``cut_lineage`` once nothing reads it any more."""
+    if df is None:
+        return
+    spark = df.sparkSession
+    root = spark.sparkContext.getCheckpointDir()
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if root and f"/{root.rsplit('/', 1)[1]}/table-" in folder:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on equal keys where a NULL key is a group like any other. ``right`` has one row per key."""
+    other = right.withColumnsRenamed({c: f"_k_{c}" for c in on})
+    cond = reduce(lambda a, b: a & b, [left[c].eqNullSafe(other[f"_k_{c}"]) for c in on])
+    return left.join(other, cond, how).drop(*[f"_k_{c}" for c in on])
+
+
 def union_all(frames: Sequence[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), frames)
 
@@ -65,19 +84,12 @@ def with_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
     return df.join(F.broadcast(one_row))
 
 
-def _running_counts(vc: DataFrame, by: list[str]) -> DataFrame:
-    """Running counts of groups that are known to be of bounded size."""
-    w = W.partitionBy(*by) if by else W.partitionBy(F.lit(0))
-    before = F.sum("cnt").over(w.orderBy("value")) - F.col("cnt")
-    return vc.select(*by, "value", "cnt", before.alias("before"), F.sum("cnt").over(w).alias("total"))
-
-
 def cumulative_counts(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
-    """``by, value, cnt, before, total``: rows per distinct value and how many come earlier.
+    """``by, value, cnt, before, total``: rows per distinct value and how many come earlier. NULL keys are a group.
 
-    Values are first collapsed to (value, count). Groups with more than RANGE_VALUES distinct values are cut
-    into value ranges taken from a mergeable quantile sketch, so that a running sum never sees more than one
-    range of one group. The sketch decides balance only; the counts are exact.
+    Values are first collapsed to (value, count). Every group is then cut into value ranges taken from a mergeable
+    quantile sketch, about one per RANGE_VALUES distinct values, so that a running sum sees one range of one group
+    whatever the group's size. The sketch decides balance only; the counts are exact.
     """
     by = list(by)
     vc = (
@@ -85,22 +97,16 @@ def cumulative_counts(df: DataFrame, value: str, by: Sequence[str] = ()) -> Data
         .groupBy(*by, F.col(value).alias("value"))
         .agg(F.count(F.lit(1)).alias("cnt"))
     )
-    probs = [i / RANGE_BUCKETS for i in range(1, RANGE_BUCKETS)]
-    sketch = F.percentile_approx("value", probs, F.lit(20 * RANGE_BUCKETS)).alias("cuts")
-    n_values = F.count(F.lit(1)).alias("n_values")
-    if by:
-        large = vc.groupBy(*by).agg(n_values).where(F.col("n_values") > RANGE_VALUES).select(*by)
-        cuts = cut_lineage(salted_join(vc, large, by).groupBy(*by).agg(sketch))
-        if cuts.isEmpty():
-            return _running_counts(vc, by)
-        cut_at = F.coalesce(F.size(F.filter("cuts", lambda c: c < F.col("value"))), F.lit(0))
-        vc = salted_join(vc, cuts, by, "left").withColumn("rb", F.greatest(cut_at, F.lit(0))).drop("cuts")
-    else:
-        row = vc.agg(n_values, sketch).first()
-        if row["n_values"] <= RANGE_VALUES:
-            return _running_counts(vc, by)
-        cuts_lit = F.array(*[F.lit(c) for c in row["cuts"]])
-        vc = vc.withColumn("rb", F.size(F.filter(cuts_lit, lambda c: c < F.col("value"))))
+    sizes = vc.groupBy(*by).agg(F.count(F.lit(1)).alias("n")) if by else vc.agg(F.count(F.lit(1)).alias("n"))
+    largest = sizes.agg(F.max("n")).first()[0] or 0
+    n_ranges = max(1, min(MAX_RANGES, -(-largest // RANGE_VALUES)))
+    vc = vc.withColumn("rb", F.lit(0))
+    if n_ranges > 1:
+        probs = [i / n_ranges for i in range(1, n_ranges)]
+        sketch = F.percentile_approx("value", probs, F.lit(20 * n_ranges)).alias("cuts")
+        cuts = cut_lineage(vc.groupBy(*by).agg(sketch) if by else vc.agg(sketch))
+        vc = null_safe_join(vc, cuts, by, "left") if by else with_scalars(vc, cuts)
+        vc = vc.withColumn("rb", F.size(F.filter("cuts", lambda c: c < F.col("value")))).drop("cuts")
     ranges = vc.groupBy(*by, "rb").agg(F.sum("cnt").alias("range_cnt"))
     w = W.partitionBy(*by) if by else W.partitionBy(F.lit(0))
     ranges = ranges.select(
@@ -109,7 +115,7 @@ def cumulative_counts(df: DataFrame, value: str, by: Sequence[str] = ()) -> Data
         (F.sum("range_cnt").over(w.orderBy("rb")) - F.col("range_cnt")).alias("range_before"),
         F.sum("range_cnt").over(w).alias("total"),
     )
-    joined = vc.join(ranges, [*by, "rb"])
+    joined = null_safe_join(vc, ranges, [*by, "rb"])
     run = F.sum("cnt").over(W.partitionBy(*by, "rb").orderBy("value"))
     return joined.select(
         *by, "value", "cnt", (F.col("range_before") + run - F.col("cnt")).alias("before"), "total"

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cytomesh.functions import columns as C
-from cytomesh.operators.core import cut_lineage, salted_join, union_all, with_scalars
+from cytomesh.operators.core import cut_lineage, drop_table, salted_join, union_all, with_scalars
 from cytomesh.operators.neighbors import edge_status, with_eid
 from cytomesh.operators.spatial_index import knn_join, nearest_foreign
 
@@ -31,7 +31,8 @@ def _roots(parent: DataFrame) -> DataFrame:
         return j.select("u", F.col("_up").alias("parent"), (F.col("_up") != F.col("parent")).alias("moved"))
 
     while True:
-        p = cut_lineage(double(double(p)))  # four steps up per round
+        before, p = p, cut_lineage(double(double(p)))  # four steps up per round
+        drop_table(before)
         if p.where("moved").isEmpty():
             return p.select("u", F.col("parent").alias("root"))
 
@@ -75,8 +76,9 @@ def connected_components(edges: DataFrame, verts: DataFrame) -> DataFrame:
         parent = low.select("u", F.when(F.col("m") < rank("u"), F.col("m.v")).otherwise(F.col("u")).alias("parent"))
         roots = _roots(parent)
         maps.append(roots)
-        e = _relabel(e, roots)
+        before, e = e, _relabel(e, roots)
         e = cut_lineage(e.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct())
+        drop_table(before)
     whole = _compose(maps)
     if whole is None:
         return verts.select("id", F.col("id").alias("component"))
@@ -93,12 +95,13 @@ def spatial_components(edges: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def mst(edges: DataFrame, weight: str = "w") -> DataFrame:
-    """Rows of ``edges`` that form the minimum spanning forest; equal weights are ordered by eid, so it is unique.
+    """Rows of ``edges`` that form the minimum spanning forest; equal weights are ordered by eid, then by the ends, so it
+    is unique. An edge is known by eid and ends together, so a clash of eids is harmless.
 
     Boruvka: every component takes its lightest outgoing edge, components merge along the chosen edges,
     parallel edges collapse to the lightest one.
     """
-    e = edges.select("eid", "src", "dst", F.col(weight).cast("double").alias("w"))
+    e = edges.select(F.struct("eid", "src", "dst").alias("eid"), "src", "dst", F.col(weight).cast("double").alias("w"))
     e = cut_lineage(e.where(F.col("src") != F.col("dst")))
     chosen: list[DataFrame] = []
     while not e.isEmpty():
@@ -115,10 +118,12 @@ def mst(edges: DataFrame, weight: str = "w") -> DataFrame:
         best = r.groupBy(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).agg(
             F.min(F.struct("w", "eid")).alias("m")
         )
-        e = cut_lineage(best.select("m.eid", "src", "dst", "m.w"))
+        before, e = e, cut_lineage(best.select("m.eid", "src", "dst", "m.w"))
+        drop_table(before)
     if not chosen:
         return edges.limit(0)
-    return edges.join(union_all(chosen).distinct(), "eid", "left_semi")
+    taken = union_all(chosen).distinct().select("eid.*")
+    return edges.join(taken, ["eid", "src", "dst"], "left_semi").select(*edges.columns)
 
 
 def random_mst(edges: DataFrame, labels: DataFrame, seed: int = 1) -> DataFrame:
@@ -194,7 +199,9 @@ def merge_small_components(tree: DataFrame, labels: DataFrame, min_size: int, we
             .select("component", F.col("m.id").alias("_new"))
         )
         renamed = groups.join(name, "component").select(F.col("id").alias("label"), "_new")
-        cur = cut_lineage(salted_join(cur, renamed, ["label"]).select("id", F.col("_new").alias("label")))
+        before, cur = cur, cut_lineage(salted_join(cur, renamed, ["label"]).select("id", F.col("_new").alias("label")))
+        drop_table(before)
+        drop_table(step)
 
 
 def same_label_targets(components: DataFrame, min_size: int) -> DataFrame:
@@ -225,28 +232,29 @@ def merge_small_same_label(members: DataFrame, points: DataFrame, min_size: int)
 
 def cut_tree(tree: DataFrame, cut_eids: DataFrame, verts: DataFrame) -> DataFrame:
     """id, component after removing the given edges; leaving an edge out of the list merges across it."""
-    return connected_components(tree.join(cut_eids, "eid", "left_anti"), verts)
+    return connected_components(tree.join(cut_eids, [c for c in ("eid", "src", "dst") if c in cut_eids.columns], "left_anti"), verts)
 
 
 # --------------------------------------------------------------------------- shortest paths
 
 
-def geodesic(edges: DataFrame, sources: DataFrame, verts: DataFrame, weight: str = "w", max_rounds: int = 100_000) -> DataFrame:
+def geodesic(edges: DataFrame, sources: DataFrame, verts: DataFrame, weight: str = "w") -> DataFrame:
     """source, id, d: shortest path length from each landmark; unreachable points get twice the largest finite one.
 
-    Only vertices whose distance improved spread it further; two hops per round halve the number of rounds.
+    Only vertices whose distance improved spread it further; two hops per round halve the number of rounds. Weights must
+    not be negative; the search ends when nothing improves.
     """
     half = edges.select("src", "dst", F.col(weight).cast("double").alias("w"))
     arcs = cut_lineage(half.unionByName(half.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w")))
     start = sources.select(F.col("id").alias("source"), "id", F.lit(0.0).alias("d"))
-    best = cut_lineage(start)
+    best = table = cut_lineage(start)
     front = best
 
     def spread(f: DataFrame) -> DataFrame:
         j = salted_join(arcs, f.withColumnRenamed("id", "src"), ["src"], salts=SALTS)  # a hub's arcs are spread
         return j.select("source", F.col("dst").alias("id"), (F.col("d") + F.col("w")).alias("d"))
 
-    for _ in range(max_rounds):
+    while True:
         one = spread(front).groupBy("source", "id").agg(F.min("d").alias("d"))
         two = one.unionByName(spread(one)).groupBy("source", "id").agg(F.min("d").alias("nd"))
         j = cut_lineage(
@@ -254,7 +262,8 @@ def geodesic(edges: DataFrame, sources: DataFrame, verts: DataFrame, weight: str
                 "source", "id", F.least("d", "nd").alias("d"), (F.col("nd") < F.coalesce("d", F.lit(float("inf")))).alias("better")
             )
         )
-        best = j.select("source", "id", "d")
+        drop_table(table)
+        table, best = j, j.select("source", "id", "d")
         front = j.where("better").select("source", "id", "d")
         if front.isEmpty():
             break

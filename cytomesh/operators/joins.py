@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from cytomesh.functions import columns as C
 from cytomesh.operators.core import salted_join, with_scalars
 
-OUTLINE_LIMIT = 4096  # segments carried along with every row; larger outlines go through keyed joins
+OUTLINE_LIMIT = 4096  # segments carried along with every row at a time
 
 # --------------------------------------------------------------------------- key joins
 
@@ -158,51 +158,35 @@ def segment_distance(s: Column, x: Column, y: Column) -> Column:
     return C.distance(x, y, s["x1"] + t * dx, s["y1"] + t * dy)
 
 
-def points_in_polygons(points: DataFrame, segments: DataFrame, key: str = "id", out: str = "inside") -> DataFrame:
+def points_in_polygons(points: DataFrame, segments: DataFrame, key: str = "id", out: str = "inside", slabs: int = 4096) -> DataFrame:
     """Flag points inside any polygon: even-odd over all rings, points on the outline count as inside.
 
-    A small outline travels with the rows (no shuffle). A large one is cut into horizontal slabs and joined
-    on the slab, so a point meets only the segments at its own height.
+    The outline is cut into horizontal slabs and joined on the slab, so a point meets only the segments at its own
+    height, whatever the size of the outline. Rows are told apart by a key of their own, so ids may repeat. A point
+    without coordinates gets NULL.
     """
-    x, y = F.col("x"), F.col("y")
-    if _is_small(segments):
-        def contains(segs: Column) -> Column:
-            odd = F.size(F.filter(segs, lambda s: _crosses_ray(s, x, y))) % 2 == 1
-            return odd | F.exists(segs, lambda s: _on_segment(s, x, y))
-
-        j = with_scalars(points, _outline_row(segments))
-        return j.withColumn(out, F.exists("_polys", contains)).drop("_polys")
-    return _points_in_polygons_by_slab(points, segments, key, out)
-
-
-def _points_in_polygons_by_slab(points: DataFrame, segments: DataFrame, key: str, out: str, slabs: int = 4096) -> DataFrame:
     ext = segments.agg(F.min(F.least("y1", "y2")).alias("_lo"), F.max(F.greatest("y1", "y2")).alias("_hi"))
-    hit = F.max((F.col("_odd") % 2 == 1) | (F.col("_touch") > 0))
 
     def slab(c: Column) -> Column:
-        return F.floor((c - F.col("_lo")) * slabs / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0)))
+        return F.coalesce(F.floor((c - F.col("_lo")) * slabs / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0))), F.lit(0))
 
     salts = 8
-    ids = with_scalars(points.select(key, "x", "y"), ext).withColumns(
-        {"_slab": slab(F.col("y")), "_salt": F.pmod(F.xxhash64(key), F.lit(salts)).cast("int")}
+    own = points.select(F.struct(*[F.col(f"`{c}`") for c in points.columns]).alias("_p"), F.monotonically_increasing_id().alias("_row"))
+    rows = with_scalars(own, ext).select(
+        "_p", "_row", slab(F.col("_p.y").cast("double")).alias("_slab"), F.pmod(F.col("_row"), F.lit(salts)).cast("int").alias("_salt")
     )
     segs = with_scalars(segments, ext).select(
         "polygon_id",
         F.struct("x1", "y1", "x2", "y2").alias("s"),
         F.explode(F.sequence(slab(F.least("y1", "y2")), slab(F.greatest("y1", "y2")))).alias("_slab"),
     ).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    x, y = F.col("x"), F.col("y")
-    per = (
-        ids.join(segs, ["_slab", "_salt"])
-        .groupBy(key, "polygon_id")
-        .agg(
-            F.count_if(_crosses_ray(F.col("s"), x, y)).alias("_odd"),
-            F.count_if(_on_segment(F.col("s"), x, y)).alias("_touch"),
-        )
-        .groupBy(key)
-        .agg(hit.alias(out))
+    x, y = F.col("_p.x"), F.col("_p.y")
+    per = rows.join(segs, ["_slab", "_salt"], "left").groupBy("_row", "polygon_id").agg(
+        F.first("_p").alias("_p"), F.count_if(_crosses_ray(F.col("s"), x, y)).alias("_odd"), F.count_if(_on_segment(F.col("s"), x, y)).alias("_touch")
     )
-    return points.join(per, key, "left").withColumn(out, F.coalesce(out, F.lit(False)))
+    flagged = per.groupBy("_row").agg(F.first("_p").alias("_p"), F.max((F.col("_odd") % 2 == 1) | (F.col("_touch") > 0)).alias("_in"))
+    known = F.col("_p.x").isNotNull() & F.col("_p.y").isNotNull()
+    return flagged.select("_p.*", F.when(known, F.col("_in")).alias(out))
 
 
 def min_boundary_distance(points: DataFrame, segments: DataFrame, out: str = "boundary_distance") -> DataFrame:
@@ -243,34 +227,33 @@ def segments_cross(ax, ay, bx, by, s: Column) -> Column:
 
 
 def drop_crossing_edges(edges: DataFrame, verts: DataFrame, segments: DataFrame) -> DataFrame:
-    """Drop edges that cross the outline. Small outlines travel along; large ones are joined on grid cells."""
-    ends = edges
+    """Drop edges that cross the outline; edges and segments meet in the grid cells that they pass through."""
+    ends = edges.select("src", "dst").distinct()
     for end, s in (("src", "a"), ("dst", "b")):
         side = verts.select(F.col("id").alias(end), F.col("x").alias(f"_{s}x"), F.col("y").alias(f"_{s}y"))
         ends = salted_join(ends, side, [end])
     a = [F.col(c) for c in ("_ax", "_ay", "_bx", "_by")]
-    if _is_small(segments):
-        j = with_scalars(ends, _outline_row(segments))
-        return j.where(~F.exists(F.flatten("_polys"), lambda s: segments_cross(*a, s))).select(*edges.columns)
-    size = ends.agg((F.avg(F.greatest(F.abs(a[0] - a[2]), F.abs(a[1] - a[3]))) * 2.0).alias("_size"))
-
-    def cells_of(x1, y1, x2, y2) -> list[Column]:
-        def span(u, v):
-            return F.sequence(F.floor(F.least(u, v) / F.col("_size")), F.floor(F.greatest(u, v) / F.col("_size")))
-
-        return [span(x1, x2), span(y1, y2)]
-
-    ex, ey = cells_of(*a)
-    boxed = (
-        with_scalars(ends, size)
-        .select("eid", *["_ax", "_ay", "_bx", "_by"], F.explode(ex).alias("cx"), ey.alias("cys"))
-        .select("eid", "_ax", "_ay", "_bx", "_by", "cx", F.explode("cys").alias("cy"))
-    )
-    sx, sy = cells_of(*[F.col(c) for c in ("x1", "y1", "x2", "y2")])
-    segs = (
-        with_scalars(segments, size)
-        .select(F.struct("x1", "y1", "x2", "y2").alias("s"), F.explode(sx).alias("cx"), sy.alias("cys"))
-        .select("s", "cx", F.explode("cys").alias("cy"))
-    )
-    crossing = salted_join(boxed, segs, ["cx", "cy"]).where(segments_cross(*a, F.col("s"))).select("eid").distinct()
-    return edges.join(crossing, "eid", "left_anti")
+    extent = F.max(F.greatest(*a)) - F.min(F.least(*a))
+    mean = F.avg(F.greatest(F.abs(a[0] - a[2]), F.abs(a[1] - a[3]))) * 2.0
+    size = ends.agg(F.greatest(mean, extent / 100_000.0, F.lit(1e-300)).alias("_size"))
+
+    def passed(df: DataFrame, keep: Sequence[Column], x1: Column, y1: Column, x2: Column, y2: Column) -> DataFrame:
+        """One row per cell on the way: column by column, and in a column the rows between entry and exit."""
+        cols = F.explode(F.sequence(F.floor(F.least(x1, x2) / F.col("_size")), F.floor(F.greatest(x1, x2) / F.col("_size"))))
+        w = with_scalars(df, size).select(*keep, x1.alias("_x1"), y1.alias("_y1"), x2.alias("_x2"), y2.alias("_y2"), "_size", cols.alias("cx"))
+
+        def at(x: Column) -> Column:
+            t = F.coalesce((x - F.col("_x1")) / F.nullif(F.col("_x2") - F.col("_x1"), F.lit(0.0)), F.lit(0.0))
+            return F.col("_y1") + F.least(F.greatest(t, F.lit(0.0)), F.lit(1.0)) * (F.col("_y2") - F.col("_y1"))
+
+        steep = F.col("_x1") == F.col("_x2")
+        u = F.when(steep, F.col("_y1")).otherwise(at(F.col("cx") * F.col("_size")))
+        v = F.when(steep, F.col("_y2")).otherwise(at((F.col("cx") + 1) * F.col("_size")))
+        room = F.col("_size") * 1e-6  # neighbours share what rounding puts on their border
+        rows = F.explode(F.sequence(F.floor((F.least(u, v) - room) / F.col("_size")), F.floor((F.greatest(u, v) + room) / F.col("_size"))))
+        return w.withColumn("cy", rows).drop("_x1", "_y1", "_x2", "_y2", "_size")
+
+    boxed = passed(ends, [F.col(c) for c in ("src", "dst", "_ax", "_ay", "_bx", "_by")], *a)
+    segs = passed(segments, [F.struct("x1", "y1", "x2", "y2").alias("s")], *[F.col(c) for c in ("x1", "y1", "x2", "y2")])
+    crossing = salted_join(boxed, segs, ["cx", "cy"]).where(segments_cross(*a, F.col("s"))).select("src", "dst").distinct()
+    return edges.join(crossing, ["src", "dst"], "left_anti")

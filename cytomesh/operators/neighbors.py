@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cytomesh.functions import columns as C
-from cytomesh.operators.core import quantiles, salted_join, top_k_per_group, with_scalars
+from cytomesh.operators.core import cumulative_counts, quantiles, salted_join, with_scalars
 from cytomesh.operators.joins import drop_crossing_edges, with_endpoints
 from cytomesh.operators.shards import sample_n
 from cytomesh.operators.spatial_index import knn_join
@@ -101,18 +101,23 @@ def auto_radius(points: DataFrame, tau: float = 2.0, q: float = 0.5) -> DataFram
 
 def auto_radius_graph(points: DataFrame, tau: float = 2.0, q: float = 0.5, max_k: int = 50, mutual_only: bool = True) -> DataFrame:
     """Radius graph with data-driven radius; a point keeps its nearest max_k - 1 others (the limit counts itself)."""
-    edges = both_ways(radius_graph(points, auto_radius(points, tau, q)))
-    kept = top_k_per_group(edges, ["src"], [F.asc("d"), F.asc("dst")], max_k - 1).drop("rk")
+    near = with_scalars(knn(points, max_k - 1), auto_radius(points, tau, q))
+    kept = near.where(F.col("d") <= F.col("r")).select("src", "dst", "d")
     return mutual(kept) if mutual_only else undirected(kept)
 
 
 def suggest_radius(points: DataFrame, n: int = 2000, k: int = 8, lower: int = 4, seed: int = 1) -> DataFrame:
-    """From a seeded subsample: median distance to the k-th neighbour, the bracket 3 x that, and the smallest
-    radius at which the median degree reaches ``lower``."""
-    near = knn(sample_n(points, n, key="id", seed=seed), k)
-    rk = quantiles(near.where(F.col("rk") == k), "d", {"median_k": 0.5})
-    low = quantiles(near.where(F.col("rk") == lower), "d", {"radius": 0.5})
-    return with_scalars(rk, low).withColumn("upper", F.ceil(F.col("median_k") * 3))
+    """median_k and upper (three times it): of the distances to the k-th neighbour in a seeded subsample of n points;
+    radius: the smallest at which half of *all* points have at least ``lower`` others within it.
+
+    A point has that many others within a radius when its ``lower``-th neighbour is no farther, so the radius is the
+    median, by rank, of that distance over all points, and needs no bracket to search in.
+    """
+    sampled = knn(sample_n(points, n, key="id", seed=seed), k)
+    rk = quantiles(sampled.where(F.col("rk") == k), "d", {"median_k": 0.5})
+    at = cumulative_counts(knn(points, lower).where(F.col("rk") == lower), "d")
+    half = at.where(2 * (F.col("before") + F.col("cnt")) >= F.col("total")).agg(F.min("value").alias("radius"))
+    return with_scalars(rk, half).withColumn("upper", F.ceil(F.col("median_k") * 3))
 
 
 def domain_graph(points: DataFrame, segments: DataFrame, k: int = 6, r: float | None = None) -> DataFrame:
@@ -205,14 +210,20 @@ def kernel_weights(edges: DataFrame, length: float) -> DataFrame:
     return edges.withColumn("weight", _gauss(F.col("d"), F.lit(float(length))))
 
 
-def search_length(edges: DataFrame, n_points: int, p: float = 0.5, lo: float = 0.01, hi: float = 1000.0, tol: float = 1e-3) -> tuple[float, float]:
+def search_length(edges: DataFrame, n_points: int, p: float = 0.5, tol: float = 1e-3) -> tuple[float, float]:
     """(length, contribution): kernel length at which neighbours add p on average per point.
 
-    The contribution grows with the length. Each pass over the edges evaluates 16 lengths at once and keeps
-    the bracket around the target, so few passes are needed.
+    The contribution grows with the length, from 0 to twice the edges per point; a target outside that is an error.
+    The bracket comes from the edge lengths. Each pass over the edges evaluates 16 lengths at once and keeps the bracket
+    around the target, until it is met or the bracket cannot shrink.
     """
+    n_edges, shortest, longest = edges.agg(F.count(F.lit(1)), F.min(F.when(F.col("d") > 0, F.col("d"))), F.max("d")).first()
+    if not 0 < p < 2.0 * n_edges / n_points or shortest is None:
+        raise ValueError(f"no kernel length gives a contribution of {p}: it lies between 0 and {2.0 * n_edges / n_points}")
+    # at the low end every positive distance counts below 1e-17, at the high end each counts more than needed
+    lo, hi = shortest / 9.0, longest / (1.0 - p * n_points / (2.0 * n_edges)) ** 0.5
     best = (lo, 0.0)
-    for _ in range(12):
+    while hi / lo > 1 + 1e-12:
         grid = [lo * (hi / lo) ** (i / 15) for i in range(16)]
         row = edges.agg(*[(F.sum(_gauss(F.col("d"), F.lit(g))) * 2.0 / n_points).alias(f"p{i}") for i, g in enumerate(grid)]).first()
         vals = [row[i] or 0.0 for i in range(16)]
@@ -221,6 +232,8 @@ def search_length(edges: DataFrame, n_points: int, p: float = 0.5, lo: float = 0
             break
         i = max(j for j in range(16) if vals[j] <= p)
         lo, hi = grid[i], grid[min(i + 1, 15)]
+    if abs(best[1] - p) > tol:
+        raise ValueError(f"the contribution nearest to {p} is {best[1]}: equal locations count at any length")
     return best
 
 

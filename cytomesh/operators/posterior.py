@@ -14,7 +14,8 @@ from cytomesh.operators.core import cut_lineage, salted_join, top_k_per_group, w
 from cytomesh.operators.metrics import ari
 from cytomesh.operators.prep import best_run, run_summary
 
-ITER_BLOCK = 128  # iterations per side of one contingency block
+ITER_BLOCK = 32  # iterations per side of one contingency block
+COLUMNS = 2000  # indicator columns multiplied at a time
 
 
 def thin(samples: DataFrame, burn: int, every: int) -> DataFrame:
@@ -61,69 +62,64 @@ def coassignment(samples: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def partition_overlap(samples: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """by, s, t (s <= t), overlap = sum of squared contingency counts of iterations s and t.
+    """by, s, t (s <= t), overlap = sum of squared contingency counts of iterations s and t. NULL labels are left out.
 
-    This is the inner product of the two co-clustering matrices, which are never formed. Each task turns
-    its observations into indicator columns and multiplies them; iterations go in blocks so that the
-    product stays small. Only counts per (s, label, t, label) leave the task.
+    This is the inner product of the two co-clustering matrices, which are never formed. Iterations go in blocks; a task
+    turns the observations of a batch into indicator columns, of the labels that the batch has, and multiplies them, a
+    bounded number of columns at a time. Batches and tasks meet in a sum per (s, label, t, label).
     """
     by = list(by)
-    levels = [row[0] for row in samples.select("label").distinct().orderBy("label").limit(10_001).collect()]
-    if len(levels) > 10_000:
-        raise ValueError("too many distinct labels for indicator columns")
-    n_lab = len(levels)
-    code = F.array_position(F.array(*[F.lit(v) for v in levels]), F.col("label")) - 1
-    width = max(2, ITER_BLOCK * 8 // max(n_lab, 8))
-    coded = samples.select(*by, "obs_id", "iter", code.cast("int").alias("code"))
-    rows = coded.groupBy(*by, "obs_id").agg(F.sort_array(F.collect_list(F.struct("iter", "code"))).alias("lc"))
-    blocks = F.transform("lc", lambda s: F.floor(s["iter"] / F.lit(width)))
+    known = samples.where(F.col("label").isNotNull()).select(*by, "obs_id", "iter", "label")
+    rows = known.groupBy(*by, "obs_id").agg(F.sort_array(F.collect_list(F.struct("iter", "label"))).alias("lc"))
+    blocks = F.transform("lc", lambda s: F.floor(s["iter"] / F.lit(ITER_BLOCK)))
     pairs = (
         rows.select("*", F.explode(F.array_distinct(blocks)).alias("_bs"), F.array_distinct(blocks).alias("_bb"))
         .select(*by, "obs_id", "lc", "_bs", F.explode(F.filter("_bb", lambda b: b >= F.col("_bs"))).alias("_bt"))
     )
 
     def part(b: str):
-        return F.filter("lc", lambda s: F.floor(s["iter"] / F.lit(width)) == F.col(b))
+        return F.filter("lc", lambda s: F.floor(s["iter"] / F.lit(ITER_BLOCK)) == F.col(b))
 
     narrowed = pairs.select(
         *by, "_bs", "_bt",
-        *[F.transform(part(b), lambda s: s[f]).alias(f"{o}{f}") for b, o in (("_bs", "s"), ("_bt", "t")) for f in ("iter", "code")],
+        *[F.transform(part(b), lambda s: s[f]).alias(f"{o}{f}") for b, o in (("_bs", "s"), ("_bt", "t")) for f in ("iter", "label")],
     )
-    out_cols = [*by, "s", "a", "t", "b", "n"]
 
-    def onehot(iters, codes):
-        levels_i = np.unique(np.concatenate(iters))
-        m = np.zeros((len(iters), len(levels_i) * n_lab), dtype=np.float32)
-        row = np.repeat(np.arange(len(iters)), [len(v) for v in iters])
-        pos = np.searchsorted(levels_i, np.concatenate(iters)) * n_lab + np.concatenate(codes)
-        m[row, pos] = 1
-        return levels_i, m
+    def columns_of(iters, labels):
+        """Distinct (iteration, label) pairs and, per observation and entry, the pair's number."""
+        flat = pd.MultiIndex.from_arrays([np.concatenate(iters), np.concatenate(labels)])
+        codes, levels = pd.factorize(flat)
+        return levels, np.repeat(np.arange(len(iters)), [len(v) for v in iters]), codes
 
     def kernel(batches):
-        totals: dict = {}
         for pdf in batches:
-            for key, g in pdf.groupby([*by, "_bs", "_bt"], sort=False):
-                ls, zs = onehot(g["siter"].tolist(), g["scode"].tolist())
-                lt, zt = onehot(g["titer"].tolist(), g["tcode"].tolist())
-                prod = zs.T @ zt
-                i, j = np.nonzero(prod)
-                frame = pd.DataFrame(
-                    {"s": ls[i // n_lab], "a": i % n_lab, "t": lt[j // n_lab], "b": j % n_lab, "n": prod[i, j].astype(np.int64)}
-                )
-                frame = frame[frame["s"] <= frame["t"]]
-                for c, v in zip(by, key):
-                    frame[c] = v
-                frame = frame[out_cols]
-                prev = totals.get(key)
-                if prev is not None:
-                    frame = pd.concat([prev, frame]).groupby(out_cols[:-1], as_index=False)["n"].sum()
-                totals[key] = frame
-        for frame in totals.values():
-            yield frame
+            for key, g in pdf.groupby([*by, "_bs", "_bt"], sort=False, dropna=False):
+                ls, rs, cs = columns_of(g["siter"].tolist(), g["slabel"].tolist())
+                lt, rt, ct = columns_of(g["titer"].tolist(), g["tlabel"].tolist())
+                for a in range(0, len(ls), COLUMNS):
+                    zs = np.zeros((len(g), min(COLUMNS, len(ls) - a)), dtype=np.float32)
+                    own = (cs >= a) & (cs < a + COLUMNS)
+                    zs[rs[own], cs[own] - a] = 1
+                    for b in range(0, len(lt), COLUMNS):
+                        zt = np.zeros((len(g), min(COLUMNS, len(lt) - b)), dtype=np.float32)
+                        own = (ct >= b) & (ct < b + COLUMNS)
+                        zt[rt[own], ct[own] - b] = 1
+                        prod = zs.T @ zt
+                        i, j = np.nonzero(prod)
+                        frame = pd.DataFrame(
+                            {
+                                "s": ls.get_level_values(0)[a + i], "a": ls.get_level_values(1)[a + i],
+                                "t": lt.get_level_values(0)[b + j], "b": lt.get_level_values(1)[b + j], "n": prod[i, j].astype(np.int64),
+                            }
+                        )
+                        frame = frame[frame["s"] <= frame["t"]]
+                        for c, v in zip(by, key):
+                            frame[c] = v
+                        yield frame[[*by, "s", "a", "t", "b", "n"]]
 
     types = dict(samples.dtypes)
     head = "".join(f"`{c}` {types[c]}, " for c in by)
-    counts = narrowed.mapInPandas(kernel, f"{head}s int, a int, t int, b int, n long")
+    counts = narrowed.mapInPandas(kernel, f"{head}s int, a {types['label']}, t int, b {types['label']}, n long")
     cells = counts.groupBy(*by, "s", "a", "t", "b").agg(F.sum("n").cast("double").alias("n"))
     return cells.groupBy(*by, "s", "t").agg(F.sum(F.col("n") * F.col("n")).alias("overlap"))
 

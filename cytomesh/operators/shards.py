@@ -214,13 +214,13 @@ def final_assignments(cells: DataFrame, hard: DataFrame) -> DataFrame:
 # --------------------------------------------------------------------------- clustering every shard at once
 
 
-def kmeans_by_shard(cells: DataFrame, k: int, p: int, iters: int = 10, seed: int = 1, vector: str = "pcs") -> DataFrame:
+def kmeans_by_shard(cells: DataFrame, k: int, p: int, iters: int = 1000, seed: int = 1, vector: str = "pcs") -> DataFrame:
     """Lloyd's algorithm for all shards in one job per round: shard_id, cell_id, cluster (0-based).
 
     Centroids of a shard form one short array; rows never gather by shard, so a huge shard is just more rows.
-    Starts from the k cells of each shard with the smallest hashes.
+    Starts from the k cells of each shard with the smallest hashes and goes on until no centroid moves.
     """
-    base = cells.select("shard_id", "cell_id", F.slice(vector, 1, p).alias("v"))
+    base = cut_lineage(cells.select("shard_id", "cell_id", F.slice(vector, 1, p).alias("v")))
     h = F.xxhash64("cell_id", F.lit(seed))
     first = top_k_per_group(base, ["shard_id"], [h, F.col("cell_id")], k)
 

@@ -20,10 +20,9 @@ from pyspark.sql import functions as F
 from cytomesh.functions.kernels import smallest_k
 from cytomesh.operators.core import cut_lineage, salted_join, top_k_per_group, union_all
 
-DEPTH = 30  # levels of the finest grid
+DEPTH = 50  # levels of the finest grid
 LEAF_ROWS = 512  # a leaf is split while it holds more
 LEAVES_PER_TASK = 32  # query leaves that one group of the second round may receive
-SMALL_CANDIDATES = 4096  # up to this many candidates are carried to the queries as they are
 SLACK = 1 + 1e-9  # radii are widened by this before comparing
 KEY = ["realm", "lv", "cx", "cy"]
 
@@ -62,15 +61,19 @@ def assign_leaves(rows: DataFrame, leaf_rows: int = LEAF_ROWS) -> tuple[DataFram
         if level == DEPTH:
             parts.append(keyed)
             break
-        size = keyed.groupBy("realm", "cx", "cy").agg(F.count(F.lit(1)).alias("n"))
-        heavy = size.where(F.col("n") > leaf_rows).select("realm", "cx", "cy", F.lit(True).alias("_heavy"))
-        if heavy.isEmpty():
+        width = F.greatest(F.max("_ix") - F.min("_ix"), F.max("_iy") - F.min("_iy"))
+        size = keyed.groupBy("realm", "cx", "cy").agg(F.count(F.lit(1)).alias("n"), width.alias("width"))
+        heavy = size.where(F.col("n") > leaf_rows).select("realm", "cx", "cy", "width", F.lit(True).alias("_heavy"))
+        widest = heavy.agg(F.max("width")).first()[0]
+        if widest is None:
             parts.append(keyed)
             break
+        heavy = heavy.drop("width")
         flagged = cut_lineage(salted_join(keyed, heavy, ["realm", "cx", "cy"], "left"))
         parts.append(flagged.where(F.col("_heavy").isNull()).drop("_heavy"))
         rest = flagged.where("_heavy").drop("_heavy", "lv", "cx", "cy")
-        level = min(DEPTH, level + 2)
+        # far outliers leave everything else in one small spot: go on at the level that begins to part it
+        level = min(DEPTH, max(level + 2, DEPTH - int(widest).bit_length() + 1))
     return union_all(parts).drop("_ix", "_iy"), span, ext["x0"], ext["y0"]
 
 
@@ -295,45 +298,12 @@ def _locations(points: DataFrame, keep: int) -> DataFrame:
     return top_k_per_group(points, ["realm", "x", "y"], [F.asc("id")], keep)
 
 
-def _knn_small(asks: DataFrame, cand: pd.DataFrame, k: int, self_join: bool, id_type: str) -> DataFrame:
-    """Queries of any number against a checked handful of candidates: a map-only pass."""
-    groups = {r: (g["x"].to_numpy(), g["y"].to_numpy(), g["id"].to_numpy()) for r, g in cand.groupby("realm")}
-
-    def kernel(batches):
-        for pdf in batches:
-            for r, q in pdf.groupby("realm"):
-                if r not in groups:
-                    continue
-                cx, cy, ids = groups[r]
-                step = max(1, 4_000_000 // len(ids))
-                for a in range(0, len(q), step):
-                    part = q.iloc[a : a + step]
-                    dx, dy = part["x"].to_numpy()[:, None] - cx, part["y"].to_numpy()[:, None] - cy
-                    d = np.sqrt(dx * dx + dy * dy)
-                    if self_join:
-                        d[part["id"].to_numpy()[:, None] == ids[None, :]] = np.inf
-                    pick = smallest_k(d, ids, k)
-                    dist = np.take_along_axis(d, pick, 1)
-                    n = pick.shape[1]
-                    out = pd.DataFrame(
-                        {
-                            "src": np.repeat(part["id"].to_numpy(), n), "dst": ids[pick].ravel(), "d": dist.ravel(),
-                            "rk": np.tile(np.arange(1, n + 1, dtype=np.int32), len(part)),
-                        }
-                    )
-                    yield out[np.isfinite(out["d"])]
-
-    src_type = dict(asks.dtypes)["id"]
-    return asks.repartition(_tasks(asks)).mapInPandas(kernel, f"src {src_type}, dst {id_type}, d double, rk int")
-
-
 def knn_join(
     queries: DataFrame | None,
     candidates: DataFrame,
     k: int,
     realm: str | None = None,
     leaf_rows: int = LEAF_ROWS,
-    small: int = SMALL_CANDIDATES,
 ) -> DataFrame:
     """src, dst, d, rk: the k nearest candidates of every query, smaller id first among equal distances.
 
@@ -347,9 +317,6 @@ def knn_join(
     cand = candidates.select(tag.alias("realm"), "id", *pos)
     asks = cand if self_join else queries.select(tag.alias("realm"), "id", *pos)
     id_type = dict(cand.dtypes)["id"]
-    few = cand.limit(small + 1).toPandas() if small else None
-    if few is not None and len(few) <= small:
-        return _knn_small(asks, few, k, self_join, id_type)
     places = _locations(cand, need)
     rows = places.select("realm", "x", "y", "id", F.lit(True).alias("is_c"), (F.lit(self_join) & (F.col("rk") == 1)).alias("is_q"))
     if not self_join:
@@ -366,27 +333,8 @@ def knn_join(
     )
 
 
-def _foreign_small(ask: DataFrame, cand: pd.DataFrame, id_type: str) -> DataFrame:
-    """The closest candidate of another label, for a checked handful of candidates: a map-only pass."""
-    cx, cy, ids, labs = (cand[c].to_numpy() for c in ("x", "y", "id", "qlab"))
-
-    def kernel(batches):
-        for pdf in batches:
-            if len(pdf) and len(ids):
-                res = _nearest(
-                    pdf["x"].to_numpy(), pdf["y"].to_numpy(), pdf["qlab"].to_numpy(), np.full(len(pdf), np.inf), cx, cy, ids, labs, 1, True
-                )
-                out = pdf.iloc[res[0]][["id", "qlab"]].reset_index(drop=True)
-                out["nid"], out["nd"] = res[1], res[2]
-                yield out[np.isfinite(out["nd"])]
-
-    return ask.select("id", "x", "y", "qlab").mapInPandas(kernel, f"id {id_type}, qlab bigint, nid {id_type}, nd double").select(
-        F.col("qlab").alias("label"), F.col("id").alias("src"), F.col("nid").alias("dst"), F.col("nd").alias("d")
-    )
-
-
 def nearest_foreign(
-    points: DataFrame, asking: DataFrame | None = None, leaf_rows: int = LEAF_ROWS, small: int = SMALL_CANDIDATES
+    points: DataFrame, asking: DataFrame | None = None, leaf_rows: int = LEAF_ROWS
 ) -> DataFrame:
     """label, src, dst, d: for every label group the closest pair to a point of another group.
 
@@ -397,10 +345,6 @@ def nearest_foreign(
     ask = unit if asking is None else salted_join(unit, asking.select(F.col("label").cast("bigint").alias("qlab")).distinct(), ["qlab"])
     id_type = dict(unit.dtypes)["id"]
     best = F.min(F.struct("d", F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), "src", "dst")).alias("m")
-    few = unit.limit(small + 1).toPandas() if small else None
-    if few is not None and len(few) <= small:
-        own = _foreign_small(ask, few, id_type)
-        return own.groupBy("label").agg(best).select("label", "m.src", "m.dst", "m.d")
     # two different labels per location are enough to serve any asking label
     two = top_k_per_group(unit, ["realm", "x", "y"], [F.asc("id")], 2)
     places = two.select(

@@ -345,7 +345,7 @@ _REPL_SQL = (
 @query(
     "B8_replicate_summary",
     f"WITH {R.SAMPLES_SQL}, {_TRUTH_SQL}, {_REPL_SQL}{ari_sql('runs', 'truth', 'label', 'method, run')}, "
-    f"sc AS (SELECT method, run, {rs('ari')} AS score FROM ari), "
+    f"sc AS (SELECT method, run, {rs('ari', 9)} AS score FROM ari), "
     "kk AS (SELECT method, run, count(DISTINCT label) AS k FROM runs GROUP BY 1, 2), kf AS (SELECT method, k, count(*) AS f FROM kk GROUP BY 1, 2), "
     "mk AS (SELECT method, k AS modal_k FROM kf QUALIFY row_number() OVER (PARTITION BY method ORDER BY f DESC, k) = 1), "
     "br AS (SELECT method, score AS best_score, run AS best_run FROM sc QUALIFY row_number() OVER (PARTITION BY method ORDER BY score DESC, run) = 1) "
@@ -359,7 +359,7 @@ def b8(spark, sf_dir):
         F.concat(F.lit("s"), F.lpad(F.col("iter").cast("string"), 2, "0")).alias("run"),
         "label", "truth",
     )
-    scores = M.ari(runs, "truth", "label", ["method", "run"]).select("method", "run", r("ari", name="score"))
+    scores = M.ari(runs, "truth", "label", ["method", "run"]).select("method", "run", r("ari", 9, name="score"))
     counts = runs.select("method", "run", "label").distinct().groupBy("method", "run").agg(F.count(F.lit(1)).alias("k"))
     return rounded(B.replicate_summary(scores, counts), ["mean", "sd", "se", "q1", "median", "q3"])
 

@@ -49,7 +49,7 @@ def f6(spark, sf_dir):
 
 @query("F7_gmm")
 def f7(spark, sf_dir):
-    return K.gmm(_cells(spark, sf_dir), 4, 5, seeds=(1, 2))
+    return K.gmm(_cells(spark, sf_dir), 4, 5)
 
 
 @query("F8_sweep")

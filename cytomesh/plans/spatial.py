@@ -103,6 +103,15 @@ def g5(spark, sf_dir):
     return N.suggest_radius(R.points(spark, sf_dir))
 
 
+@query(
+    "G5_radius_of_all_points",
+    f"WITH {_CELLS}, {_knn_sql(4)} SELECT {rs('quantile_disc(d, 0.5)')} AS radius FROM knn WHERE rk = 4",
+)
+def g5b(spark, sf_dir):
+    """The radius alone: it comes from all points, whatever the sample."""
+    return rounded(N.suggest_radius(_cells(spark, sf_dir), n=50).select("radius"), ["radius"])
+
+
 @query(
     "G6_degree_stats",
     f"WITH {_RAD}, e AS (SELECT src AS id FROM rad UNION ALL SELECT dst FROM rad), g AS (SELECT points.id, count(e.id) AS degree FROM points LEFT JOIN e ON e.id = points.id GROUP BY 1) "

@@ -159,12 +159,11 @@ def s7(spark, sf_dir):
 
 @query(
     "S8_export_labels",
-    f"WITH {R.SAMPLES_SQL} SELECT obs_id, max(CASE WHEN iter = 1 THEN label END) AS run_1, max(CASE WHEN iter = 2 THEN label END) AS run_2, "
-    "max(CASE WHEN iter = 3 THEN label END) AS run_3 FROM samples GROUP BY 1",
+    f"WITH {R.SAMPLES_SQL} SELECT obs_id, " + ", ".join(f"max(CASE WHEN iter = {i} THEN label END) AS run_{i}" for i in range(1, 32)) + " FROM samples GROUP BY 1",
 )
 def s8(spark, sf_dir):
     long = R.samples(spark, sf_dir).withColumn("run", F.concat(F.lit("run_"), F.col("iter").cast("string")))
-    return writers.export_labels(long, ["obs_id"], ["run_1", "run_2", "run_3"])
+    return writers.export_labels(long, ["obs_id"], [f"run_{i}" for i in range(1, 32)])
 
 
 # --------------------------------------------------------------------------- projections and filters
@@ -416,8 +415,9 @@ def j3(spark, sf_dir):
 _J4_SQL = (
     "WITH e AS (SELECT o_custkey AS r, o_orderpriority AS p, max(o_orderstatus) AS label FROM orders GROUP BY 1, 2), "
     "a AS (SELECT r, label FROM e WHERE p = '1-URGENT'), b AS (SELECT r, label FROM e WHERE p = '2-HIGH'), "
-    "c AS (SELECT r, label FROM e WHERE p = '5-LOW') "
-    "SELECT r, a.label AS urgent, b.label AS high, c.label AS low FROM a FULL JOIN b USING (r) FULL JOIN c USING (r)"
+    "c AS (SELECT r, label FROM e WHERE p = '3-MEDIUM'), d AS (SELECT r, label FROM e WHERE p = '4-NOT SPECIFIED'), f AS (SELECT r, label FROM e WHERE p = '5-LOW') "
+    "SELECT r, a.label AS urgent, b.label AS high, c.label AS medium, d.label AS unspecified, f.label AS low "
+    "FROM a FULL JOIN b USING (r) FULL JOIN c USING (r) FULL JOIN d USING (r) FULL JOIN f USING (r)"
 )
 
 
@@ -427,7 +427,7 @@ def _j4_tables(spark, sf_dir):
         .groupBy(F.col("o_custkey").alias("r"), F.col("o_orderpriority").alias("p"))
         .agg(F.max("o_orderstatus").alias("label"))
     )
-    names = {"urgent": "1-URGENT", "high": "2-HIGH", "low": "5-LOW"}
+    names = {"urgent": "1-URGENT", "high": "2-HIGH", "medium": "3-MEDIUM", "unspecified": "4-NOT SPECIFIED", "low": "5-LOW"}
     return {n: e.where(F.col("p") == v).select("r", "label") for n, v in names.items()}
 
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SUMMARY_ROWS = 1_000_000
+SUMMARY_ROWS = 1_000_000  # more go to several files
 
 
 def write_shards(df: DataFrame, path: str, fmt: str = "parquet", files_per_shard: int = 8) -> None:
@@ -19,10 +19,9 @@ def write_shards(df: DataFrame, path: str, fmt: str = "parquet", files_per_shard
 
 
 def write_summary(df: DataFrame, path: str) -> None:
-    """A small table as one CSV file; refuses anything that is not small."""
-    if df.limit(SUMMARY_ROWS + 1).count() > SUMMARY_ROWS:
-        raise ValueError("too many rows for a one-file summary; use a partitioned write")
-    df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    """A table as CSV below ``path``: one file, or as many as its partitions where it is not small."""
+    small = df.limit(SUMMARY_ROWS + 1).count() <= SUMMARY_ROWS
+    (df.coalesce(1) if small else df).write.mode("overwrite").option("header", True).csv(path)
 
 
 def export_labels(long: DataFrame, ids: Sequence[str], runs: Sequence[str], run: str = "run", label: str = "label") -> DataFrame:

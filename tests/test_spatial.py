@@ -33,22 +33,21 @@ def as_dict(df):
     return {s: list(zip(g.dst.tolist(), g.d.tolist())) for s, g in df.sort_values(["src", "rk"]).groupby("src")}
 
 
-@pytest.mark.parametrize("small,leaf", [(0, 64), (4096, 64)])
-def test_knn_matches_brute_force(spark, cloud, small, leaf):
+@pytest.mark.parametrize("leaf", [64, 512])
+def test_knn_matches_brute_force(spark, cloud, leaf):
     df = spark.createDataFrame(cloud)
-    assert as_dict(knn_join(None, df, 4, leaf_rows=leaf, small=small).toPandas()) == brute(cloud, cloud, 4, True)
+    assert as_dict(knn_join(None, df, 4, leaf_rows=leaf).toPandas()) == brute(cloud, cloud, 4, True)
 
 
 def test_far_queries(spark, cloud):
     rng = np.random.default_rng(1)
     q = pd.DataFrame({"id": np.arange(80), "x": rng.uniform(-300, 300, 80), "y": rng.uniform(-300, 300, 80)})
-    got = knn_join(spark.createDataFrame(q), spark.createDataFrame(cloud), 2, leaf_rows=64, small=0).toPandas()
+    got = knn_join(spark.createDataFrame(q), spark.createDataFrame(cloud), 2, leaf_rows=64).toPandas()
     assert as_dict(got) == brute(q, cloud, 2, False)
 
 
-@pytest.mark.parametrize("small", [0, 4096])
-def test_nearest_foreign(spark, cloud, small):
-    got = nearest_foreign(spark.createDataFrame(cloud), leaf_rows=64, small=small).toPandas().set_index("label")
+def test_nearest_foreign(spark, cloud):
+    got = nearest_foreign(spark.createDataFrame(cloud), leaf_rows=64).toPandas().set_index("label")
     for lab, own in cloud.groupby("label"):
         other = cloud[cloud.label != lab]
         best = min(np.sqrt((other.x - r.x) ** 2 + (other.y - r.y) ** 2).min() for r in own.itertuples())
@@ -82,3 +81,29 @@ def test_bridging_equals_greedy_growth(spark):
         want.add((min(a[i], o[j]), max(a[i], o[j])))
         cur[cur == cur[o[j]]] = giant
     assert got == want
+
+
+def test_outlier_does_not_gather_the_rest(spark):
+    from pyspark.sql import functions as F
+
+    from cytomesh.operators.spatial_index import assign_leaves
+
+    rng = np.random.default_rng(7)
+    pts = pd.DataFrame({"id": np.arange(5001), "x": np.append(rng.uniform(0, 1, 5000), 1e10), "y": np.append(rng.uniform(0, 1, 5000), -1e10)})
+    rows, *_ = assign_leaves(spark.createDataFrame(pts).withColumn("realm", F.lit("")), 100)
+    assert rows.groupBy("realm", "lv", "cx", "cy").count().agg(F.max("count")).first()[0] < 200
+    got = knn_join(None, spark.createDataFrame(pts), 2, leaf_rows=100).toPandas()
+    some = pts.iloc[[0, 1, 2, 4999, 5000]]
+    want = brute(some, pts, 3, False)
+    found = as_dict(got)
+    for i in some.id:
+        assert [d for _, d in found[i]] == pytest.approx([d for j, d in want[i] if j != i][:2])
+
+
+def test_suggested_radius_follows_the_density(spark):
+    rng = np.random.default_rng(3)
+    for n in (500, 4000):
+        pts = spark.createDataFrame(pd.DataFrame({"id": np.arange(n), "x": rng.uniform(0, 1, n), "y": rng.uniform(0, 1, n)}))
+        row = neighbors.suggest_radius(pts, n=200).first()
+        deg = neighbors.degree_stats(neighbors.radius_graph(pts, row["radius"]), pts).first()
+        assert deg["median"] in (3.5, 4.0, 4.5, 5.0)
