@@ -71,11 +71,10 @@ def square(spark):
     return readers.read_boundary(spark.createDataFrame(rows, "polygon_id int, ring_id int, seq int, x double, y double"))
 
 
-@pytest.mark.parametrize("slabs", [False, True])
+@pytest.mark.parametrize("slabs", [1, 4096])
 def test_square_with_hole(spark, slabs):
     pts = spark.createDataFrame([(1, 0.5, 0.5), (2, 0.2, 0.2), (3, 1.0, 0.5), (4, 2.0, 2.0)], "id int, x double, y double")
-    fn = (lambda p, s: joins._points_in_polygons_by_slab(p, s, "id", "inside")) if slabs else joins.points_in_polygons
-    got = {r["id"]: r["inside"] for r in fn(pts, square(spark)).collect()}
+    got = {r["id"]: r["inside"] for r in joins.points_in_polygons(pts, square(spark), slabs=slabs).collect()}
     assert got == {1: False, 2: True, 3: True, 4: False}
 
 
