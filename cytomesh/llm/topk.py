@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cytomesh.llm.common import table, written
+from cytomesh.llm.common import hash_sample, table, written
 
 #: Fixed by the task.
 K = 5
@@ -112,11 +112,11 @@ class Index:
 
     def __init__(self, vectors: DataFrame, pivots: int = PIVOTS, annuli: int = ANNULI):
         lengths = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x)
-        top = vectors.agg(F.max(lengths).alias("m"), F.max(F.size("v")).alias("w")).first()
+        top = vectors.agg(F.max(lengths).alias("m"), F.max(F.size("v")).alias("w"), F.count(F.lit(1)).alias("n")).first()
         self.empty = top["w"] is None
         if self.empty:
             return
-        sample = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toArrow().column("v").combine_chunks()
+        sample = hash_sample(vectors, top["n"], SAMPLE, "vec_id").toArrow().column("v").combine_chunks()
         self.geometry = Geometry(top["w"], top["m"] * (1 + ROUNDING), _matrix(sample, top["w"]), pivots)
         self.rows, self.annuli = self._build(vectors, annuli)
 
