@@ -43,7 +43,7 @@ CACHE_WORDS = 300_000
 #: White space for str.split, but not for the vocabulary.
 NOT_SPACE = re.compile("[\x1c-\x1f]")
 
-PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, row_hash bigint, ids binary"
+PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, row_id bigint, row_hash bigint, ids binary"
 
 
 def _words(text: str) -> list[str]:
@@ -121,7 +121,7 @@ def _parts(text: str, size: int = 1 << 20) -> Iterator[str]:
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = True) -> DataFrame:
-    """One row per piece: doc_id, piece, start, length, ids_crc32, ``ids`` (little-endian, if asked for) and a hash of the row."""
+    """One row per piece: doc_id, piece, start, length, ids_crc32, ``ids`` (little-endian, if asked for) and the row's number and hash."""
 
     def tokenized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = WordTokenizer(tokenizer_path)
@@ -130,11 +130,11 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)
                 texts = part.column("text").to_pylist()
-                hashes = part.column("row_hash").to_pylist()
+                rows = zip(part.column("row_id").to_pylist(), part.column("row_hash").to_pylist(), strict=True)
                 out = defaultdict(list)
                 long = [t for t in texts if t is not None and len(t) > 1 << 20]
                 ready = iter(tok.ids([t or "" for t in texts if t is None or len(t) <= 1 << 20], end_id))
-                for doc_id, text, h in zip(part.column("doc_id").to_pylist(), texts, hashes, strict=True):
+                for doc_id, text, (row_id, h) in zip(part.column("doc_id").to_pylist(), texts, rows, strict=True):
                     if long and text is not None and len(text) > 1 << 20:
                         ids = b"".join(tok.ids([p], end_id)[0][:-4] for p in _parts(text)) + np.asarray([end_id], "<u4").tobytes()
                     else:
@@ -146,15 +146,16 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
                         out["start"].append(start // 4)
                         out["length"].append(len(own) // 4)
                         out["ids_crc32"].append(zlib.crc32(own))
+                        out["row_id"].append(row_id)
                         out["row_hash"].append(h)
                         out["ids"].append(own if with_ids else None)
-                types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-                names = ["doc_id", "piece", "start", "length", "ids_crc32", "row_hash", "ids"]
+                types = [pa.int64(), pa.int32(), *[pa.int64()] * 5, pa.binary()]
+                names = ["doc_id", "piece", "start", "length", "ids_crc32", "row_id", "row_hash", "ids"]
                 yield pa.RecordBatch.from_arrays([pa.array(out[n], t) for n, t in zip(names, types, strict=True)], names)
 
     # repeated rows get hashes of their own; the pieces are written, so that a lost task changes none
     spread = F.shiftright(F.xxhash64("doc_id", "text", F.monotonically_increasing_id()), 33) + 2**30
-    own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", spread.alias("row_hash"))
+    own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.monotonically_increasing_id().alias("row_id"), spread.alias("row_hash"))
     return own.mapInArrow(tokenized, PIECES)
 
 
@@ -313,10 +314,13 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 
 
 def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, with_ids: bool = True) -> DataFrame:
-    """All pieces with their ids and their place."""
+    """All pieces with their ids and their place. Places are found without the ids, which are dealt once, to join them."""
     found = written(pieces(docs, tokenizer or tokenizer_path(), capacity, with_ids=with_ids))
-    return pack(found, capacity).drop("row_hash")
+    placed = pack(found.drop("ids"), capacity).drop("row_hash")
+    if with_ids:
+        placed = placed.join(found.select("row_id", "piece", "ids"), ["row_id", "piece"])
+    return placed.drop("row_id")
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_documents(table(spark, sf_dir, "documents"), with_ids=False).drop("ids")
+    return pack_documents(table(spark, sf_dir, "documents"), with_ids=False)
