@@ -9,7 +9,8 @@
    only, each with the one it meets in most bands; buckets that hold several components after that are compared in
    blocks of bounded size. So a group of copies costs its size, not its square, and no partner is ever given up.
 4. Candidates are estimated from the sketches, corrected for chance agreement of registers; what may reach the threshold
-   is verified on the full sets, recomputed from the texts. A text is sent once for many partners.
+   is verified on the full sets, recomputed from the texts. A text is sent once for many partners. Texts are fetched by
+   id and digest, so one without an id is found like any other.
 5. Components of the verified links are found by star contractions.
 
 A pair of similarity 0.75 misses all bands with probability (1 - 0.75**6)**48 = 0.00008; 0.8 with 0.0000005. The
@@ -27,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cytomesh.llm.common import table, written
@@ -159,8 +160,17 @@ def sketch(own: np.ndarray) -> np.ndarray:
     return regs
 
 
+def text_digest() -> Column:
+    return F.unhex(F.md5("text"))
+
+
+def id_order() -> Column:
+    """Rows by their ids, null last, then by their texts."""
+    return F.struct(F.col("doc_id").isNull().alias("void"), "doc_id", "mark")
+
+
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, fp (digest of the whole set; null if empty), regs."""
+    """doc_id, mark (digest of the text), n_shingles, fp (digest of the whole set; null if empty), regs."""
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -170,15 +180,16 @@ def signatures(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("doc_id"),
+                        part.column("mark"),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([hashlib.blake2b(s, digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
                         pa.array([sketch(s).tobytes() if len(s) else None for s in sets], pa.binary()),
                     ],
-                    ["doc_id", "n_shingles", "fp", "regs"],
+                    ["doc_id", "mark", "n_shingles", "fp", "regs"],
                 )
 
-    own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    return own.mapInArrow(signed, "doc_id bigint, n_shingles bigint, fp binary, regs binary")
+    own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_digest().alias("mark"), "text")
+    return own.mapInArrow(signed, "doc_id bigint, mark binary, n_shingles bigint, fp binary, regs binary")
 
 
 def estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
@@ -217,17 +228,18 @@ def estimated(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def texts_of(ids: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """nid, fp, text of the nodes in ``ids``; every text whose id is a node's."""
-    wanted = written(ids.join(nodes.select("nid", "rep", "fp"), "nid"))
-    known = docs.select(F.col("doc_id").cast("bigint").alias("rep"), "text")
-    found = known.join(F.broadcast(wanted) if wanted.count() <= NARROW_ROWS else wanted, "rep")
-    return written(found.dropDuplicates(["nid", "rep", "text"]).select("nid", "fp", "text"))
+    """nid, fp, text of the nodes in ``ids``, by the id, which may be null, and the digest of one of their texts."""
+    wanted = written(ids.join(nodes.select("nid", "rep", F.col("mark").alias("rep_mark"), "fp"), "nid"))
+    known = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_digest().alias("mark"), "text")
+    same = F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("mark") == F.col("rep_mark"))
+    found = known.join(F.broadcast(wanted) if wanted.count() <= NARROW_ROWS else wanted, same)
+    return written(found.select("nid", "fp", "text").distinct())
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough. Texts of b are the fewer; each serves up to PARTNERS of a.
 
-    Texts are fetched by id; should an id stand for several texts, the set's digest tells which is meant.
+    The set's digest tells whether a text is the one that is meant.
     """
     pairs = written(pairs)
     texts = texts_of(pairs.select(F.explode(F.array("a", "b")).alias("nid")).distinct(), nodes, docs)
@@ -330,7 +342,7 @@ def block_links(members: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFr
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _grouped(batches):
-            # an id that stands for several texts: the digest tells which is meant
+            # the set's digest tells whether a text is the one that is meant
             sets = shingle_sets([r[10] or "" for r in group])
             good = [k for k, r in enumerate(group) if hashlib.blake2b(sets[k], digest_size=16).digest() == r[9]]
             group, sets = [group[k] for k in good], [sets[k] for k in good]
@@ -364,7 +376,9 @@ def block_links(members: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFr
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row."""
     signed = written(signatures(docs))
-    nodes = signed.where("fp IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("regs").alias("regs"))
+    least = F.min(id_order()).alias("least")  # of a set without ids too: a null id, and the digest of a text
+    nodes = signed.where("fp IS NOT NULL").groupBy("fp").agg(least, F.first("n_shingles").alias("n_shingles"), F.first("regs").alias("regs"))
+    nodes = nodes.select("fp", F.col("least.doc_id").alias("rep"), "least.mark", "n_shingles", "regs")
     nodes = written(nodes.withColumn("nid", F.monotonically_increasing_id()))
     members = written(band_members(nodes))
     # every node with the hub it meets in most bands

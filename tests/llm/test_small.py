@@ -192,6 +192,20 @@ def test_near_duplicate_chain(spark):
     assert {r.doc_id: r.component_id for r in neardup.near_duplicates(df).collect()} == dict(zip([r[0] for r in rows], plain.near_duplicates(rows)))
 
 
+def test_near_duplicates_without_ids(spark):
+    """Near copies of which one side, or all, have null ids only, and a chain that runs over such a text."""
+
+    def steps(tag, n):
+        base = [f"{tag}{i}" for i in range(400)]
+        return [" ".join([f"{tag}c{i}" for i in range(40 * k)] + base[40 * k :]) for k in range(n)]
+
+    a, b, c = steps("a", 3), steps("b", 2), steps("c", 2)
+    rows = [(1, a[0]), (None, a[1]), (3, a[2]), (None, b[0]), (None, b[0]), (None, b[1]), (None, c[0]), (7, c[1]), (None, "alone " * 9)]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    found = bag((r.doc_id, r.component_id, r.kept) for r in got)
+    assert found == bag([(1, 1, True), (None, 1, False), (3, 1, False), (None, None, True), (None, None, True), (None, None, True), (None, 7, False), (7, 7, True), (None, None, True)])
+
+
 def test_estimates():
     rng = np.random.default_rng(1)
     errors = []
