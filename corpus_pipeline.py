@@ -6,7 +6,7 @@ Parquet and read again for the next one. All but the last return the columns of
 1. language: documents without a known language, or too unlike the profile of every language, go. A missing ``lang`` is
    filled with the prediction; given ones stay.
 2. quality: lines that fail the line rules go, then documents that fail the base rules or lost too much text.
-3. near_duplicates: of every group of near-duplicates the document with the smallest id stays.
+3. near_duplicates: of every group of near-duplicates one row stays, the one with the smallest id.
 4. mixing: documents are taken as often as the target of their source asks for, up to twice.
 5. packing: token sequences of at most 2,048 ids, one row per piece with its ids and its place.
 

@@ -373,8 +373,8 @@ def block_links(members: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFr
     return written(dealt.mapInArrow(joined, "a bigint, b bigint"))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every row."""
+def grouped(docs: DataFrame) -> DataFrame:
+    """doc_id, mark, n_shingles, root (of the component; null for empty sets) and component_id of every row."""
     signed = written(signatures(docs))
     least = F.min(id_order()).alias("least")  # of a set without ids too: a null id, and the digest of a text
     nodes = signed.where("fp IS NOT NULL").groupBy("fp").agg(least, F.first("n_shingles").alias("n_shingles"), F.first("regs").alias("regs"))
@@ -394,20 +394,38 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     found = components(links.select(F.col("a").alias("v"), F.col("b").alias("u")))
     roots = nodes.select("nid", "fp", "rep").join(found.withColumnRenamed("v", "nid"), "nid", "left").withColumn("root", F.coalesce("root", "nid"))
     least = roots.groupBy("root").agg(F.min("rep").alias("component_id"))
-    by_set = written(roots.join(least, "root").select(F.col("fp").alias("_fp"), "component_id"))
+    by_set = written(roots.join(least, "root").select(F.col("fp").alias("_fp"), "root", "component_id"))
     out = signed.drop("regs").join(by_set, F.col("fp") == F.col("_fp"), "left")
-    component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return out.select("doc_id", "mark", "n_shingles", "root", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of every row."""
+    kept = F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")
+    return grouped(docs).select("doc_id", "n_shingles", "component_id", kept)
 
 
 def without_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of the documents that stay, one of every group; of equal rows with one id, one."""
-    found = written(near_duplicates(docs.select("doc_id", "text")).where("kept").select(F.col("doc_id").alias("_kept")))
-    rows = found.count()
-    ids = found.distinct()
-    stay = docs.join(F.broadcast(ids) if rows <= NARROW_ROWS else ids, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
-    # texts are dealt by id only if some id is there twice
-    return stay if ids.count() == rows else stay.dropDuplicates(["doc_id", "text"])
+    """The rows of the documents that stay, one of every group, the first by id and text; of equal rows with one id, one.
+
+    Texts without words are in no group, so they stay.
+    """
+    rows = grouped(docs.select("doc_id", "text")).groupBy("root", "doc_id", "mark").agg(F.count(F.lit(1)).alias("n"))
+    rows = written(rows)
+    first = F.min(F.struct(id_order().alias("o"), "n")).alias("m")
+    groups = rows.where("root IS NOT NULL").groupBy("root").agg(first).select("m.o.doc_id", "m.o.mark", "m.n")
+    alone = rows.where("root IS NULL").select("doc_id", "mark", "n")
+    keys = written(groups.unionByName(alone).select(F.col("doc_id").alias("_kept"), F.col("mark").alias("_mark"), (F.col("n") > 1).alias("_more")))
+
+    def of(part: DataFrame) -> DataFrame:
+        same = F.col("doc_id").eqNullSafe(F.col("_kept")) & text_digest().eqNullSafe(F.col("_mark"))
+        return docs.join(F.broadcast(part) if part.count() <= NARROW_ROWS else part, same, "left_semi")
+
+    # texts are dealt only where equal rows share an id
+    more = keys.where("_more")
+    if more.isEmpty():
+        return of(keys)
+    return of(keys.where("NOT _more")).unionByName(of(more).dropDuplicates(["doc_id", "text"]))
 
 
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

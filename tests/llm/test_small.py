@@ -206,6 +206,18 @@ def test_near_duplicates_without_ids(spark):
     assert found == bag([(1, 1, True), (None, 1, False), (3, 1, False), (None, None, True), (None, None, True), (None, None, True), (None, 7, False), (7, 7, True), (None, None, True)])
 
 
+def test_one_row_of_a_group_stays(spark):
+    """Null ids, and an id that stands for several texts, beside rows of the same id that are kept."""
+    far = {k: " ".join(f"{k}{i}" for i in range(400)) for k in "abcd"}
+    near = {k: "changed " + t for k, t in far.items()}
+    rows = [(None, far["a"]), (1, far["b"]), (None, near["b"]), (None, far["b"]), (2, far["c"]), (3, near["c"]), (3, far["d"]), (3, far["d"]), (5, near["d"]), (None, None), (9, "")]
+    rows += [(None, "alone " + t) for t in ("one two three four", "five six seven eight", "five six seven eight")]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id bigint, text string, mark string")
+    stay = neardup.without_duplicates(df)
+    want = [(None, far["a"]), (1, far["b"]), (2, far["c"]), (3, far["d"]), (None, None), (9, ""), *rows[-3:-1]]
+    assert bag((r.doc_id, r.text) for r in stay.collect()) == bag(want) and stay.columns == df.columns
+
+
 def test_estimates():
     rng = np.random.default_rng(1)
     errors = []
