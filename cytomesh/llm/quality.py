@@ -1,8 +1,8 @@
 """Line-first cleaning: rules on every line, then a verdict on what is left of the document.
 
 A line with words fails when it is
-* punctuation: more than ``MARKS_SHARE`` of its characters other than white space are neither letters nor digits nor
-  common sentence marks, or most of its words end in a doubled mark,
+* punctuation: more than ``MARKS_SHARE`` of its characters other than white space are neither letters, with their
+  combining marks and joiners, nor digits nor common sentence marks, or most of its words end in a doubled mark,
 * navigation: separators between its parts, as in menus and tables, are as many as every ``BAR_WORDS``-th word,
 * boilerplate: it holds one of ``BOILERPLATE`` and is short,
 * repeated: an equal line stands before it.
@@ -39,7 +39,9 @@ BOILERPLATE_WORDS = 20
 KEEP_SHARE = 0.5
 
 HAS_WORD = r"[^\x20\x09-\x0D]"
-ODD_MARK = r"[^\p{L}\p{N}\s.,;:!?'\"()\-–—’“”«»¿¡]"
+#: Sentence marks of other scripts: Armenian, Hebrew, Arabic, Indic, Myanmar, Ethiopic, Khmer, Tibetan, East Asian.
+SCRIPT_MARKS = r"\u055A-\u055F\u0589\u05BE\u05C3\u05F3\u05F4\u060C\u061B\u061F\u06D4\u0964\u0965\u104A\u104B\u1361-\u1368\u17D4-\u17D6\u0F0B-\u0F0E\u3001\u3002\u3008-\u3011\u30FB\uFF01\uFF08\uFF09\uFF0C\uFF0E\uFF1A\uFF1B\uFF1F"
+ODD_MARK = r"[^\p{L}\p{M}\p{N}\s.,;:!?'\"()\-–—’“”«»¿¡\u200C\u200D" + SCRIPT_MARKS + "]"
 DOUBLED = r"[!?*#$%&]{2,}(?=[\x20\x09-\x0D]|$)"
 BAR = r"(?:^|[\x20\x09])[|»›·•](?=[\x20\x09]|$)"
 

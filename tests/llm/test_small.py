@@ -355,6 +355,21 @@ def test_quality(docs, rows, empty, spark):
     assert kept.columns == docs.columns and kept.count() == sum(r.v.kept for r in got)
 
 
+def test_quality_other_scripts(spark):
+    """Vowel signs, points and joiners belong to letters; lines of symbols still fail."""
+    texts = [
+        "यह एक साधारण हिन्दी वाक्य है, जिसमें सभी मात्राएँ सही हैं।\nदिल्ली में आज मौसम बहुत अच्छा है और लोग बाहर घूम रहे हैं।",
+        "বাংলাদেশের মানুষ প্রতিদিন সকালে কাজ করতে যায়।\nতারা সন্ধ্যায় বাড়িতে ফিরে পরিবারের সঙ্গে খাবার খায়।",
+        "بِسْمِ اللَّهِ الرَّحْمَنِ الرَّحِيمِ الْحَمْدُ لِلَّهِ رَبِّ الْعَالَمِينَ، مَالِكِ يَوْمِ الدِّينِ",
+        "e\u0301te\u0301 a\u0300 la re\u0301publique e\u0301tait de\u0301ja\u0300 passe\u0301 et l'e\u0301cole a e\u0301te\u0301 ferme\u0301e",
+        " ".join(["=== ~~~ @@@ ^^^ +++ ___"] * 3),
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    told = [r.v for r in quality.assess(df).orderBy("row.doc_id").collect()]
+    assert [v.kept for v in told] == [True] * 4 + [False]
+    assert all(v.clean_text == t and v.clean_words == v.n_words for v, t in zip(told[:4], texts)) and told[4].clean_words == 0
+
+
 def test_packing(docs, rows, empty, spark):
     from tokenizers import Tokenizer
 
