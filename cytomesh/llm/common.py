@@ -52,13 +52,19 @@ def words(text: Column) -> Column:
 
 
 def hash_sample(df: DataFrame, rows: int, n: int, *key: str) -> DataFrame:
-    """The n rows with the smallest hashes of ``key``, of ``rows`` in all.
+    """The n rows with the smallest hashes of ``key``, of ``rows`` in all (the rows of ``df``).
 
-    Rows are filtered by a hash threshold first, so tasks send the driver about 4 n rows together, not n each.
+    Rows are filtered by a hash threshold first, so tasks hand on about 4 n rows together, not n each. Should fewer than
+    n pass, as equal rows share a hash, the threshold is widened.
     """
     h, share = F.xxhash64(*key), 4.0 * n / max(rows, 1)
-    near = df.where(h < F.lit(int((2.0 * share - 1.0) * 2**63))) if share < 1 else df
-    return near.orderBy(h, *key).limit(n)
+    while share < 1:
+        near = df.where(h < F.lit(int((2.0 * share - 1.0) * 2**63)))
+        found = written(near.orderBy(h, *key).limit(n))
+        if found.count() >= min(n, rows):
+            return found.orderBy(h, *key)
+        share *= 4
+    return df.orderBy(h, *key).limit(n)
 
 
 def crc32_of(column: str) -> Column:

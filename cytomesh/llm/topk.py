@@ -116,7 +116,7 @@ class Index:
         self.empty = top["w"] is None
         if self.empty:
             return
-        sample = hash_sample(vectors, top["n"], SAMPLE, "vec_id").toArrow().column("v").combine_chunks()
+        sample = hash_sample(vectors, top["n"], SAMPLE, "vec_id", "v").toArrow().column("v").combine_chunks()
         self.geometry = Geometry(top["w"], top["m"] * (1 + ROUNDING), _matrix(sample, top["w"]), pivots)
         self.rows, self.annuli = self._build(vectors, annuli)
 

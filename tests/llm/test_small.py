@@ -16,7 +16,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 import plain
 
 from cytomesh.llm import chat, components, langid, mixing, neardup, packing, quality, recurrent, scoring, sharding, topk, warc
-from cytomesh.llm.common import scratch_path
+from cytomesh.llm.common import hash_sample, scratch_path
 
 DOCS = "doc_id bigint, text string, lang string, source string, size string, row string, pos string, edge string, copies string, nid string, shard string"
 EN, FR = "the quick brown fox jumps over the lazy dog and then it rests near a quiet river bank", "le renard brun saute par dessus le chien et puis il dort au bord de la rivière calme"
@@ -341,6 +341,21 @@ def test_scoring(docs, rows, empty):
     assert {r.score for r in scoring.score_documents(own.where("held_out")).collect()} == {0.0}
 
 
+def test_sample_is_full(spark, monkeypatch):
+    """Rows that share a hash, and training rows of which only few are short enough for the sample."""
+    same = spark.range(3000).selectExpr("5L AS doc_id", "'x' AS text")
+    assert hash_sample(same, 3000, 40, "doc_id", "text").count() == 40
+    mixed = spark.range(3000).selectExpr("id AS doc_id", "CAST(id AS string) AS text")
+    h = scoring.F.xxhash64("doc_id")
+    want = [r.doc_id for r in mixed.orderBy(h, "doc_id").limit(40).collect()]
+    assert [r.doc_id for r in hash_sample(mixed, 3000, 40, "doc_id").collect()] == want
+    # 400 short documents among 3,400 training rows
+    sizes, train = [], scoring.train_model
+    monkeypatch.setattr(scoring, "train_model", lambda sample, *a: sizes.append(len(sample)) or train([], *a))
+    rows = spark.range(3400).selectExpr("id AS doc_id", "IF(id < 400, concat('some words ', id), repeat('long ', 4100)) AS text", "false AS held_out")
+    assert scoring.score_documents(rows).limit(1).count() == 1 and sizes == [scoring.SAMPLE_DOCS]
+
+
 def test_quality(docs, rows, empty, spark):
     got = quality.assess(docs).collect()
     assert bag((r.row.doc_id, r.v.n_words, r.v.word_chars, r.v.n_symbols, r.v.n_dup_lines, r.v.n_repeat_words, r.v.base_failed) for r in got) == bag((i, *plain.quality(t)) for i, t, *_ in rows)
