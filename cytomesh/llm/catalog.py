@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from cytomesh.llm import chat, langid, mixing, neardup, packing, quality, scoring, sharding, topk, warc
+from cytomesh.llm import chat, langid, mixing, neardup, packing, periodic, postings, quality, scoring, sharding, tokenpairs, topk, warc
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
@@ -16,6 +16,9 @@ QUERIES = {
     "op7_lm_scoring": scoring.op7_lm_scoring,
     "op9_packing": packing.op9_packing,
     "op10_topk_search": topk.op10_topk_search,
+    "op11_periodic_runs": periodic.op11_periodic_runs,
+    "op12_decontamination": postings.op12_decontamination,
+    "op13_token_alignment": tokenpairs.op13_token_alignment,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -26,6 +29,7 @@ ORACLES = {
     "op8_quality_rules": quality.QUALITY_SQL,
     "op5_chat_formatting": chat.CHAT_SQL,
     "op10_topk_search": topk.TOPK_SQL,
+    "op12_decontamination": postings.PHRASE_SQL,
 }
 
 if corpus_pipeline.ORACLE_SQL is not None:
