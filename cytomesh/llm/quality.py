@@ -6,7 +6,7 @@ A line with words fails when it is
 * navigation: separators between its parts, as in menus and tables, are as many as every ``BAR_WORDS``-th word,
 * boilerplate: it holds one of ``BOILERPLATE`` and is short,
 * repeated: an equal line stands before it.
-Failing lines are removed. A document is rejected when less than ``KEEP_SHARE`` of its words are left.
+Lines without words, such as those between paragraphs, stay where they are. Failing lines are removed. A document is rejected when less than ``KEEP_SHARE`` of its words are left.
 
 Everything is a built-in expression on one row: no shuffle, linear in the text but for one sort of the five-word windows
 of documents that repeat some.
@@ -17,6 +17,7 @@ repeated rows and ids get equal results. ``assess`` keeps all input columns what
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from functools import reduce
 
@@ -59,17 +60,23 @@ def total(numbers: Column) -> Column:
     return F.aggregate(numbers, F.lit(0).cast("bigint"), lambda a, x: a + x)
 
 
+def numbered_blanks(lines: Column) -> Column:
+    """The lines, those without words preceded by their number between line ends, so that no two of them are equal."""
+    return F.transform(lines, lambda x, i: F.when(x.rlike(HAS_WORD), x).otherwise(F.concat(F.lit("\n"), i, F.lit("\n"), x)))
+
+
 def line_verdict(line: Column) -> Column:
-    """Struct (line, n, ok) of a line and its number of words. Lines without words are fine."""
+    """Struct (line, n, ok) of a line of ``numbered_blanks`` and its number of words. Lines without words are fine."""
 
     def judge(n: Column) -> Column:
         marks = F.length(F.regexp_replace(line, ODD_MARK, F.lit(""))) < F.length(line) * (1 - MARKS_SHARE)
         bars = let(matches(line, BAR), lambda k: (k > 0) & (k * BAR_WORDS >= n))
         low = let(F.lower(line), lambda x: reduce(lambda a, b: a | b, [F.contains(x, F.lit(p)) for p in BOILERPLATE]))
         bad = marks | (2 * matches(line, DOUBLED) > n) | bars | ((n < BOILERPLATE_WORDS) & low)
-        return F.struct(line.alias("line"), n.cast("bigint").alias("n"), F.when(n == 0, True).otherwise(~bad).alias("ok"))
+        return F.struct(line.alias("line"), n.cast("bigint").alias("n"), (~bad).alias("ok"))
 
-    return let(F.size(words(line)), judge)
+    blank = F.struct(F.substring_index(line, "\n", -1).alias("line"), F.lit(0).cast("bigint").alias("n"), F.lit(True).alias("ok"))
+    return F.when(F.startswith(line, F.lit("\n")), blank).otherwise(let(F.size(words(line)), judge))
 
 
 def repeated_words(w: Column) -> Column:
@@ -109,7 +116,7 @@ def verdict(text: Column) -> Column:
             worded = F.filter(lines, lambda x: x.rlike(HAS_WORD))
             dups = let(worded, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("bigint")
 
-            # equal lines are judged once; the later ones fail as repeated
+            # equal lines with words are judged once, the later ones fail as repeated; lines without words all stay
             def of_good(good: Column) -> Column:
                 def result(repeated: Column) -> Column:
                     failed = (n < MIN_WORDS) | (100 * repeated > REPEAT_PERCENT * n)
@@ -124,7 +131,7 @@ def verdict(text: Column) -> Column:
 
                 return let(repeated_words(w), result)
 
-            judged = F.transform(F.array_distinct(lines), line_verdict)
+            judged = F.transform(F.array_distinct(numbered_blanks(lines)), line_verdict)
             return let(F.filter(judged, lambda x: x["ok"]), of_good)
 
         return let(F.split(t, "\n"), of_lines)
@@ -152,6 +159,9 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("row.doc_id").alias("doc_id"), *[F.col(f"v.{c}").alias(c) for c in names])
 
 
+#: ODD_MARK as DuckDB's patterns spell it.
+ODD_MARK_SQL = re.sub(r"\\u([0-9A-F]{4})", r"\\x{\1}", ODD_MARK).replace("'", "''")
+
 QUALITY_SQL = r"""
 WITH d AS (
   SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
@@ -165,7 +175,7 @@ lines AS (SELECT r, n, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+'))
 once AS (SELECT DISTINCT r, line, k FROM lines),
 judged AS (
   SELECT r, k, k = 0 OR NOT (
-    length(regexp_replace(line, '[^\p{L}\p{N}\s.,;:!?''"()\-–—’“”«»¿¡]', '', 'g')) < length(line) * 0.8
+    length(regexp_replace(line, 'ODD_MARK', '', 'g')) < length(line) * 0.8
     OR 2 * (len(regexp_extract_all(line || ' ', '[!?*#$%&]{2,}[\x20\x09-\x0D]'))) > k
     OR (bars > 0 AND bars * 4 >= k)
     OR (k < 20 AND (contains(lower(line), 'javascript is disabled') OR contains(lower(line), 'enable cookies') OR contains(lower(line), 'accept all cookies')
@@ -179,4 +189,4 @@ SELECT doc_id, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x:
   coalesce(rep.n, 0) AS n_repeat_words, len(w) < 10 OR 100 * coalesce(rep.n, 0) > 20 * len(w) AS base_failed,
   NOT (len(w) < 10 OR 100 * coalesce(rep.n, 0) > 20 * len(w)) AND clean_words >= len(w) * 0.5 AS kept
 FROM d LEFT JOIN rep USING (r) LEFT JOIN dups USING (r) LEFT JOIN sums USING (r)
-"""
+""".replace("ODD_MARK", ODD_MARK_SQL)
