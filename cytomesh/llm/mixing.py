@@ -122,7 +122,9 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     ties = ties.withColumn("extra", F.greatest(F.lit(0), F.least(F.col("n"), extra)).cast("bigint"))
     ties = ties.withColumn("i", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("n"))))
     ties = ties.withColumn("copies", F.col("reps") + (F.col("i") <= F.col("extra")).cast("bigint"))
-    out = ["row.*", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies"]
+    # texts without words cost nothing, so nothing but the limit bounds their copies
+    most = F.least(F.col("copies"), F.lit(int(limit))).alias("copies")
+    out = ["row.*", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), most]
     return plain.select(*out).unionByName(ties.select(*out))
 
 
