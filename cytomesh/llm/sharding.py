@@ -19,12 +19,14 @@ from cytomesh.llm.common import number_rows, table
 
 #: Fixed by the published algorithm: multiplier of its linear congruential generator.
 MULTIPLIER = 2862933555777941757
-#: Another such multiplier, for the order inside a shard.
-ORDER_MULTIPLIER = 3202034522624059733
+#: Further such multipliers, for the order inside a shard: of the key, the size and the checksum.
+ORDER_MULTIPLIER, SIZE_MULTIPLIER, CRC_MULTIPLIER = 3202034522624059733, 3935559000370003845, 2691343689449507681
 TWO_64 = 18446744073709551616
 #: Jumps that are unrolled for every key. Keys that need more (about log(shards) are usual) go on to the exact bound.
 USUAL_JUMPS = 40
 SHARDS = 24
+#: Slots of equal rows that are written out together.
+SPAN = 65_536
 
 
 def _whole(number: int) -> Column:
@@ -46,9 +48,11 @@ def _top31(key: Column) -> Column:
     return F.floor(key / _whole(2**33)).cast("bigint")
 
 
-def mixed31(key: Column) -> Column:
-    """A number in 0 .. 2**31 - 1 that spreads consecutive keys, independent of the shard."""
-    return _top31(_times(_unsigned(key), ORDER_MULTIPLIER, 0))
+def mixed31(key: Column, size: Column, crc: Column) -> Column:
+    """A number in 0 .. 2**31 - 1 that spreads consecutive keys, and rows of one key, independent of the shard."""
+    parts = [_times(_unsigned(c), m, 0) for c, m in ((key, ORDER_MULTIPLIER), (size, SIZE_MULTIPLIER), (crc, CRC_MULTIPLIER))]
+    both = (parts[0] + parts[1] + parts[2]).cast("decimal(38,0)")
+    return _top31((both % _whole(TWO_64)).cast("decimal(20,0)"))
 
 
 def jump_hash(key: Column, shards: int) -> Column:
@@ -94,7 +98,7 @@ def shard_slots(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     crc = F.crc32(F.coalesce(F.col("text"), F.lit("")))
     rows = docs.select("doc_id", n_bytes.alias("size"), crc.alias("text_crc32"))
     rows = rows.groupBy("doc_id", "size", "text_crc32").agg(F.count(F.lit(1)).alias("copies"))
-    placed = rows.withColumns({"shard": jump_hash(F.col("doc_id"), shards), "_o": mixed31(F.col("doc_id"))})
+    placed = rows.withColumns({"shard": jump_hash(F.col("doc_id"), shards), "_o": mixed31(F.col("doc_id"), F.col("size"), F.col("text_crc32"))})
     # leading bits of the order cut each shard into buckets, which are summed up on their own
     bits = max(4, min(24, (docs.count() // (shards * 20_000)).bit_length() + 2))
     placed = placed.withColumn("_b", F.shiftright("_o", 31 - bits))
@@ -103,7 +107,10 @@ def shard_slots(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     starts = counts.select("shard", "_b", (F.sum("_n").over(W.partitionBy("shard").orderBy("_b")) - F.col("_n")).alias("_start"))
     first = (F.col("_start") + F.col("_run") - F.col("copies")).alias("first")
     spans = placed.withColumn("_run", run).join(starts, ["shard", "_b"]).select("doc_id", "size", "text_crc32", "shard", "copies", first)
-    slots = spans.withColumn("slot", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("copies") - 1)))
+    # copies are dealt step by step, so arrays stay short
+    last = F.col("first") + F.col("copies") - 1
+    steps = spans.withColumn("_from", F.explode(F.sequence(F.col("first"), last, F.lit(SPAN))))
+    slots = steps.withColumn("slot", F.explode(F.sequence(F.col("_from"), F.least(F.col("_from") + SPAN - 1, last))))
     return slots.select(
         "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", jump_hash(F.col("doc_id"), shards + 1).alias("grown_shard")
     )
@@ -133,7 +140,8 @@ places AS (
   SELECT doc_id, max(cur) FILTER (WHERE cur < {SHARDS}) AS shard, max(cur) AS grown FROM jumps GROUP BY doc_id)
 SELECT c.doc_id, size, text_crc32, 'key' AS law, shard::INTEGER AS shard,
   row_number() OVER (PARTITION BY shard ORDER BY
-    ((coalesce(c.doc_id, 0)::HUGEINT + {TWO_64}::HUGEINT) % {TWO_64}::HUGEINT * {ORDER_MULTIPLIER}::HUGEINT % {TWO_64}::HUGEINT) >> 33,
+    (((coalesce(c.doc_id, 0)::HUGEINT + {TWO_64}::HUGEINT) % {TWO_64}::HUGEINT * {ORDER_MULTIPLIER}::HUGEINT % {TWO_64}::HUGEINT
+      + size::HUGEINT * {SIZE_MULTIPLIER}::HUGEINT % {TWO_64}::HUGEINT + text_crc32::HUGEINT * {CRC_MULTIPLIER}::HUGEINT % {TWO_64}::HUGEINT) % {TWO_64}::HUGEINT) >> 33,
     c.doc_id, size, text_crc32) - 1 AS slot,
   grown::INTEGER AS grown_shard
 FROM crcs c JOIN places p ON c.doc_id IS NOT DISTINCT FROM p.doc_id
