@@ -40,6 +40,8 @@ PIVOTS = 48
 SAMPLE = 4096
 ANNULI = 24
 BLOCK = 4096
+#: Visits of queries to blocks that leave a task together, each with a copy of its vector.
+VISITS = 8192
 #: Pivots whose annulus a query visits first.
 FIRST_PIVOTS = 2
 #: Relative room for rounding in distances, which only decide what is visited.
@@ -170,6 +172,12 @@ def search(index: Index, queries: DataFrame, k: int = K) -> DataFrame:
                 # best possible squared distance of a vector that could still enter the result
                 worst = batch.column("sure").to_numpy(zero_copy_only=False) if not first else None
                 rows: list[tuple[int, int, int, int]] = []
+
+                def visits() -> pa.RecordBatch:
+                    at = pa.array([r[0] for r in rows], pa.int64())
+                    cols = [pa.array([r[c] for r in rows], pa.int32()) for c in (1, 2, 3)]
+                    return pa.RecordBatch.from_arrays([batch.column("query_id").take(at), batch.column("v").take(at), *cols], ["vec_id", "v", "pivot", "ring", "block"])
+
                 for i in range(len(q)):
                     for rank, p in enumerate(np.argsort(d[i], kind="stable")):
                         rings = annuli[p]
@@ -181,10 +189,14 @@ def search(index: Index, queries: DataFrame, k: int = K) -> DataFrame:
                         else:
                             reach = np.inf if np.isnan(worst[i]) else np.sqrt(max(0.0, squares[i] + geometry.longest - 2 * worst[i])) * (1 + ROUNDING) + slack
                             take = [a for a in rings if d[i, p] - a[2] <= reach and a[1] - d[i, p] <= reach]
-                        rows += [(i, int(p), a[0], b) for a in take for b in range(a[3])]
-                at = pa.array([r[0] for r in rows], pa.int64())
-                cols = [pa.array([r[c] for r in rows], pa.int32()) for c in (1, 2, 3)]
-                yield pa.RecordBatch.from_arrays([batch.column("query_id").take(at), batch.column("v").take(at), *cols], ["vec_id", "v", "pivot", "ring", "block"])
+                        for a in take:
+                            for b in range(a[3]):
+                                rows.append((i, int(p), a[0], b))
+                                if len(rows) >= VISITS:
+                                    yield visits()
+                                    rows.clear()
+                if rows:
+                    yield visits()
 
         return route
 
