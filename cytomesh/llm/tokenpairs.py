@@ -17,9 +17,12 @@ empty results. Extra columns are not read. Ids of the second tokenizer must be b
 from __future__ import annotations
 
 import hashlib
+import json
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,11 +34,15 @@ from cytomesh.llm.common import table, written
 TOKENIZER_A, TOKENIZER_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: A pair of ids is a * PIECES + b.
 PIECES = 1 << 15
-#: Pairs handed to all tasks; stretches of text that a task remembers.
-HEAD_PAIRS, REMEMBERED = 1 << 18, 300_000
+#: Pairs handed to all tasks; stretches of text that a worker remembers, and as many older ones.
+HEAD_PAIRS, REMEMBERED = 1 << 18, 120_000
 #: A text with more than this share of all rows is a large one; there are fewer than the inverse.
 LARGE_SHARE = 1 / 1000
 ROWS_AT_ONCE = 500
+#: Fixed by the first tokenizer: how it splits a text before merging.
+PRETOKENS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Below this code point, every library agrees on what a letter is.
+LATIN_END = "\u0370"
 #: A place where both tokenizers begin anew: a space after something that no tokenizer takes for white space.
 BREAK = re.compile(r"(?<=\S)(?= )")
 
@@ -55,11 +62,44 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def ranks_agree(path: str) -> bool:
+    """Whether merging any two neighbours whose bytes are a token, lowest id first, follows the listed merges alone.
+
+    It does if every token is put together last by its own merge: what happens inside a token does not depend on its
+    surroundings, so no other merge can ever come up. Checked once per run, on the driver.
+    """
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    model, before = spec["model"], spec.get("pre_tokenizer") or {}
+    plain = model.get("type") == "BPE" and spec.get("normalizer") is None and not model.get("dropout") and not model.get("ignore_merges")
+    if not plain or before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex", True):
+        return False
+    letters = _byte_letters()
+    raw = lambda t: bytes(letters[c] for c in t)
+    special = {t["content"] for t in spec.get("added_tokens", [])}
+    rank = {raw(t): i for t, i in model["vocab"].items() if t not in special}
+    merges = [tuple(map(raw, m.split(" ") if isinstance(m, str) else m)) for m in model["merges"]]
+    ids = [rank.get(a + b) for a, b in merges]
+    if None in ids or any(x >= y for x, y in zip(ids, ids[1:])) or len(merges) + 256 != len(rank) or len(set(rank.values())) != len(rank):
+        return False
+    for (a, b), top in zip(merges, ids, strict=True):
+        parts = [bytes([c]) for c in a + b]
+        while len(parts) > 2:
+            best = min((rank.get(parts[i] + parts[i + 1], top), i) for i in range(len(parts) - 1))
+            if best[0] >= top:
+                return False
+            parts[best[1] : best[1] + 2] = [parts[best[1]] + parts[best[1] + 1]]
+        if parts != [a, b]:
+            return False
+    return True
+
+
 class Aligner:
     """Both tokenizers, the bytes of their ids, and the stretches aligned so far."""
 
-    def __init__(self, path_a: str, path_b: str):
+    def __init__(self, path_a: str, path_b: str, ranked: bool | None = None):
         import sentencepiece
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.a = Tokenizer.from_file(path_a)
@@ -67,11 +107,19 @@ class Aligner:
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
         letters = _byte_letters()
         vocabulary = self.a.get_vocab()
-        self.bytes_a = {i: bytes(letters[c] for c in t) if all(c in letters for c in t) else t.encode() for t, i in vocabulary.items()}
+        self.bytes_a = [b""] * (max(vocabulary.values()) + 1)
+        for t, i in vocabulary.items():
+            self.bytes_a[i] = bytes(letters[c] for c in t) if all(c in letters for c in t) else t.encode()
         self.bytes_b = []
         for i in range(self.b.get_piece_size()):
             piece = self.b.id_to_piece(i)
             self.bytes_b.append(bytes([int(piece[3:5], 16)]) if self.b.is_byte(i) else piece.replace("▁", " ").encode())
+        self.digits = list(map(str, range(max(len(self.bytes_a), len(self.bytes_b)))))
+        ranked = ranks_agree(path_a) if ranked is None else ranked
+        special = {i for i, t in self.a.get_added_tokens_decoder().items() if t.special}
+        ranks = {b: i for i, b in enumerate(self.bytes_a) if i not in special}
+        self.ranks = tiktoken.Encoding("ranks", pat_str=PRETOKENS, mergeable_ranks=ranks, special_tokens={}) if ranked else None
+        self.length_a, self.length_b = (np.array([len(x) for x in v]) for v in (self.bytes_a, self.bytes_b))
         if len(self.bytes_b) > PIECES:
             raise ValueError(f"ids of the second tokenizer must be below {PIECES}")
         # a piece that holds a space after something else would cross a break
@@ -79,6 +127,7 @@ class Aligner:
         self.whole = crossing  # then every text is one stretch
         self.space = self.b.piece_to_id("▁")
         self.known: dict[str, tuple[int, int, bytes, bytes] | None] = {}
+        self.older: dict[str, tuple[int, int, bytes, bytes] | None] = {}
 
     def stretches(self, text: str) -> list[str]:
         """The text cut at its breaks; every stretch is given without the space it starts with."""
@@ -90,37 +139,95 @@ class Aligner:
         return [s[1:] for s in BREAK.split(" " + text)]
 
     def learn(self, stretches: set[str]) -> None:
-        """Align stretches not seen before."""
-        fresh = [s for s in stretches if s not in self.known]
+        """Make ``known`` hold all of these, from the older ones or anew."""
+        if len(self.known) > REMEMBERED:
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
+        fresh = []
+        for s in stretches:
+            if s not in known:
+                if s in older:
+                    known[s] = older[s]
+                else:
+                    fresh.append(s)
         if not fresh:
             return
-        encoded = self.a.encode_batch_fast([" " + s for s in fresh], add_special_tokens=False)
-        pieces = self.b.encode(fresh, num_threads=1)
-        for s, ea, ib in zip(fresh, encoded, pieces, strict=True):
-            self.known[s] = self.align((" " + s).encode("utf-8", "surrogatepass"), ea.ids, ib or [self.space])
+        if not self._learn_together(fresh):
+            for s in fresh:
+                ids = self.a.encode(" " + s, add_special_tokens=False).ids
+                known[s] = self.align((" " + s).encode("utf-8", "surrogatepass"), ids, self.b.encode(s) or [self.space])
+
+    def _ids_a(self, stretches: list[str]) -> list[list[int]]:
+        """Ids of the first tokenizer, all together where the ranks give the same."""
+        joined = [self.ranks is not None and s != "" and max(s) < LATIN_END and not s[-1].isspace() for s in stretches]
+        out: list[list[int]] = [[]] * len(stretches)
+        rest = [k for k, j in enumerate(joined) if not j]
+        for k, e in zip(rest, self.a.encode_batch_fast([" " + stretches[k] for k in rest], add_special_tokens=False), strict=True):
+            out[k] = e.ids
+        own = [k for k, j in enumerate(joined) if j]
+        if own:
+            # each is cut off at its first space whatever stands before it
+            ids = self.ranks.encode_ordinary(" " + " ".join([stretches[k] for k in own]))
+            ends = np.cumsum(self.length_a[ids])
+            sizes = np.cumsum([len(stretches[k].encode("utf-8", "surrogatepass")) + 1 for k in own])
+            left = 0
+            for k, right in zip(own, (np.searchsorted(ends, sizes) + 1).tolist(), strict=True):
+                out[k] = ids[left:right]
+                left = right
+        return out
+
+    def _learn_together(self, stretches: list[str]) -> bool:
+        """Align stretches as one sequence; False if a tokenizer does not give them back."""
+        data = [(" " + s).encode("utf-8", "surrogatepass") for s in stretches]
+        per_a = self._ids_a(stretches)
+        per_b = [ids or [self.space] for ids in self.b.encode(stretches, num_threads=1)]
+        list_a, list_b = list(chain.from_iterable(per_a)), list(chain.from_iterable(per_b))
+        bytes_a, bytes_b, whole = self.bytes_a, self.bytes_b, b"".join(data)
+        if b"".join([bytes_a[i] for i in list_a]) != whole or b"".join([bytes_b[i] for i in list_b]) != whole:
+            return False
+        ids_a, ids_b = np.array(list_a, np.int64), np.array(list_b, np.int64)
+        both, last_a, last_b = np.intersect1d(np.cumsum(self.length_a[ids_a]), np.cumsum(self.length_b[ids_b]), assume_unique=True, return_indices=True)
+        ends_a, ends_b = ids_a[last_a], ids_b[last_b]
+        pairs = (ends_a * PIECES + ends_b).astype(np.int32).tobytes()
+        n_a, n_b = np.diff(last_a, prepend=-1), np.diff(last_b, prepend=-1)
+        digits = self.digits
+        groups = [digits[x] + "|" + digits[y] for x, y in zip(ends_a.tolist(), ends_b.tolist(), strict=True)]
+        many = np.flatnonzero((n_a > 1) | (n_b > 1))
+        spans = (x[many].tolist() for x in (last_a - n_a + 1, last_a + 1, last_b - n_b + 1, last_b + 1))
+        for g, i, j, k, m in zip(many.tolist(), *spans, strict=True):
+            groups[g] = ",".join([digits[x] for x in list_a[i:j]]) + "|" + ",".join([digits[x] for x in list_b[k:m]])
+        upto = np.searchsorted(both, np.cumsum(list(map(len, data)))) + 1  # every stretch ends with a group
+        left = 0
+        for s, a, b, right in zip(stretches, per_a, per_b, upto.tolist(), strict=True):
+            self.known[s] = (len(a), len(b), ";".join(groups[left:right]).encode(), pairs[4 * left : 4 * right])
+            left = right
+        return True
 
     def align(self, data: bytes, ids_a: list[int], ids_b: list[int]) -> tuple[int, int, bytes, bytes] | None:
         """Numbers of tokens, groups as text, and links as pairs; None where a tokenizer does not give ``data`` back."""
-        tokens_a, tokens_b = [self.bytes_a[i] for i in ids_a], [self.bytes_b[i] for i in ids_b]
-        if b"".join(tokens_a) != data or b"".join(tokens_b) != data:
+        bytes_a, bytes_b = self.bytes_a, self.bytes_b
+        if b"".join([bytes_b[j] for j in ids_b]) != data or b"".join([bytes_a[i] for i in ids_a]) != data:
             return None
-        groups, pairs, i, j, end_a, end_b, left_i, left_j = [], [], 0, 0, 0, 0, 0, 0
-        while i < len(ids_a):
-            end_a += len(tokens_a[i])
-            i += 1
-            while end_b < end_a:
-                end_b += len(tokens_b[j])
+        groups, pairs = [], []
+        ahead = 0  # bytes that the tokens of the first reach beyond those of the second
+        left_i = left_j = j = 0
+        for i, x in enumerate(ids_a, 1):
+            ahead += len(bytes_a[x])
+            while ahead > 0:
+                ahead -= len(bytes_b[ids_b[j]])
                 j += 1
-            if end_a == end_b:
-                groups.append(f"{','.join(map(str, ids_a[left_i:i]))}|{','.join(map(str, ids_b[left_j:j]))}")
-                pairs.append(ids_a[i - 1] * PIECES + ids_b[j - 1])
+            if not ahead:
+                y = ids_b[j - 1]
+                if i - left_i == 1 and j - left_j == 1:
+                    groups.append(f"{x}|{y}")
+                else:
+                    groups.append(f"{','.join(map(str, ids_a[left_i:i]))}|{','.join(map(str, ids_b[left_j:j]))}")
+                pairs.append(x * PIECES + y)
                 left_i, left_j = i, j
-        return len(ids_a), len(ids_b), ";".join(groups).encode(), np.array(pairs, np.int32).tobytes()
+        return len(ids_a), len(ids_b), ";".join(groups).encode(), array("i", pairs).tobytes()
 
     def texts(self, texts: list[str | None]) -> list[tuple[int, int, str, bytes] | None]:
         """Per text the numbers of tokens, the digest of its groups and its links; None without tokens."""
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
         cut = [self.stretches(t) if t else [] for t in texts]
         self.learn({s for c in cut for s in c})
         out: list[tuple[int, int, str, bytes] | None] = []
@@ -135,9 +242,9 @@ class Aligner:
 
 
 @lru_cache(maxsize=2)
-def aligner(path_a: str, path_b: str) -> Aligner:
+def aligner(path_a: str, path_b: str, ranked: bool) -> Aligner:
     """One per Python worker, which serves many tasks."""
-    return Aligner(path_a, path_b)
+    return Aligner(path_a, path_b, ranked)
 
 
 # --------------------------------------------------------------------------- on tables
@@ -151,9 +258,11 @@ def distinct_texts(docs: DataFrame) -> DataFrame:
 def aligned(texts: DataFrame, path_a: str, path_b: str) -> DataFrame:
     """ALIGNED rows of (text, copies); pairs are 4-byte numbers, one per link."""
 
+    ranked = ranks_agree(path_a)
+
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = aligner(path_a, path_b)
+            made = aligner(path_a, path_b, ranked)
             for at in range(0, batch.num_rows, ROWS_AT_ONCE):
                 digests, copies, own = (c.to_pylist() for c in batch.slice(at, ROWS_AT_ONCE).columns)
                 rows = [(d, c, n_a, n_b, len(p) // 4, g, p) for d, c, (n_a, n_b, g, p) in zip(digests, copies, [x or (0, 0, "", b"") for x in made.texts(own)], strict=True)]

@@ -296,3 +296,14 @@ def test_stretches_equal_whole_texts():
         got = a.texts([s])[0]
         assert (got is None) == (want is None)
         assert got is None or got == (want[0], want[1], hashlib.sha256(want[2]).hexdigest(), want[3])
+
+
+def test_ranks_agree_only_with_plain_merges(tmp_path):
+    import json
+
+    path = tokenpairs.tokenizer_paths()[0]
+    assert tokenpairs.ranks_agree(path)
+    spec = json.load(open(path, encoding="utf-8"))
+    spec["model"]["merges"][0], spec["model"]["merges"][40] = spec["model"]["merges"][40], spec["model"]["merges"][0]
+    (tmp_path / "other.json").write_text(json.dumps(spec), encoding="utf-8")
+    assert not tokenpairs.ranks_agree(str(tmp_path / "other.json"))
