@@ -11,9 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-SALTS = 16
 RANGE_VALUES = 100_000  # distinct values one running sum should see
-MAX_RANGES = 4096  # value ranges the sketch may ask for
+MAX_RANGES = 512  # value ranges of a group at most; a power of two
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -65,18 +64,12 @@ def union_all(frames: Sequence[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), frames)
 
 
-def salted_join(
-    left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner", salts: int = SALTS
-) -> DataFrame:
-    """Join a large, possibly skewed ``left`` to a ``right`` that is unique per key.
+def keyed_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join a large, possibly skewed ``left`` to a ``right`` that is unique per key. A NULL key is a key like any other.
 
-    The rows of one key spread over ``salts`` tasks; ``right`` is replicated that often. The salt is a
-    hash of the row, so a recomputed task routes its rows the same way.
+    Adaptive execution splits the partition of a hot key among tasks and broadcasts a small right side.
     """
-    on = list(on)
-    salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in left.columns]), F.lit(salts)).cast("int")
-    spread = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return left.withColumn("_salt", salt).join(spread, [*on, "_salt"], how).drop("_salt")
+    return null_safe_join(left, right, list(on), how)
 
 
 def with_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
@@ -84,6 +77,32 @@ def with_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
     return df.join(F.broadcast(one_row))
 
 
+def _position(cuts: Column, value: Column) -> Column:
+    """How many of MAX_RANGES - 1 ascending cuts are below the value, by binary search."""
+    steps = F.array(*[F.lit(MAX_RANGES >> k) for k in range(1, MAX_RANGES.bit_length())])
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(cuts, at + step - 1) < value, at + step).otherwise(at))
+
+
+def _cumulative(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
+    """by, _value, _cnt, _before, _total: see ``cumulative_counts``."""
+    by = list(by)
+    vc = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_value")).agg(F.count(F.lit(1)).alias("_cnt"))
+    # sizes and cuts of all groups come from one aggregate over the shuffle that the counts use too
+    sketch = F.percentile_approx("_value", [i / MAX_RANGES for i in range(1, MAX_RANGES)], F.lit(10 * MAX_RANGES))
+    aggs = [F.least(F.lit(MAX_RANGES), F.ceil(F.count(F.lit(1)) / RANGE_VALUES)).cast("int").alias("_need"), sketch.alias("_cuts")]
+    groups = vc.groupBy(*by).agg(*aggs) if by else vc.agg(*aggs)
+    groups = groups.withColumn("_cuts", F.when(F.col("_need") > 1, F.col("_cuts")))
+    vc = null_safe_join(vc, groups, by) if by else with_scalars(vc, groups)
+    at = F.floor(_position(F.col("_cuts"), F.col("_value")) * F.col("_need") / MAX_RANGES).cast("int")
+    vc = vc.select(*by, "_value", "_cnt", F.when(F.col("_need") > 1, at).otherwise(0).alias("_rb"))
+    w = W.partitionBy(*by) if by else W.partitionBy(F.lit(0))
+    ranges = vc.groupBy(*by, "_rb").agg(F.sum("_cnt").alias("_in"))
+    ranges = ranges.select(*by, "_rb", (F.sum("_in").over(w.orderBy("_rb")) - F.col("_in")).alias("_earlier"), F.sum("_in").over(w).alias("_total"))
+    joined = null_safe_join(vc, ranges, [*by, "_rb"])
+    run = F.sum("_cnt").over(W.partitionBy(*by, "_rb").orderBy("_value"))
+    return joined.select(*by, "_value", "_cnt", (F.col("_earlier") + run - F.col("_cnt")).alias("_before"), "_total")
+
+
 def cumulative_counts(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
     """``by, value, cnt, before, total``: rows per distinct value and how many come earlier. NULL keys are a group.
 
@@ -91,35 +110,11 @@ def cumulative_counts(df: DataFrame, value: str, by: Sequence[str] = ()) -> Data
     quantile sketch, about one per RANGE_VALUES distinct values, so that a running sum sees one range of one group
     whatever the group's size. The sketch decides balance only; the counts are exact.
     """
-    by = list(by)
-    vc = (
-        df.where(F.col(value).isNotNull())
-        .groupBy(*by, F.col(value).alias("value"))
-        .agg(F.count(F.lit(1)).alias("cnt"))
-    )
-    sizes = vc.groupBy(*by).agg(F.count(F.lit(1)).alias("n")) if by else vc.agg(F.count(F.lit(1)).alias("n"))
-    largest = sizes.agg(F.max("n")).first()[0] or 0
-    n_ranges = max(1, min(MAX_RANGES, -(-largest // RANGE_VALUES)))
-    vc = vc.withColumn("rb", F.lit(0))
-    if n_ranges > 1:
-        probs = [i / n_ranges for i in range(1, n_ranges)]
-        sketch = F.percentile_approx("value", probs, F.lit(20 * n_ranges)).alias("cuts")
-        cuts = cut_lineage(vc.groupBy(*by).agg(sketch) if by else vc.agg(sketch))
-        vc = null_safe_join(vc, cuts, by, "left") if by else with_scalars(vc, cuts)
-        vc = vc.withColumn("rb", F.size(F.filter("cuts", lambda c: c < F.col("value")))).drop("cuts")
-    ranges = vc.groupBy(*by, "rb").agg(F.sum("cnt").alias("range_cnt"))
-    w = W.partitionBy(*by) if by else W.partitionBy(F.lit(0))
-    ranges = ranges.select(
-        *by,
-        "rb",
-        (F.sum("range_cnt").over(w.orderBy("rb")) - F.col("range_cnt")).alias("range_before"),
-        F.sum("range_cnt").over(w).alias("total"),
-    )
-    joined = null_safe_join(vc, ranges, [*by, "rb"])
-    run = F.sum("cnt").over(W.partitionBy(*by, "rb").orderBy("value"))
-    return joined.select(
-        *by, "value", "cnt", (F.col("range_before") + run - F.col("cnt")).alias("before"), "total"
-    )
+    clash = {"value", "cnt", "before", "total"} & set(by)
+    if clash:
+        raise ValueError(f"rename the key columns {sorted(clash)}: the result uses these names")
+    c = _cumulative(df, value, by)
+    return c.select(*by, F.col("_value").alias("value"), F.col("_cnt").alias("cnt"), F.col("_before").alias("before"), F.col("_total").alias("total"))
 
 
 def quantiles(df: DataFrame, value: str, probs: dict[str, float], by: Sequence[str] = ()) -> DataFrame:
@@ -128,14 +123,14 @@ def quantiles(df: DataFrame, value: str, probs: dict[str, float], by: Sequence[s
     Works from distributed cumulative counts: no task holds a group's values.
     """
     by = list(by)
-    c = cumulative_counts(df, value, by)
+    c = _cumulative(df, value, by)
     aggs, outs = [], []
     for name, p in probs.items():
-        h = (F.col("total") - 1).cast("double") * F.lit(float(p))
+        h = (F.col("_total") - 1).cast("double") * F.lit(float(p))
         lo, hi = F.floor(h), F.ceil(h)
 
         def at(pos: Column) -> Column:
-            return F.max(F.when((F.col("before") <= pos) & (pos < F.col("before") + F.col("cnt")), F.col("value")))
+            return F.max(F.when((F.col("_before") <= pos) & (pos < F.col("_before") + F.col("_cnt")), F.col("_value")))
 
         aggs += [at(lo).alias(f"_{name}_lo"), at(hi).alias(f"_{name}_hi"), F.max(h - lo).alias(f"_{name}_f")]
         a, b = F.col(f"_{name}_lo").cast("double"), F.col(f"_{name}_hi").cast("double")
@@ -163,7 +158,7 @@ def quantiles_long(df: DataFrame, value: str, probs: Sequence[float]) -> DataFra
 
 
 def average_ranks(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
-    """``by, value, ties, avg_rank``: mid-rank of each distinct value inside its group."""
+    """``by, value, ties, avg_rank, total``: mid-rank of each distinct value inside its group."""
     c = cumulative_counts(df, value, by)
     rank = F.col("before").cast("double") + (F.col("cnt").cast("double") + F.lit(1.0)) / F.lit(2.0)
     return c.select(*by, "value", F.col("cnt").alias("ties"), rank.alias("avg_rank"), "total")

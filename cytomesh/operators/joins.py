@@ -9,9 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cytomesh.functions import columns as C
-from cytomesh.operators.core import salted_join, with_scalars
-
-OUTLINE_LIMIT = 4096  # segments carried along with every row at a time
+from cytomesh.operators.core import keyed_join, with_scalars
+from cytomesh.operators.segment_tree import outline_distance
 
 # --------------------------------------------------------------------------- key joins
 
@@ -54,7 +53,7 @@ def drop_duplicated_ids(df: DataFrame, on: str) -> DataFrame:
 def align_ids(counts: DataFrame, cells: DataFrame, on: str = "cell_id") -> tuple[DataFrame, DataFrame]:
     """Restrict the matrix and the metadata to the ids they share."""
     shared = counts.select(on).intersect(cells.select(on))
-    return salted_join(counts, shared, [on]), cells.join(shared, on, "left_semi")
+    return keyed_join(counts, shared, [on]), cells.join(shared, on, "left_semi")
 
 
 def common_ids(*frames: DataFrame) -> DataFrame:
@@ -94,19 +93,19 @@ def with_endpoints(edges: DataFrame, verts: DataFrame, column: str, key: str = "
     out = edges
     for end in ("src", "dst"):
         side = verts.select(F.col(key).alias(end), F.col(column).alias(f"{end}_{column}"))
-        out = salted_join(out, side, [end])
+        out = keyed_join(out, side, [end])
     return out
 
 
 def compose_partition(groups: DataFrame, teams: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """obs -> group and group -> team give obs -> team; the group table is small, hot groups are salted."""
-    return salted_join(groups, teams, [*by, "grp"])
+    return keyed_join(groups, teams, [*by, "grp"])
 
 
 def apply_alignment(cells: DataFrame, hard: DataFrame) -> DataFrame:
     """Give every cell the reference cluster of its (shard, cluster)."""
     small = hard.select("shard_id", "cluster", "ref_cluster")
-    return salted_join(cells, small, ["shard_id", "cluster"], "left")
+    return keyed_join(cells, small, ["shard_id", "cluster"], "left")
 
 
 def parameter_grid(runs: DataFrame, *params: DataFrame) -> DataFrame:
@@ -117,20 +116,6 @@ def parameter_grid(runs: DataFrame, *params: DataFrame) -> DataFrame:
 # --------------------------------------------------------------------------- outlines
 
 
-def _outline_row(segments: DataFrame) -> DataFrame:
-    """One row with the polygons as an array of segment arrays; only for outlines under the limit."""
-    seg = F.struct("x1", "y1", "x2", "y2")
-    return (
-        segments.groupBy("polygon_id")
-        .agg(F.collect_list(seg).alias("segs"))
-        .agg(F.collect_list("segs").alias("_polys"))
-    )
-
-
-def _is_small(segments: DataFrame) -> bool:
-    return segments.limit(OUTLINE_LIMIT + 1).count() <= OUTLINE_LIMIT
-
-
 def _crosses_ray(s: Column, x: Column, y: Column) -> Column:
     """Does the rightward ray from (x, y) cross the segment? Half-open in y, so vertices count once."""
     spans = (s["y1"] > y) != (s["y2"] > y)
@@ -149,15 +134,6 @@ def _on_segment(s: Column, x: Column, y: Column) -> Column:
     return (cross == 0) & within
 
 
-def segment_distance(s: Column, x: Column, y: Column) -> Column:
-    """Distance from a point to a segment."""
-    dx, dy = s["x2"] - s["x1"], s["y2"] - s["y1"]
-    len2 = dx * dx + dy * dy
-    t = ((x - s["x1"]) * dx + (y - s["y1"]) * dy) / F.nullif(len2, F.lit(0.0))
-    t = F.least(F.greatest(F.coalesce(t, F.lit(0.0)), F.lit(0.0)), F.lit(1.0))
-    return C.distance(x, y, s["x1"] + t * dx, s["y1"] + t * dy)
-
-
 def points_in_polygons(points: DataFrame, segments: DataFrame, key: str = "id", out: str = "inside", slabs: int = 4096) -> DataFrame:
     """Flag points inside any polygon: even-odd over all rings, points on the outline count as inside.
 
@@ -190,19 +166,8 @@ def points_in_polygons(points: DataFrame, segments: DataFrame, key: str = "id",
 
 
 def min_boundary_distance(points: DataFrame, segments: DataFrame, out: str = "boundary_distance") -> DataFrame:
-    """Distance to the nearest piece of the outline. Large outlines are folded in slice by slice, without a shuffle."""
-    x, y = F.col("x"), F.col("y")
-    slices = [segments]
-    if not _is_small(segments):
-        n = -(-segments.count() // (OUTLINE_LIMIT // 4))
-        part = F.pmod(F.xxhash64("x1", "y1", "x2", "y2"), F.lit(n))
-        slices = [segments.where(part == i) for i in range(n)]
-    cols, df = points.columns, points.withColumn(out, F.lit(None).cast("double"))
-    for s in slices:
-        df = with_scalars(df, _outline_row(s))
-        d = F.array_min(F.transform(F.flatten("_polys"), lambda g: segment_distance(g, x, y)))
-        df = df.select(*cols, F.least(out, d).alias(out))
-    return df
+    """Distance to the nearest piece of the outline, whatever its size; NULL without coordinates."""
+    return outline_distance(points, segments, out)
 
 
 def min_dist_to_outline(points: DataFrame, outline: DataFrame, out: str = "outline_distance") -> DataFrame:
@@ -231,7 +196,7 @@ def drop_crossing_edges(edges: DataFrame, verts: DataFrame, segments: DataFrame)
     ends = edges.select("src", "dst").distinct()
     for end, s in (("src", "a"), ("dst", "b")):
         side = verts.select(F.col("id").alias(end), F.col("x").alias(f"_{s}x"), F.col("y").alias(f"_{s}y"))
-        ends = salted_join(ends, side, [end])
+        ends = keyed_join(ends, side, [end])
     a = [F.col(c) for c in ("_ax", "_ay", "_bx", "_by")]
     extent = F.max(F.greatest(*a)) - F.min(F.least(*a))
     mean = F.avg(F.greatest(F.abs(a[0] - a[2]), F.abs(a[1] - a[3]))) * 2.0
@@ -255,5 +220,5 @@ def drop_crossing_edges(edges: DataFrame, verts: DataFrame, segments: DataFrame)
 
     boxed = passed(ends, [F.col(c) for c in ("src", "dst", "_ax", "_ay", "_bx", "_by")], *a)
     segs = passed(segments, [F.struct("x1", "y1", "x2", "y2").alias("s")], *[F.col(c) for c in ("x1", "y1", "x2", "y2")])
-    crossing = salted_join(boxed, segs, ["cx", "cy"]).where(segments_cross(*a, F.col("s"))).select("src", "dst").distinct()
+    crossing = keyed_join(boxed, segs, ["cx", "cy"]).where(segments_cross(*a, F.col("s"))).select("src", "dst").distinct()
     return edges.join(crossing, ["src", "dst"], "left_anti")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cytomesh.functions.kernels import chi2_upper, normal_two_sided
-from cytomesh.operators.core import average_ranks, salted_join, top_k_per_group, with_scalars
+from cytomesh.operators.core import average_ranks, keyed_join, top_k_per_group, with_scalars
 
 
 @F.pandas_udf(T.DoubleType())
@@ -33,7 +33,7 @@ def cluster_sizes(labels: DataFrame) -> DataFrame:
 def _labelled(values: DataFrame, labels: DataFrame) -> DataFrame:
     """Values of labelled cells; a cell with very many genes is spread by a salt."""
     lab = labels.where(F.col("cluster").isNotNull()).select("cell_id", "cluster")
-    return salted_join(values.where(F.col("value") > 0), lab, ["cell_id"])
+    return keyed_join(values.where(F.col("value") > 0), lab, ["cell_id"])
 
 
 def _full_grid(per: DataFrame, sizes: DataFrame, fill: Sequence[str]) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cytomesh.functions import columns as C
-from cytomesh.operators.core import cumulative_counts, quantiles, salted_join, with_scalars
+from cytomesh.operators.core import cumulative_counts, quantiles, keyed_join, with_scalars
 from cytomesh.operators.joins import drop_crossing_edges, with_endpoints
 from cytomesh.operators.shards import sample_n
 from cytomesh.operators.spatial_index import knn_join
@@ -87,7 +87,7 @@ def radius_graph(points: DataFrame, r, cell_rows: int = CELL_ROWS) -> DataFrame:
 
 def _slice(df: DataFrame, slices: DataFrame, key: str, first: bool) -> DataFrame:
     """Spread one side of a heavy cell over its slices and repeat it for every slice of the other side."""
-    j = salted_join(df, slices, ["cx", "cy"], "left").withColumn("s", F.coalesce("s", F.lit(1)))
+    j = keyed_join(df, slices, ["cx", "cy"], "left").withColumn("s", F.coalesce("s", F.lit(1)))
     own = F.pmod(F.xxhash64(key), F.col("s")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("s") - 1))
     mine, theirs = ("sa", "sb") if first else ("sb", "sa")
@@ -191,7 +191,7 @@ def refine_labels(labels: DataFrame, directed: DataFrame, k: int) -> DataFrame:
     A label changes only when fewer than k/2 of them share it and some other label has more than k/2.
     """
     own = labels.select("id", "label")
-    votes = salted_join(directed.select("src", "dst"), own.select(F.col("id").alias("dst"), "label"), ["dst"]).select(
+    votes = keyed_join(directed.select("src", "dst"), own.select(F.col("id").alias("dst"), "label"), ["dst"]).select(
         F.col("src").alias("id"), "label"
     )
     n = votes.unionByName(own).groupBy("id", "label").agg(F.count(F.lit(1)).alias("n"))
@@ -241,7 +241,7 @@ def smooth_features(features: DataFrame, directed: DataFrame, p: int, weight: st
     """id, smoothed: weighted mean of the neighbours' vectors; points without neighbours and NaN give 0."""
     w = F.col(weight) if weight else F.lit(1.0)
     side = features.select(F.col("id").alias("dst"), F.col(vector).alias("_v"))
-    j = salted_join(directed.select("src", "dst", w.alias("_w")), side, ["dst"])
+    j = keyed_join(directed.select("src", "dst", w.alias("_w")), side, ["dst"])
     g = j.groupBy(F.col("src").alias("id")).agg(F.sum("_w").alias("_t"), *[F.sum(F.col("_v")[i] * F.col("_w")).alias(f"_s{i}") for i in range(p)])
     zero = F.lit(0.0)
     cell = [F.coalesce(F.nanvl(C.safe_div(f"_s{i}", "_t"), zero), zero) for i in range(p)]
@@ -253,7 +253,7 @@ def knn_predict(train: DataFrame, new: DataFrame, k: int = 5, weighting: str = "
     near = knn_join(new, train, k)
     d = F.when(F.col("d") == 0, F.lit(1e-9)).otherwise(F.col("d"))
     w = F.lit(1.0) if weighting == "uniform" else F.lit(1.0) / d
-    j = salted_join(near.withColumn("_w", w), train.select(F.col("id").alias("dst"), F.col(value).alias("_v")), ["dst"])
+    j = keyed_join(near.withColumn("_w", w), train.select(F.col("id").alias("dst"), F.col(value).alias("_v")), ["dst"])
     return j.groupBy(F.col("src").alias("id")).agg((F.sum(F.col("_v") * F.col("_w")) / F.sum("_w")).alias("predicted"))
 
 

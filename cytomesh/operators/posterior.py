@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cytomesh.functions import columns as C
-from cytomesh.operators.core import cut_lineage, salted_join, top_k_per_group, with_scalars
+from cytomesh.operators.core import cut_lineage, keyed_join, top_k_per_group, with_scalars
 from cytomesh.operators.metrics import ari
 from cytomesh.operators.prep import best_run, run_summary
 
@@ -56,7 +56,7 @@ def coassignment(samples: DataFrame, pairs: DataFrame) -> DataFrame:
     out = pairs.select("src", "dst")
     for end in ("src", "dst"):
         side = a.select(F.col("obs_id").alias(end), F.col("labels").alias(f"_{end}"))
-        out = salted_join(out, side, [end], salts=4)
+        out = keyed_join(out, side, [end])
     same = F.size(F.filter(F.zip_with("_src", "_dst", lambda u, v: u == v), lambda b: b))
     return out.select("src", "dst", (same / F.size("_src")).alias("together"))
 
@@ -201,8 +201,8 @@ def cholesky(covs: DataFrame, p: int) -> DataFrame:
 def replicate_data(samples: DataFrame, teams: DataFrame, covs: DataFrame, p: int, seed: int = 1) -> DataFrame:
     """iter, obs_id, y: one replicated data set per iteration. ``samples`` carry (iter, obs_id, grp), ``teams``
     (iter, grp, mu)."""
-    j = salted_join(samples.select("iter", "obs_id", "grp"), teams.select("iter", "grp", "mu"), ["iter", "grp"])
-    j = salted_join(j, cholesky(covs, p), ["iter"])
+    j = keyed_join(samples.select("iter", "obs_id", "grp"), teams.select("iter", "grp", "mu"), ["iter", "grp"])
+    j = keyed_join(j, cholesky(covs, p), ["iter"])
     z = _normals(p, seed)
     y = []
     for d in range(p):
@@ -216,7 +216,7 @@ def ppc_means(samples: DataFrame, teams: DataFrame, covs: DataFrame, observed: D
 
     The mean of mu + L z is mean(mu) + L mean(z), so replicates are averaged before the factor is applied.
     """
-    j = salted_join(samples.select("iter", "obs_id", "grp"), teams.select("iter", "grp", "mu"), ["iter", "grp"])
+    j = keyed_join(samples.select("iter", "obs_id", "grp"), teams.select("iter", "grp", "mu"), ["iter", "grp"])
     z = _normals(p, seed)
     avg = j.groupBy("iter").agg(
         *[F.avg(F.col("mu")[d]).alias(f"m{d}") for d in range(p)], *[F.avg(z[d]).alias(f"z{d}") for d in range(p)]

@@ -17,8 +17,9 @@ from cytomesh.functions import columns as C
 from cytomesh.operators.core import (
     average_ranks,
     cumulative_counts,
+    keyed_join,
+    null_safe_join,
     quantiles,
-    salted_join,
     top_k_per_group,
     with_scalars,
 )
@@ -59,7 +60,7 @@ def label_codes(df: DataFrame, column: str, out: str = "code") -> DataFrame:
     """Dense 1-based codes in sorted label order; NULL stays NULL. Labels are few, rows are many."""
     levels = df.select(column).where(F.col(column).isNotNull()).distinct()
     coded = levels.withColumn(out, F.dense_rank().over(W.partitionBy(F.lit(0)).orderBy(column)))
-    return salted_join(df, coded, [column], "left")
+    return keyed_join(df, coded, [column], "left")
 
 
 def adapt_result(df: DataFrame, label: str, offset: int = 0, swap_xy: bool = False) -> DataFrame:
@@ -73,11 +74,12 @@ def adapt_result(df: DataFrame, label: str, offset: int = 0, swap_xy: bool = Fal
 def make_unique(df: DataFrame, name: str, order: str, out: str = "unique_name") -> DataFrame:
     """Add ``-1, -2, ...`` to the second, third, ... use of a name. ``order`` is unique inside a name.
 
-    The position comes from distributed counts, so one very frequent name does not end in one task.
+    The position comes from distributed counts, so one very frequent name does not end in one task. NULL is a name that
+    stays NULL; rows without an order keep their plain name.
     """
-    pos = cumulative_counts(df, order, [name]).select(name, F.col("value").alias(order), "before")
-    label = F.when(F.col("before") > 0, F.concat_ws("-", F.col(name), F.col("before"))).otherwise(F.col(name))
-    return df.join(pos, [name, order]).withColumn(out, label).drop("before")
+    pos = cumulative_counts(df, order, [name]).select(name, F.col("value").alias(order), F.col("before").alias("_before"))
+    label = F.when(F.col("_before") > 0, F.concat(F.col(name), F.lit("-"), F.col("_before"))).otherwise(F.col(name))
+    return null_safe_join(df, pos, [name, order], "left").withColumn(out, label).select(*[c for c in df.columns if c != out], out)
 
 
 def unique_features(df: DataFrame, name: str, order: str) -> DataFrame:
@@ -123,7 +125,7 @@ def log1p_counts(counts: DataFrame) -> DataFrame:
 
 def log_normalize(counts: DataFrame, scale: float = 1e4) -> DataFrame:
     """``log1p(cnt / cell total * scale)`` on the non-zeros; the totals join is salted against huge cells."""
-    joined = salted_join(counts, cell_totals(counts).select("cell_id", "total_counts"), ["cell_id"])
+    joined = keyed_join(counts, cell_totals(counts).select("cell_id", "total_counts"), ["cell_id"])
     return joined.select(
         "cell_id", "gene_id", F.log1p(F.col("cnt") / F.col("total_counts") * F.lit(scale)).alias("value")
     )
@@ -137,7 +139,7 @@ def size_factor_normalize(counts: DataFrame, target: str = "mean") -> DataFrame:
     else:
         ref = quantiles(totals, "total_counts", {"ref": 0.5})
     factor = with_scalars(totals, ref).select("cell_id", (F.col("total_counts") / F.col("ref")).alias("sf"))
-    joined = salted_join(counts, factor, ["cell_id"])
+    joined = keyed_join(counts, factor, ["cell_id"])
     scaled = F.col("cnt") / F.col("sf")
     value = F.log2(scaled + 1.0) if target == "mean" else scaled
     return joined.select("cell_id", "gene_id", value.alias("value"))
@@ -168,7 +170,7 @@ def zscore(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataFr
 
 def scale_like(df: DataFrame, stats: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """Apply another table's means and deviations."""
-    joined = salted_join(df, stats, by) if by else with_scalars(df, stats)
+    joined = keyed_join(df, stats, by) if by else with_scalars(df, stats)
     scaled = {c: C.safe_div(F.col(c) - F.col(f"{c}_mean"), F.col(f"{c}_sd")) for c in cols}
     return joined.withColumns(scaled).select(*df.columns)
 
@@ -269,7 +271,7 @@ def doublet_flag(cells: DataFrame, counts_col: str, area_col: str, p: float = 0.
 
 def filter_genes(counts: DataFrame, min_cells: int = 3) -> DataFrame:
     kept = counts.where(F.col("cnt") > 0).groupBy("gene_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_cells)
-    return salted_join(counts, kept.select("gene_id"), ["gene_id"])
+    return keyed_join(counts, kept.select("gene_id"), ["gene_id"])
 
 
 def gene_moments(counts: DataFrame, n_cells: DataFrame, value: str = "cnt") -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cytomesh.functions.kernels import smallest_k
-from cytomesh.operators.core import cut_lineage, salted_join, top_k_per_group, union_all
+from cytomesh.operators.core import cut_lineage, keyed_join, top_k_per_group, union_all
 
 DEPTH = 50  # levels of the finest grid
 LEAF_ROWS = 512  # a leaf is split while it holds more
@@ -69,7 +69,7 @@ def assign_leaves(rows: DataFrame, leaf_rows: int = LEAF_ROWS) -> tuple[DataFram
             parts.append(keyed)
             break
         heavy = heavy.drop("width")
-        flagged = cut_lineage(salted_join(keyed, heavy, ["realm", "cx", "cy"], "left"))
+        flagged = cut_lineage(keyed_join(keyed, heavy, ["realm", "cx", "cy"], "left"))
         parts.append(flagged.where(F.col("_heavy").isNull()).drop("_heavy"))
         rest = flagged.where("_heavy").drop("_heavy", "lv", "cx", "cy")
         # far outliers leave everything else in one small spot: go on at the level that begins to part it
@@ -107,7 +107,7 @@ def _leaf_stats(tree: DataFrame, need: int, foreign: bool, span: float) -> DataF
     climb = lacking.select(*KEY, F.explode(levels).alias("al")).select(
         *KEY, "al", _parent("cx", "lv - al").alias("ax"), _parent("cy", "lv - al").alias("ay")
     )
-    found = salted_join(climb, anc, ["realm", "al", "ax", "ay"]).groupBy(*KEY).agg(F.max("al").alias("al"))
+    found = keyed_join(climb, anc, ["realm", "al", "ax", "ay"]).groupBy(*KEY).agg(F.max("al").alias("al"))
     level = F.when(F.col("ok"), F.col("lv")).otherwise(F.col("al"))
     bound = F.lit(span * math.sqrt(2) * SLACK) / F.pow(F.lit(2.0), level)
     return leaf.join(found, KEY, "left").select(
@@ -326,7 +326,7 @@ def knn_join(
         )
     rows = rows.withColumns({"lab": F.lit(0).cast("bigint"), "qlab": F.lit(0).cast("bigint")})
     near = search(rows, need, id_type=id_type, leaf_rows=leaf_rows).drop("qlab")
-    out = salted_join(asks.withColumnRenamed("id", "src"), near, ["realm", "x", "y"])
+    out = keyed_join(asks.withColumnRenamed("id", "src"), near, ["realm", "x", "y"])
     picked = F.filter("near", lambda e: e["id"] != F.col("src")) if self_join else F.col("near")
     return out.select("src", F.posexplode(F.slice(picked, 1, k)).alias("pos", "e")).select(
         "src", F.col("e.id").alias("dst"), F.col("e.d").alias("d"), (F.col("pos") + 1).alias("rk")
@@ -342,7 +342,7 @@ def nearest_foreign(
     """
     p = points.select(F.lit("").alias("realm"), "id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), F.col("label").cast("bigint").alias("qlab"))
     unit = p.groupBy("realm", "x", "y", "qlab").agg(F.min("id").alias("id"))
-    ask = unit if asking is None else salted_join(unit, asking.select(F.col("label").cast("bigint").alias("qlab")).distinct(), ["qlab"])
+    ask = unit if asking is None else keyed_join(unit, asking.select(F.col("label").cast("bigint").alias("qlab")).distinct(), ["qlab"])
     id_type = dict(unit.dtypes)["id"]
     best = F.min(F.struct("d", F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), "src", "dst")).alias("m")
     # two different labels per location are enough to serve any asking label

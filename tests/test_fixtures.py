@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cytomesh.functions.kernels import chi2_upper, transport_cost, w2_cov_term
-from cytomesh.operators import core, graph, joins, metrics, neighbors, posterior, prep, shards
+from cytomesh.operators import core, graph, joins, metrics, neighbors, posterior, prep, segment_tree, shards
 from cytomesh.sources import readers
 
 
@@ -90,7 +90,8 @@ def test_large_outline_paths_agree(spark, monkeypatch):
         return d, e
 
     d1, e1 = results()
-    monkeypatch.setattr(joins, "OUTLINE_LIMIT", 5)
+    for name, value in (("LEAF", 2), ("FAN", 2)):
+        monkeypatch.setattr(segment_tree, name, value)
     d2, e2 = results()
     assert np.allclose(d1, d2) and e1 == e2
 
