@@ -127,3 +127,47 @@ def chi2_upper(x: float, df: float) -> float:
         if abs(d * c - 1) < 1e-16:
             break
     return scale * out
+
+
+def least_members(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """Per vertex 0 .. n - 1 the smallest vertex of its component under the edges a - b."""
+    p = np.arange(n)
+    while len(a):
+        ra, rb = p[a], p[b]
+        apart = ra != rb
+        a, b, ra, rb = a[apart], b[apart], ra[apart], rb[apart]
+        np.minimum.at(p, np.maximum(ra, rb), np.minimum(ra, rb))
+        while True:
+            q = p[p]
+            if np.array_equal(q, p):
+                break
+            p = q
+    return p
+
+
+def lightest_forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """Marks the edges of the minimum spanning forest; edges come in ascending order, so it is unique."""
+    chosen = np.zeros(len(a), bool)
+    left = np.flatnonzero(a != b)
+    part = np.arange(n)
+    while len(left):
+        best = np.full(n, len(a))
+        ca, cb = part[a[left]], part[b[left]]
+        np.minimum.at(best, ca, left)
+        np.minimum.at(best, cb, left)
+        parts = np.flatnonzero(best < len(a))
+        e = best[parts]
+        chosen[e] = True
+        other = np.where(part[a[e]] == parts, part[b[e]], part[a[e]])
+        up = np.arange(n)
+        up[parts] = other
+        pair = (up[up] == np.arange(n)) & (np.arange(n) < up)  # both chose one edge: the smaller one is the root
+        up[pair] = np.flatnonzero(pair)
+        while True:
+            q = up[up]
+            if np.array_equal(q, up):
+                break
+            up = q
+        part = up[part]
+        left = left[part[a[left]] != part[b[left]]]
+    return chosen

@@ -1,40 +1,113 @@
 """Iterative graph operators: components, spanning forests, merging, cutting, shortest paths.
 
-Edges are (eid, src, dst, w); vertices (id). Each round works on a contracted graph that is at most half as
-large, is written to the shared checkpoint folder, and keeps hub vertices spread by salted joins.
+Edges are (eid, src, dst, w); vertices (id). Tasks contract what they hold before the first shuffle; rounds work on a
+graph that shrinks by a constant share, is written to the shared checkpoint folder, and replaces the one before. A hub's
+rows meet per-vertex tables in shuffle joins, whose hot partitions adaptive execution splits.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cytomesh.functions import columns as C
-from cytomesh.operators.core import cut_lineage, drop_table, salted_join, union_all, with_scalars
+from cytomesh.functions.kernels import least_members, lightest_forest
+from cytomesh.operators.core import cut_lineage, drop_table, keyed_join, union_all, with_scalars
 from cytomesh.operators.neighbors import edge_status, with_eid
 from cytomesh.operators.spatial_index import knn_join, nearest_foreign
 
-SALTS = 4
-
-# --------------------------------------------------------------------------- contraction
 
+#: Edges that a task contracts at a time; a graph of at most so many is finished by one task.
+LOCAL_EDGES = 1 << 20
 
-def _roots(parent: DataFrame) -> DataFrame:
-    """(u, parent) pointers of a forest -> (u, root) by pointer doubling; log2(depth) rounds."""
-    p = cut_lineage(parent)
+# --------------------------------------------------------------------------- contraction
 
-    def double(q: DataFrame) -> DataFrame:
-        up = q.select(F.col("u").alias("parent"), F.col("parent").alias("_up"))
-        j = salted_join(q.select("u", "parent"), up, ["parent"], salts=SALTS)
-        return j.select("u", F.col("_up").alias("parent"), (F.col("_up") != F.col("parent")).alias("moved"))
 
+def _codes(columns: Sequence[pa.ChunkedArray]) -> tuple[list[np.ndarray], pa.Array]:
+    """Values of several columns as positions in their sorted distinct values."""
+    found = pa.concat_arrays([c for column in columns for c in column.chunks]).dictionary_encode()
+    order = pc.sort_indices(found.dictionary)
+    place = np.empty(len(order), np.int64)
+    place[order.to_numpy()] = np.arange(len(order))
+    flat = place[found.indices.to_numpy()]
+    return np.split(flat, np.cumsum([len(c) for c in columns])[:-1]), found.dictionary.take(order)
+
+
+def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Batches gathered to tables of about LOCAL_EDGES rows."""
+    held, n = [], 0
+    for batch in batches:
+        for at in range(0, batch.num_rows, LOCAL_EDGES):
+            held.append(batch.slice(at, LOCAL_EDGES))
+            n += held[-1].num_rows
+            if n >= LOCAL_EDGES:
+                yield pa.Table.from_batches(held)
+                held, n = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _local_stars(edges: DataFrame) -> DataFrame:
+    """(u, root) instead of (src, dst): every vertex with the smallest one that the edges of its task connect it to."""
+
+    def contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _bounded(batches):
+            (a, b), names = _codes([t.column(0), t.column(1)])
+            root = least_members(a, b, len(names))
+            below = np.flatnonzero(root != np.arange(len(root)))
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(below)), names.take(pa.array(root[below]))], ["u", "root"])
+
+    kind = dict(edges.dtypes)["src"]
+    return edges.select("src", "dst").mapInArrow(contract, f"u {kind}, root {kind}")
+
+
+def _star_round(stars: DataFrame) -> DataFrame:
+    """Large star, then small star, over edges (u, root) with root < u: neighbours move to the smallest one around."""
+    both = stars.unionByName(stars.select(F.col("root").alias("u"), F.col("u").alias("root")))
+    low = both.groupBy(F.col("u").alias("_u")).agg(F.least(F.min("root"), F.first("u")).alias("_low"))
+    large = both.join(low, F.col("u") == F.col("_u")).where("root > u").select(F.col("root").alias("u"), F.col("_low").alias("root"))
+    large = cut_lineage(_local_stars(large.select(F.col("u").alias("src"), F.col("root").alias("dst"))))
+    least = large.groupBy(F.col("u").alias("_u")).agg(F.min("root").alias("_low"))
+    joined = large.join(least, F.col("u") == F.col("_u"))
+    small = joined.select("u", F.col("_low").alias("root")).unionByName(joined.select(F.col("root").alias("u"), F.col("_low").alias("root")))
+    done = cut_lineage(small.where("u <> root").distinct())
+    drop_table(large)
+    return done
+
+
+def component_stars(edges: DataFrame) -> DataFrame:
+    """A written table (u, root): the smallest member of its component for every vertex that is not itself the smallest.
+
+    Tasks contract the edges they hold to stars before anything is shuffled. What is left either fits one task, or goes
+    through rounds of star operations, which keep the smallest member of every component at its centre and contract
+    locally in between. Rows with a NULL end connect nothing.
+    """
+    ends = edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL AND src <> dst")
+    stars = cut_lineage(_local_stars(ends))
     while True:
-        before, p = p, cut_lineage(double(double(p)))  # four steps up per round
+        n = stars.count()
+        if n <= LOCAL_EDGES:
+            before, stars = stars, cut_lineage(_local_stars(stars.select(F.col("u").alias("src"), F.col("root").alias("dst")).coalesce(1)))
+            drop_table(before)
+            return stars
+        before, stars = stars, _star_round(stars)
         drop_table(before)
-        if p.where("moved").isEmpty():
-            return p.select("u", F.col("parent").alias("root"))
+        # settled: every vertex has one edge, and none is both a centre and below one
+        rows, below = stars.agg(F.count(F.lit(1)), F.count_distinct("u")).first()
+        if rows == below and stars.join(stars.select(F.col("root").alias("u")).distinct(), "u", "left_semi").isEmpty():
+            return stars
+
+
+def connected_components(edges: DataFrame, verts: DataFrame) -> DataFrame:
+    """id, component (= smallest vertex id of the component); isolated vertices are their own component. Only the table
+    that the result reads is left behind."""
+    named = component_stars(edges).select(F.col("u").alias("id"), F.col("root").alias("component"))
+    return verts.select("id").join(named, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
 def _relabel(edges: DataFrame, roots: DataFrame) -> DataFrame:
@@ -42,88 +115,66 @@ def _relabel(edges: DataFrame, roots: DataFrame) -> DataFrame:
     out = edges
     for end in ("src", "dst"):
         side = roots.select(F.col("u").alias(end), F.col("root").alias("_r"))
-        out = salted_join(out, side, [end], "left", SALTS).withColumn(end, F.coalesce("_r", end)).drop("_r")
+        out = out.join(side, end, "left").withColumn(end, F.coalesce("_r", end)).drop("_r")
     return out.where(F.col("src") != F.col("dst"))
 
 
-def _compose(maps: list[DataFrame]) -> DataFrame | None:
-    """Chain the (u, root) tables of all rounds, last to first; their sizes shrink round by round."""
-    whole = None
-    for m in reversed(maps):
-        if whole is None:
-            whole = m
-        else:
-            up = whole.select(F.col("u").alias("root"), F.col("root").alias("_top"))
-            whole = salted_join(m, up, ["root"], "left", SALTS).select("u", F.coalesce("_top", "root").alias("root")).unionByName(
-                whole.join(m.select("u"), "u", "left_anti")
-            )
-    return whole
+def spatial_components(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """id, component: spatially connected pieces of every label."""
+    within = edge_status(edges.select("src", "dst"), labels).where(F.col("status") == "w")
+    return connected_components(within, labels)
 
 
-def connected_components(edges: DataFrame, verts: DataFrame) -> DataFrame:
-    """id, component (= smallest vertex id of the component); isolated vertices are their own component.
+_ORDER = ("_w", "_eid", "_a", "_b")
 
-    Every vertex points to the neighbour with the smallest hash, if smaller than its own, so pointer chains
-    stay short whatever the numbering; the graph is then contracted and the step repeated.
-    """
-    e = edges.select("src", "dst").where(F.col("src") != F.col("dst"))
-    e = cut_lineage(e.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct())
-    maps: list[DataFrame] = []
-    while not e.isEmpty():
-        both = e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-        rank = lambda c: F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("v"))
-        low = both.groupBy(F.col("src").alias("u")).agg(F.min(rank("dst")).alias("m"))
-        parent = low.select("u", F.when(F.col("m") < rank("u"), F.col("m.v")).otherwise(F.col("u")).alias("parent"))
-        roots = _roots(parent)
-        maps.append(roots)
-        before, e = e, _relabel(e, roots)
-        e = cut_lineage(e.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct())
-        drop_table(before)
-    whole = _compose(maps)
-    if whole is None:
-        return verts.select("id", F.col("id").alias("component"))
-    whole = cut_lineage(whole)
-    low = whole.groupBy("root").agg(F.min("u").alias("component"))
-    named = salted_join(whole, low, ["root"], salts=SALTS).select(F.col("u").alias("id"), "component")
-    return verts.select("id").join(named, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
+def _local_forest(edges: DataFrame) -> DataFrame:
+    """The edges that are not the heaviest of a cycle among the edges of their task."""
 
-def spatial_components(edges: DataFrame, labels: DataFrame) -> DataFrame:
-    """id, component: spatially connected pieces of every label."""
-    within = edge_status(edges.select("src", "dst"), labels).where(F.col("status") == "w")
-    return connected_components(within, labels)
+    def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _bounded(batches):
+            t = t.take(pc.sort_indices(t, sort_keys=[(c, "ascending") for c in _ORDER], null_placement="at_start"))
+            (a, b), names = _codes([t.column("src"), t.column("dst")])
+            yield from t.filter(pa.array(lightest_forest(a, b, len(names)))).combine_chunks().to_batches()
+
+    return edges.mapInArrow(thin, edges.schema)
 
 
 def mst(edges: DataFrame, weight: str = "w") -> DataFrame:
     """Rows of ``edges`` that form the minimum spanning forest; equal weights are ordered by eid, then by the ends, so it
-    is unique. An edge is known by eid and ends together, so a clash of eids is harmless.
+    is unique. An edge is known by eid and ends together, so a clash of eids is harmless; of equal rows one stays. Edges
+    with a NULL end are no edges, a NULL weight is the lightest.
 
-    Boruvka: every component takes its lightest outgoing edge, components merge along the chosen edges,
-    parallel edges collapse to the lightest one.
+    Cycle rule first: every task keeps the spanning forest of the edges it holds. A graph that then fits one task is
+    finished there. Otherwise a Boruvka round follows: every component takes its lightest outgoing edge, components merge,
+    parallel edges collapse to the lightest one, and the cycle rule runs again. Only the table that the result reads is
+    left behind.
     """
-    e = edges.select(F.struct("eid", "src", "dst").alias("eid"), "src", "dst", F.col(weight).cast("double").alias("w"))
-    e = cut_lineage(e.where(F.col("src") != F.col("dst")))
+    row = F.struct(*[F.col(f"`{c}`") for c in edges.columns]).alias("_row")
+    e = edges.select(row, F.col(weight).cast("double").alias("_w"), F.col("eid").alias("_eid"), F.col("src").alias("_a"), F.col("dst").alias("_b"), "src", "dst")
+    e = cut_lineage(_local_forest(e.where("src IS NOT NULL AND dst IS NOT NULL AND src <> dst")))
+    order = F.struct(*_ORDER)
+    whole = F.struct(*e.columns)
     chosen: list[DataFrame] = []
-    while not e.isEmpty():
-        both = e.unionByName(e.select("eid", F.col("dst").alias("src"), F.col("src").alias("dst"), "w"))
-        pick = both.groupBy(F.col("src").alias("u")).agg(F.min(F.struct("w", "eid", F.col("dst").alias("v"))).alias("m"))
-        pick = cut_lineage(pick.select("u", F.col("m.v").alias("v"), F.col("m.eid").alias("eid")))
-        chosen.append(pick.select("eid"))
-        # the only cycles are pairs that chose the same edge: the smaller end becomes the root
-        partner = pick.select(F.col("u").alias("v"), F.col("eid").alias("_eid"))
-        parent = salted_join(pick, partner, ["v"], salts=SALTS).select(
-            "u", F.when((F.col("_eid") == F.col("eid")) & (F.col("u") < F.col("v")), F.col("u")).otherwise(F.col("v")).alias("parent")
-        )
-        r = _relabel(e, _roots(parent))
-        best = r.groupBy(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).agg(
-            F.min(F.struct("w", "eid")).alias("m")
-        )
-        before, e = e, cut_lineage(best.select("m.eid", "src", "dst", "m.w"))
+    while True:
+        n = e.count()
+        if n <= LOCAL_EDGES:
+            chosen.append(_local_forest(e.coalesce(1)).select("_row"))
+            break
+        both = e.withColumns({"_u": F.col("src"), "_v": F.col("dst")}).unionByName(e.withColumns({"_u": F.col("dst"), "_v": F.col("src")}))
+        pick = cut_lineage(both.groupBy(F.col("_u").alias("u")).agg(F.min_by(F.struct("_row", F.col("_v").alias("v")), order).alias("m")))
+        chosen.append(pick.select("m._row"))
+        roots = component_stars(pick.select(F.col("u").alias("src"), F.col("m.v").alias("dst")))
+        r = _relabel(e, roots)
+        ends = [F.least("src", "dst").alias("s"), F.greatest("src", "dst").alias("d")]
+        best = r.groupBy(*ends).agg(F.min_by(whole, order).alias("m")).select("m.*")
+        before, e = e, cut_lineage(_local_forest(best))
         drop_table(before)
-    if not chosen:
-        return edges.limit(0)
-    taken = union_all(chosen).distinct().select("eid.*")
-    return edges.join(taken, ["eid", "src", "dst"], "left_semi").select(*edges.columns)
+        drop_table(roots)
+    out = cut_lineage(union_all(chosen).select("_row.*").distinct())
+    for t in (e, *chosen[:-1]):
+        drop_table(t)
+    return out
 
 
 def random_mst(edges: DataFrame, labels: DataFrame, seed: int = 1) -> DataFrame:
@@ -162,7 +213,7 @@ def bridge_components(edges: DataFrame, points: DataFrame) -> DataFrame:
         ends = _relabel(links.select("src", "dst"), comp.select(F.col("id").alias("u"), F.col("component").alias("root")))
         joined = connected_components(ends, sizes.select(F.col("component").alias("id")))
         up = joined.select(F.col("id").alias("component"), F.col("component").alias("_top"))
-        comp = cut_lineage(salted_join(comp, up, ["component"]).select("id", F.col("_top").alias("component")))
+        comp = cut_lineage(keyed_join(comp, up, ["component"]).select("id", F.col("_top").alias("component")))
     out = base.withColumn("merged_edge", F.lit(False))
     if added:
         out = out.unionByName(union_all(added).select("src", "dst").distinct().withColumn("merged_edge", F.lit(True)))
@@ -179,11 +230,11 @@ def merge_small_components(tree: DataFrame, labels: DataFrame, min_size: int, we
         small = sizes.where(F.col("n") < min_size).select("label")
         ends = links
         for end, name in (("src", "a"), ("dst", "b")):
-            ends = salted_join(ends, cur.select(F.col("id").alias(end), F.col("label").alias(name)), [end], salts=SALTS)
+            ends = keyed_join(ends, cur.select(F.col("id").alias(end), F.col("label").alias(name)), [end])
         cross = ends.where(F.col("a") != F.col("b"))
         both = cross.select("a", "b", "w", "eid").unionByName(cross.select(F.col("b").alias("a"), F.col("a").alias("b"), "w", "eid"))
         step = (
-            salted_join(both, small.withColumnRenamed("label", "a"), ["a"], salts=SALTS)
+            keyed_join(both, small.withColumnRenamed("label", "a"), ["a"])
             .groupBy("a")
             .agg(F.min(F.struct("w", "eid", "b")).alias("m"))
             .select(F.col("a").alias("src"), F.col("m.b").alias("dst"))
@@ -199,7 +250,7 @@ def merge_small_components(tree: DataFrame, labels: DataFrame, min_size: int, we
             .select("component", F.col("m.id").alias("_new"))
         )
         renamed = groups.join(name, "component").select(F.col("id").alias("label"), "_new")
-        before, cur = cur, cut_lineage(salted_join(cur, renamed, ["label"]).select("id", F.col("_new").alias("label")))
+        before, cur = cur, cut_lineage(keyed_join(cur, renamed, ["label"]).select("id", F.col("_new").alias("label")))
         drop_table(before)
         drop_table(step)
 
@@ -227,7 +278,7 @@ def merge_small_same_label(members: DataFrame, points: DataFrame, min_size: int)
         comps.select(F.col("component").alias("id")),
     )
     up = groups.select(F.col("id").alias("component"), F.col("component").alias("_top"))
-    return salted_join(members, up, ["component"]).select("id", F.col("_top").alias("component"))
+    return keyed_join(members, up, ["component"]).select("id", F.col("_top").alias("component"))
 
 
 def cut_tree(tree: DataFrame, cut_eids: DataFrame, verts: DataFrame) -> DataFrame:
@@ -251,7 +302,7 @@ def geodesic(edges: DataFrame, sources: DataFrame, verts: DataFrame, weight: str
     front = best
 
     def spread(f: DataFrame) -> DataFrame:
-        j = salted_join(arcs, f.withColumnRenamed("id", "src"), ["src"], salts=SALTS)  # a hub's arcs are spread
+        j = keyed_join(arcs, f.withColumnRenamed("id", "src"), ["src"])  # a hub's arcs are spread
         return j.select("source", F.col("dst").alias("id"), (F.col("d") + F.col("w")).alias("d"))
 
     while True:
@@ -277,7 +328,7 @@ def geodesic_assign(geo: DataFrame, features: DataFrame, alpha: float = 0.5, vec
     """id, source, blended: the landmark with the smallest alpha * path length + (1 - alpha) * feature distance."""
     f = features.select("id", F.col(vector).alias("_v"))
     marks = geo.select("source").distinct().join(features.select(F.col("id").alias("source"), F.col(vector).alias("_s")), "source")
-    j = salted_join(geo.join(f, "id"), marks, ["source"], salts=SALTS)
+    j = keyed_join(geo.join(f, "id"), marks, ["source"])
     blended = F.col("d") * alpha + F.sqrt(C.array_sq_distance("_v", "_s")) * (1.0 - alpha)
     best = F.min(F.struct(blended.alias("blended"), "source")).alias("m")
     return j.groupBy("id").agg(best).select("id", "m.source", "m.blended")
