@@ -6,15 +6,15 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import GaussianMixture, KMeans
-from pyspark.ml.feature import PCA, StandardScaler
-from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cytomesh.operators.core import cut_lineage, quantiles_long, salted_join, union_all, with_scalars
+from cytomesh.operators import starts
+from cytomesh.operators.core import cut_lineage, null_safe_join, quantiles_long, top_k_per_group, with_scalars
+from cytomesh.operators.forest import array_sum, side_sums
 from cytomesh.operators.graph import connected_components
 from cytomesh.operators.metrics import ari
+from cytomesh.operators.principal import pca, pca_counts
 
 ANCHORS = 33
 
@@ -76,81 +76,52 @@ def select_hvg(moments: DataFrame, n: int = 2000, span: float = 0.3, min_mean: f
     return res.join(top, "gene_id", "left").withColumn("highly_variable", F.coalesce("_hv", F.lit(False))).drop("_hv")
 
 
-def dense_features(values: DataFrame, cells: DataFrame, genes: Sequence) -> DataFrame:
-    """cell_id, features: the chosen genes (a bounded list) as one array, missing values 0."""
-    index = F.array(*[F.lit(g) for g in genes])
-    few = values.where(F.col("gene_id").isin(list(genes))).groupBy("cell_id").agg(
-        F.map_from_entries(F.collect_list(F.struct("gene_id", "value"))).alias("m")
-    )
-    filled = F.transform(index, lambda g: F.coalesce(F.try_element_at("m", g), F.lit(0.0)))
-    zeros = F.array_repeat(F.lit(0.0), len(genes))
-    return cells.select("cell_id").join(few, "cell_id", "left").select(
-        "cell_id", F.when(F.col("m").isNull(), zeros).otherwise(filled).alias("features")
-    )
+# --------------------------------------------------------------------------- clustering
 
 
-def pca(df: DataFrame, k: int = 15, features: str = "features", key: str = "cell_id") -> DataFrame:
-    """key, pcs: scores on the first k components of the centred and scaled features. Each component is turned so
-    that its largest loading is positive."""
-    v = df.select(key, array_to_vector(features).alias("raw"))
-    scaled = StandardScaler(inputCol="raw", outputCol="scaled", withMean=True, withStd=True).fit(v).transform(v)
-    model = PCA(k=k, inputCol="scaled", outputCol="scores").fit(scaled)
-    pc = model.pc.toArray()
-    sign = [float(np.sign(pc[np.abs(pc[:, j]).argmax(), j]) or 1.0) for j in range(pc.shape[1])]
-    turn = F.array(*[F.lit(s) for s in sign])
-    return model.transform(scaled).select(key, F.zip_with(vector_to_array("scores"), turn, lambda a, b: a * b).alias("pcs"))
+def _best(state: DataFrame, by: Sequence[str], largest: bool = False) -> DataFrame:
+    """The run with the best total of every group; equal ones by their number."""
+    order = F.desc("total") if largest else F.asc("total")
+    return top_k_per_group(state, by, [order, F.asc("run")], 1)
 
 
-# --------------------------------------------------------------------------- clustering
+def kmeans(df: DataFrame, k: int, p: int, seeds: Sequence[int] = KMEANS_SEEDS, iters: int = KMEANS_ROUNDS, vector: str = "pcs", key: str = "cell_id") -> DataFrame:
+    """key, cluster (1-based) from the start with the lowest within-cluster cost; all starts share their passes over the
+    data. Rows with missing values have no cluster and are left out."""
+    packed = starts.blocks(df, key, p, vector)
+    state = starts.lloyd(packed, [starts.Run(i, k, p, s) for i, s in enumerate(seeds)], p, iters)
+    return starts.labels(packed, _best(state, ["grp"]), p).select(F.col("key").alias(key), (F.col("c") + 1).alias("cluster"))
 
 
-def _vectors(df: DataFrame, p: int, vector: str, keep: Sequence[str]) -> DataFrame:
-    return df.select(*keep, array_to_vector(F.slice(vector, 1, p)).alias("features"))
+def gmm(df: DataFrame, k: int, p: int, seeds: Sequence[int] = MIXTURE_SEEDS, vector: str = "pcs", key: str = "cell_id", iters: int = 100) -> DataFrame:
+    """key, cluster (1-based) from the Gaussian mixture with the highest likelihood; see ``kmeans``."""
+    packed = starts.blocks(df, key, p, vector)
+    state = starts.mixtures(packed, [starts.Run(i, k, p, s) for i, s in enumerate(seeds)], p, iters)
+    found = starts.labels(packed, _best(state, ["grp"], largest=True), p, mixture=True)
+    return found.select(F.col("key").alias(key), (F.col("c") + 1).alias("cluster"))
 
 
-def kmeans(df: DataFrame, k: int, p: int, seeds: Sequence[int] = KMEANS_SEEDS, iters: int = KMEANS_ROUNDS, vector: str = "pcs", key: str = "cell_id") -> DataFrame:
-    """key, cluster (1-based) from the start with the lowest within-cluster cost."""
-    v = _vectors(df, p, vector, [key]).cache()
-    models = [KMeans(k=k, seed=s, maxIter=iters).fit(v) for s in seeds]
-    best = min(models, key=lambda m: m.summary.trainingCost)
-    v.unpersist()
-    return best.transform(_vectors(df, p, vector, [key])).select(key, (F.col("prediction") + 1).alias("cluster"))
-
-
-def gmm(df: DataFrame, k: int, p: int, seeds: Sequence[int] = MIXTURE_SEEDS, vector: str = "pcs", key: str = "cell_id") -> DataFrame:
-    """key, cluster (1-based) from the Gaussian mixture with the highest likelihood."""
-    v = _vectors(df, p, vector, [key]).cache()
-    models = [GaussianMixture(k=k, seed=s, maxIter=100).fit(v) for s in seeds]
-    best = max(models, key=lambda m: m.summary.logLikelihood)
-    v.unpersist()
-    return best.transform(_vectors(df, p, vector, [key])).select(key, (F.col("prediction") + 1).alias("cluster"))
-
-
-def sweep(df: DataFrame, ks: Sequence[int], ps: Sequence[int], truth: str, seeds: Sequence[int] = KMEANS_SEEDS, key: str = "cell_id") -> DataFrame:
-    """k, p, ari: k-means for every setting, scored in one pass over the stacked labels."""
-    runs = []
-    for p in ps:
-        for k in ks:
-            lab = kmeans(df, k, p, seeds, key=key)
-            runs.append(lab.select(key, F.lit(k).alias("k"), F.lit(p).alias("p"), "cluster"))
-    stacked = union_all(runs).join(df.select(key, truth), key)
-    return ari(stacked, truth, "cluster", ["k", "p"])
-
-
-def select_k(df: DataFrame, ks: Sequence[int], p: int, seeds: Sequence[int] = MIXTURE_SEEDS, vector: str = "pcs", key: str = "cell_id") -> DataFrame:
+def sweep(df: DataFrame, ks: Sequence[int], ps: Sequence[int], truth: str, seeds: Sequence[int] = KMEANS_SEEDS, vector: str = "pcs", key: str = "cell_id") -> DataFrame:
+    """k, p, ari: k-means for every setting, all settings and starts in the same passes."""
+    settings = [(k, p, s) for p in ps for k in ks for s in seeds]
+    runs = [starts.Run(i, k, p, s) for i, (k, p, s) in enumerate(settings)]
+    packed = starts.blocks(df, key, max(ps), vector)
+    best = cut_lineage(_best(starts.lloyd(packed, runs, max(ps), KMEANS_ROUNDS), ["grp", "k", "p"]).drop("rk"))
+    found = starts.labels(packed, best, max(ps)).join(F.broadcast(best.select("run", "k", "p")), "run")  # one row a setting
+    labelled = found.select(F.col("key").alias(key), "k", "p", (F.col("c") + 1).alias("cluster")).join(df.select(key, truth), key)
+    return ari(labelled, truth, "cluster", ["k", "p"])
+
+
+def select_k(df: DataFrame, ks: Sequence[int], p: int, seeds: Sequence[int] = MIXTURE_SEEDS, vector: str = "pcs", key: str = "cell_id", iters: int = 100) -> DataFrame:
     """k, log_likelihood, bic, best: Gaussian mixtures, each from its likeliest start, by -2 log L + parameters * ln n."""
-    v = _vectors(df, p, vector, [key]).cache()
-    n = v.count()
-    rows = []
-    for k in ks:
-        ll = max(float(GaussianMixture(k=k, seed=s, maxIter=100).fit(v).summary.logLikelihood) for s in seeds)
-        params = (k - 1) + k * p + k * p * (p + 1) // 2
-        rows.append((k, ll, -2 * ll + params * float(np.log(n))))
-    v.unpersist()
-    low = min(r[2] for r in rows)
-    return df.sparkSession.createDataFrame(
-        [(k, ll, b, b == low) for k, ll, b in rows], "k int, log_likelihood double, bic double, best boolean"
-    )
+    packed = starts.blocks(df, key, p, vector)
+    runs = [starts.Run(i, k, p, s) for i, (k, s) in enumerate((k, s) for k in ks for s in seeds)]
+    n = packed.agg(F.sum(F.size("keys")).cast("double").alias("n"))
+    top = starts.mixtures(packed, runs, p, iters).groupBy("k").agg(F.max("total").alias("log_likelihood"))
+    params = (F.col("k") - 1) + F.col("k") * p + F.col("k") * (p * (p + 1) // 2)
+    scored = with_scalars(top, n).select("k", "log_likelihood", (F.col("log_likelihood") * -2 + params * F.log("n")).alias("bic"))
+    low = scored.agg(F.min("bic").alias("_low"))
+    return with_scalars(scored, low).select("k", "log_likelihood", "bic", (F.col("bic") == F.col("_low")).alias("best"))
 
 
 # --------------------------------------------------------------------------- partition scores
@@ -168,97 +139,81 @@ def _cross_products(df: DataFrame, p: int, by: Sequence[str] = (), vector: str =
     return df.groupBy(*by).agg(one) if by else df.agg(one)
 
 
-def _loglik(n, s, yy, p: int, sigmasq_mu: float, scale: float, nu: float) -> float:
-    """Marginal log-likelihood from cluster sizes n, sums s (K x p) and cross products yy (p x p)."""
-    n, s = np.asarray(n, float), np.asarray(s, float).reshape(-1, p)
-    omega = n + 1.0 / sigmasq_mu
-    inner = yy.reshape(p, p) - (s / omega[:, None]).T @ s + scale * np.eye(p)
-    k = len(n)
-    return float(
-        -(p / 2) * np.log(omega).sum() - (nu + n.sum()) / 2 * np.linalg.slogdet(inner)[1] - (p * k / 2) * np.log(sigmasq_mu)
-    )
+def _logliks(k: np.ndarray, n: np.ndarray, log_omega: np.ndarray, inner: np.ndarray, p: int, sigmasq_mu: float, nu: float) -> np.ndarray:
+    """Marginal log-likelihoods: numbers of clusters and rows, sums of log omega, and the p x p matrices that remain."""
+    return -(p / 2) * log_omega - (nu + n) / 2 * np.linalg.slogdet(inner)[1] - (p * k / 2) * np.log(sigmasq_mu)
+
+
+def _cluster_terms(per: DataFrame, p: int, by: Sequence[str], sigmasq_mu: float) -> DataFrame:
+    """by, k, n, lo, m: plain sums over clusters (n, s) of what the score needs."""
+    omega = F.col("n") + 1.0 / sigmasq_mu
+    outer = F.array(*[F.sum(F.col("s")[i] * F.col("s")[j] / omega) for i in range(p) for j in range(p)])
+    aggs = [F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"), F.sum(F.log(omega)).alias("lo"), outer.alias("m")]
+    return per.groupBy(*by).agg(*aggs) if by else per.agg(*aggs)
+
+
+def _stacked(column: pd.Series, *shape: int) -> np.ndarray:
+    return np.array(column.tolist(), float).reshape(-1, *shape)
 
 
 def marginal_loglik(
     df: DataFrame, p: int, by: Sequence[str] = (), cluster: str = "cluster", sigmasq_mu: float = 0.0625, scale: float = 1.0, nu: float | None = None
 ) -> DataFrame:
     """by, k, loglik of a partition. The indicator matrix is never formed: cluster sizes, cluster sums and the
-    cross products suffice, so this is one aggregation plus p x p algebra."""
+    cross products suffice, so this is one aggregation, sums over its clusters, and p x p algebra."""
     nu = p if nu is None else nu
     by = list(by)
-    per = _sums(df, p, [*by, cluster])
-    entry = F.sort_array(F.collect_list(F.struct(cluster, "n", "s")))
-    g = (per.groupBy(*by).agg(entry.alias("c")) if by else per.agg(entry.alias("c"))).select(
-        *by, F.transform("c", lambda c: c["n"].cast("double")).alias("n"), F.flatten(F.transform("c", lambda c: c["s"])).alias("s")
-    )
+    terms = _cluster_terms(_sums(df, p, [*by, cluster]), p, by, sigmasq_mu)
     yy = _cross_products(df, p, by)
-    j = g.join(yy, by) if by else with_scalars(g, yy)
+    j = null_safe_join(terms, yy, by) if by else with_scalars(terms, yy)
 
     def kernel(batches):
         for pdf in batches:
-            ll = [_loglik(n, s, np.asarray(y, float), p, sigmasq_mu, scale, nu) for n, s, y in zip(pdf["n"], pdf["s"], pdf["yy"])]
-            yield pdf[by].assign(k=[len(n) for n in pdf["n"]], loglik=ll)
+            inner = _stacked(pdf["yy"], p, p) - _stacked(pdf["m"], p, p) + scale * np.eye(p)
+            yield pdf[by].assign(k=pdf["k"].astype(int), loglik=_logliks(pdf["k"].to_numpy(), pdf["n"].to_numpy(), pdf["lo"].to_numpy(), inner, p, sigmasq_mu, nu))
 
     types = dict(df.dtypes)
     return j.mapInPandas(kernel, "".join(f"`{c}` {types[c]}, " for c in by) + "k int, loglik double")
 
 
-def score_cuts(tree: DataFrame, features: DataFrame, cut_eids: DataFrame, p: int, sigmasq_mu: float = 0.0625, scale: float = 1.0) -> DataFrame:
-    """eid, n_side, loglik for each candidate edge: the score after splitting its tree (one cluster per tree) there.
+def score_cuts(tree: DataFrame, features: DataFrame, p: int, cut_eids: DataFrame | None = None, sigmasq_mu: float = 0.0625, scale: float = 1.0) -> DataFrame:
+    """eid, src, dst, n_side (vertices on the src side), loglik for every edge, or the given ones: the score after splitting
+    its tree (one cluster per tree) there.
 
-    All candidates are cut at once. The pieces and the cut edges form a small tree on which the side of every
-    candidate is found, so the data are aggregated once, not once per candidate.
+    One rake-and-compress pass over the forest gives the sums of both sides of all edges; the other trees enter by their
+    summed terms alone.
     """
-    verts = features.select("id")
-    trees = connected_components(tree, verts).withColumnRenamed("component", "tree")
-    pieces = connected_components(tree.join(cut_eids, "eid", "left_anti"), verts).withColumnRenamed("component", "piece")
-    where = cut_lineage(trees.join(pieces, "id"))
-    stats = cut_lineage(_sums(features.join(where, "id"), p, ["tree", "piece"]))
-    cuts = tree.join(cut_eids, "eid", "left_semi").select("eid", "src", "dst")
-    for end in ("src", "dst"):
-        side = where.select(F.col("id").alias(end), F.col("piece").alias(f"{end}_piece"))
-        cuts = salted_join(cuts, side, [end])
-    small = cut_lineage(cuts.select("eid", F.col("src_piece").alias("a"), F.col("dst_piece").alias("b")))
-    # walk from the a-side of every candidate over all other cut edges
-    reach = small.select("eid", F.col("a").alias("piece"))
-    arcs = small.select(F.col("eid").alias("via"), "a", "b").unionByName(small.select(F.col("eid").alias("via"), F.col("b").alias("a"), F.col("a").alias("b")))
-    front = reach
-    while True:
-        step = (
-            front.join(arcs, front["piece"] == arcs["a"]).where(F.col("via") != F.col("eid")).select("eid", F.col("b").alias("piece")).distinct()
-            .join(reach, ["eid", "piece"], "left_anti")
-        )
-        step = cut_lineage(step)
-        if step.isEmpty():
-            break
-        reach = cut_lineage(reach.unionByName(step))
-        front = step
-    side = reach.join(stats, "piece").groupBy("eid", "tree").agg(
-        F.sum("n").alias("n1"), F.array(*[F.sum(F.col("s")[i]) for i in range(p)]).alias("s1")
-    )
-    whole = stats.groupBy("tree").agg(F.sum("n").alias("n"), F.array(*[F.sum(F.col("s")[i]) for i in range(p)]).alias("s"))
-    other = whole.select(F.col("tree"), F.struct("tree", "n", "s").alias("t"))
-    all_trees = whole.agg(F.sort_array(F.collect_list(F.struct("tree", "n", "s"))).alias("ts"))
-    yy = _cross_products(features, p)
-    j = with_scalars(with_scalars(side.join(other, "tree"), all_trees), yy).select(
-        "eid", "tree", "n1", "s1", F.col("t.n").alias("n"), F.col("t.s").alias("s"), "yy",
-        F.transform(F.filter("ts", lambda t: t["tree"] != F.col("tree")), lambda t: t["n"].cast("double")).alias("on"),
-        F.flatten(F.transform(F.filter("ts", lambda t: t["tree"] != F.col("tree")), lambda t: t["s"])).alias("os"),
-    )
+    points = features.select("id", F.lit(1).cast("bigint").alias("n"), F.slice("pcs", 1, p).alias("s"))
+    trees = cut_lineage(connected_components(tree, points).join(points, "id"))
+    whole = trees.groupBy("component").agg(F.sum("n").alias("tn"), array_sum("s", p).alias("ts"))
+    known = trees.select("id", "component").join(whole, "component").select(F.col("id").alias("src"), "tn", "ts")
+    edges = tree.where(F.col("src") != F.col("dst")).select("eid", "src", "dst").join(known, "src")
+    named = edges.select(F.struct("eid", "src", "dst").alias("name"), F.col("src").alias("a"), F.col("dst").alias("b"), "tn", "ts")
+    sides = side_sums(named, trees.select("id", "n", "s"), p).join(named.select("name", "tn", "ts"), "name")
+    if cut_eids is not None:
+        sides = sides.join(cut_eids.select(F.col("eid").alias("_e")), F.col("name.eid") == F.col("_e"), "left_semi")
+    terms = _cluster_terms(whole.select(F.col("tn").alias("n"), F.col("ts").alias("s")), p, [], sigmasq_mu)
+    j = with_scalars(with_scalars(sides, terms), _cross_products(features, p)).select("name.*", "n1", "s1", "tn", "ts", "k", "n", "lo", "m", "yy")
 
     def kernel(batches):
+        c = 1.0 / sigmasq_mu
+
+        def outer(n: np.ndarray, s: np.ndarray) -> np.ndarray:
+            return s[:, :, None] * s[:, None, :] / (n + c)[:, None, None]
+
         for pdf in batches:
-            out = []
-            for r in pdf.itertuples():
-                s1, s = np.asarray(r.s1, float), np.asarray(r.s, float)
-                n = np.concatenate([[r.n1, r.n - r.n1], np.asarray(r.on, float)])
-                sums = np.concatenate([s1, s - s1, np.asarray(r.os, float)])
-                out.append(_loglik(n, sums, np.asarray(r.yy, float), p, sigmasq_mu, scale, p))
-            yield pd.DataFrame({"eid": pdf["eid"], "n_side": pdf["n1"], "loglik": out})
+            if not len(pdf):
+                continue
+            n1, n, s1, s = pdf["n1"].to_numpy(float), pdf["tn"].to_numpy(float), _stacked(pdf["s1"], p), _stacked(pdf["ts"], p)
+            lo = pdf["lo"].to_numpy() - np.log(n + c) + np.log(n1 + c) + np.log(n - n1 + c)
+            m = _stacked(pdf["m"], p, p) - outer(n, s) + outer(n1, s1) + outer(n - n1, s - s1)
+            inner = _stacked(pdf["yy"], p, p) - m + scale * np.eye(p)
+            yield pdf[["eid", "src", "dst"]].assign(n_side=pdf["n1"], loglik=_logliks(pdf["k"].to_numpy() + 1, pdf["n"].to_numpy(), lo, inner, p, sigmasq_mu, p))
 
-    return j.mapInPandas(kernel, "eid long, n_side long, loglik double")
+    types = dict(tree.dtypes)
+    return j.mapInPandas(kernel, f"eid {types['eid']}, src {types['src']}, dst {types['dst']}, n_side long, loglik double")
 
 
 __all__ = [
-    "select_hvg", "dense_features", "pca", "kmeans", "gmm", "sweep", "select_k", "marginal_loglik", "score_cuts",
+    "select_hvg", "pca", "pca_counts", "kmeans", "gmm", "sweep", "select_k", "marginal_loglik", "score_cuts",
 ]

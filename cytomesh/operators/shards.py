@@ -16,8 +16,9 @@ from pyspark.sql import types as T
 
 from cytomesh.functions import columns as C
 from cytomesh.functions.kernels import transport_cost, w2_cov_term
+from cytomesh.operators import starts
 from cytomesh.operators.blocks import block_pairs
-from cytomesh.operators.core import cut_lineage, hashed_row_index, salted_join, top_k_per_group, with_scalars
+from cytomesh.operators.core import cut_lineage, hashed_row_index, top_k_per_group, with_scalars
 from cytomesh.operators.metrics import ari
 from cytomesh.operators.prep import centroids, cov_matrix, proportions
 
@@ -214,39 +215,13 @@ def final_assignments(cells: DataFrame, hard: DataFrame) -> DataFrame:
 # --------------------------------------------------------------------------- clustering every shard at once
 
 
-def kmeans_by_shard(cells: DataFrame, k: int, p: int, iters: int = 1000, seed: int = 1, vector: str = "pcs") -> DataFrame:
-    """Lloyd's algorithm for all shards in one job per round: shard_id, cell_id, cluster (0-based).
-
-    Centroids of a shard form one short array; rows never gather by shard, so a huge shard is just more rows.
-    Starts from the k cells of each shard with the smallest hashes and goes on until no centroid moves.
-    """
-    base = cut_lineage(cells.select("shard_id", "cell_id", F.slice(vector, 1, p).alias("v")))
-    h = F.xxhash64("cell_id", F.lit(seed))
-    first = top_k_per_group(base, ["shard_id"], [h, F.col("cell_id")], k)
-
-    def gather(df: DataFrame) -> DataFrame:
-        entry = F.sort_array(F.collect_list(F.struct("cluster", "mean")))
-        return df.groupBy("shard_id").agg(F.transform(entry, lambda c: c["mean"]).alias("cents"))
-
-    cents = cut_lineage(gather(first.select("shard_id", (F.col("rk") - 1).alias("cluster"), F.col("v").alias("mean"))))
-
-    def label(c: DataFrame) -> DataFrame:
-        d = F.transform("cents", lambda m, i: F.struct(C.array_sq_distance(F.col("v"), m).alias("d"), i.alias("i")))
-        return salted_join(base, c, ["shard_id"]).withColumn("cluster", F.array_min(d)["i"])
-
-    for _ in range(iters):
-        moved = label(cents).groupBy("shard_id", "cluster").agg(*[F.avg(F.col("v")[i]).alias(f"m{i}") for i in range(p)])
-        new = moved.select("shard_id", "cluster", F.array(*[f"m{i}" for i in range(p)]).alias("mean"))
-        old = cents.select("shard_id", F.posexplode("cents").alias("cluster", "old"))
-        kept = old.join(new, ["shard_id", "cluster"], "left").select(
-            "shard_id", "cluster", F.coalesce("mean", "old").alias("mean"), C.array_sq_distance("old", F.coalesce("mean", "old")).alias("shift")
-        )
-        kept = cut_lineage(kept)
-        done = kept.agg(F.max("shift")).first()[0] == 0.0
-        cents = gather(kept)
-        if done:
-            break
-    return label(cents).select("shard_id", "cell_id", "cluster")
+def kmeans_by_shard(cells: DataFrame, k: int, p: int, iters: int = 1000, seeds: Sequence[int] = tuple(range(1, 21)), vector: str = "pcs") -> DataFrame:
+    """Lloyd's algorithm for all shards and starts in the same passes: shard_id, cell_id, cluster (0-based) from the start
+    of least cost of every shard. A huge shard is just more blocks; cells with missing values are left out."""
+    packed = starts.blocks(cells, "cell_id", p, vector, by="shard_id")
+    state = starts.lloyd(packed, [starts.Run(i, k, p, s) for i, s in enumerate(seeds)], p, iters)
+    best = top_k_per_group(state, ["grp"], [F.asc("total"), F.asc("run")], 1)
+    return starts.labels(packed, best, p).select(F.col("grp").alias("shard_id"), F.col("key").alias("cell_id"), F.col("c").alias("cluster"))
 
 
 __all__: Sequence[str] = [
