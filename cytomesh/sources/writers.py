@@ -1,4 +1,4 @@
-"""Writers: partitioned shard outputs, one-file summaries, wide label exports."""
+"""Writers: partitioned shard outputs, coordinate text, summaries, wide label exports."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SUMMARY_ROWS = 1_000_000  # more go to several files
+from cytomesh.operators.core import keyed_join
 
 
 def write_shards(df: DataFrame, path: str, fmt: str = "parquet", files_per_shard: int = 8) -> None:
@@ -18,10 +18,26 @@ def write_shards(df: DataFrame, path: str, fmt: str = "parquet", files_per_shard
     (out.option("header", True).csv(path) if fmt == "csv" else out.parquet(path))
 
 
-def write_summary(df: DataFrame, path: str) -> None:
-    """A table as CSV below ``path``: one file, or as many as its partitions where it is not small."""
-    small = df.limit(SUMMARY_ROWS + 1).count() <= SUMMARY_ROWS
-    (df.coalesce(1) if small else df).write.mode("overwrite").option("header", True).csv(path)
+def write_summary(df: DataFrame, path: str, files: int = 1) -> None:
+    """A table as CSV below ``path``, in at most so many files. A summary is one; ask for more where rows are many."""
+    df.coalesce(files).write.mode("overwrite").option("header", True).csv(path)
+
+
+def write_triplets(counts: DataFrame, genes: DataFrame, cells: DataFrame, path: str, field: str = "integer", by_cell: bool = False) -> None:
+    """(cell_id, gene_id, cnt) as Matrix-Market coordinate text below ``path``, genes x cells or, ``by_cell``, turned.
+
+    The positions come from ``genes(gene_idx, gene_id)`` and ``cells(cell_idx, cell_id)``. The banner and the size line are
+    a part of their own, so entries are written in parallel.
+    """
+    n_genes, n_cells, n = genes.count(), cells.count(), counts.count()
+    size = (n_cells, n_genes, n) if by_cell else (n_genes, n_cells, n)
+    head = [f"%%MatrixMarket matrix coordinate {field} general", "%d %d %d" % size]
+    order = ["cell_idx", "gene_idx"] if by_cell else ["gene_idx", "cell_idx"]
+    placed = keyed_join(keyed_join(counts, genes, ["gene_id"]), cells, ["cell_id"])
+    values = [] if field == "pattern" else ["cnt"]
+    body = placed.select(F.concat_ws(" ", *[F.col(c).cast("string") for c in order + values]).alias("value"))
+    counts.sparkSession.createDataFrame([(line,) for line in head], "value string").coalesce(1).write.mode("overwrite").text(path)
+    body.write.mode("append").text(path)
 
 
 def export_labels(long: DataFrame, ids: Sequence[str], runs: Sequence[str], run: str = "run", label: str = "label") -> DataFrame:
