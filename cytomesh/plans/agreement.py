@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from cytomesh.operators import lsh as L
 from cytomesh.operators import metrics as M
 from cytomesh.operators import posterior as B
 from cytomesh.operators import prep as P
@@ -194,13 +195,13 @@ def u2(spark, sf_dir):
 )
 def u3(spark, sf_dir):
     """Mode and median absolute deviation per group, composed from built-in expressions."""
-    from cytomesh.operators.core import quantiles, salted_join, top_k_per_group
+    from cytomesh.operators.core import quantiles, keyed_join, top_k_per_group
 
     e = R.table(spark, sf_dir, "events").select("event_id", (F.col("user_id") % 10).alias("g"), "event_type", "value")
     n = e.groupBy("g", "event_type").agg(F.count(F.lit(1)).alias("n"))
     mode = top_k_per_group(n, ["g"], [F.desc("n"), F.asc("event_type")], 1).select("g", F.col("event_type").alias("mode_label"))
     med = quantiles(e, "value", {"med": 0.5}, ["g"])
-    dev = salted_join(e, med, ["g"]).select("g", F.abs(F.col("value") - F.col("med")).alias("dev"))
+    dev = keyed_join(e, med, ["g"]).select("g", F.abs(F.col("value") - F.col("med")).alias("dev"))
     mad = quantiles(dev, "dev", {"mad": 0.5}, ["g"]).select("g", r(F.col("mad") * P.MAD_SCALE, name="mad"))
     return mode.join(mad, "g")
 
@@ -561,3 +562,9 @@ def u1(spark, sf_dir):
 )
 def g25(spark, sf_dir):
     return rounded(M.feature_knn(R.cells(spark, sf_dir), "cell_id", 10, 5), ["d"])
+
+
+@query("G25_feature_knn_lsh")
+def g25b(spark, sf_dir):
+    """Neighbours from random projections; tests measure the share of the exact ones that they find."""
+    return L.feature_knn_lsh(R.cells(spark, sf_dir), "cell_id", 10, 5)

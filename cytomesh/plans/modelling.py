@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from cytomesh.operators import cluster as K
 from cytomesh.operators import markers as T
 from cytomesh.operators import prep as P
+from cytomesh.operators.core import cut_lineage
 from cytomesh.plans import roles as R
 from cytomesh.plans.registry import query
 from cytomesh.plans.spatial import _heap_tree
@@ -34,12 +35,12 @@ def f4(spark, sf_dir):
 
 @query("F4_pca_from_counts")
 def f4b(spark, sf_dir):
-    """Counts -> log-normalised -> variable genes -> dense features -> components."""
+    """Counts -> log-normalised -> variable genes -> components."""
     counts = R.sparse_counts(spark, sf_dir)
     mom = P.gene_moments(counts, _n_cells(spark, sf_dir))
-    genes = [row[0] for row in K.select_hvg(mom, 40).where("highly_variable").select("gene_id").orderBy("gene_id").collect()]
+    genes = K.select_hvg(mom, 2000).where("highly_variable").select("gene_id")
     cells = R.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("cell_id"))
-    return K.pca(K.dense_features(P.log_normalize(counts), cells, genes), 5)
+    return K.pca_counts(P.log_normalize(counts), cells, genes, 15)
 
 
 @query("F6_kmeans")
@@ -54,7 +55,7 @@ def f7(spark, sf_dir):
 
 @query("F8_sweep")
 def f8(spark, sf_dir):
-    return K.sweep(_cells(spark, sf_dir), [4, 8], [3, 10], "annotation", seeds=range(1, 6))
+    return K.sweep(_cells(spark, sf_dir), [4, 8], [3, 10], "annotation")
 
 
 @query("F11_select_k")
@@ -75,18 +76,30 @@ def f9(spark, sf_dir):
     return rounded(K.marginal_loglik(_cells(spark, sf_dir, 2), 2, cluster="annotation"), ["loglik"])
 
 
-@query(
-    "F10_score_cuts",
-    f"WITH RECURSIVE {R.cells_sql(1)}, up(id, anc) AS (SELECT cell_id, cell_id FROM cells UNION ALL SELECT id, anc // 2 FROM up WHERE anc > 0), "
-    "sub AS (SELECT anc AS eid, count(*)::DOUBLE AS n1, sum(pcs[1]) AS s1 FROM up JOIN cells ON cell_id = id WHERE anc > 0 AND anc % 20 = 3 GROUP BY 1), "
-    "t AS (SELECT count(*)::DOUBLE AS n, sum(pcs[1]) AS s, sum(pcs[1] * pcs[1]) AS yy FROM cells) "
-    f"SELECT eid, n1::BIGINT AS n_side, {rs('-0.5 * (ln(n1 + 16) + ln(n - n1 + 16)) - (1 + n) / 2 * ln(yy - s1 * s1 / (n1 + 16) - (s - s1) * (s - s1) / (n - n1 + 16) + 1) - ln(0.0625::DOUBLE)')} AS loglik FROM sub CROSS JOIN t",
-)
+def _heap_cuts_sql(p: int, inner: str) -> str:
+    """All edges id -> id // 2 as cuts; ``inner`` is the determinant that is left."""
+    sums = ", ".join(f"sum(pcs[{i + 1}]) AS s{i}" for i in range(p))
+    cross = ", ".join(f"sum(pcs[{i + 1}] * pcs[{j + 1}]) AS y{i}{j}" for i in range(p) for j in range(i, p))
+    whole = ", ".join(f"t.s{i} AS t{i}" for i in range(p))
+    left = ", ".join(
+        f"y{i}{j} - s{i} * s{j} / (n1 + 16) - (t{i} - s{i}) * (t{j} - s{j}) / (n - n1 + 16) + {int(i == j)} AS c{i}{j}" for i in range(p) for j in range(i, p)
+    )
+    return (
+        f"WITH RECURSIVE {R.cells_sql(p)}, up(id, anc) AS (SELECT cell_id, cell_id FROM cells UNION ALL SELECT id, anc // 2 FROM up WHERE anc > 0), "
+        f"sub AS (SELECT anc AS eid, count(*)::DOUBLE AS n1, {sums} FROM up JOIN cells ON cell_id = id WHERE anc > 0 GROUP BY 1), "
+        f"t AS (SELECT count(*)::DOUBLE AS n, {sums}, {cross} FROM cells), "
+        f"sides AS (SELECT sub.*, t.n, {whole}, {', '.join(f'y{i}{j}' for i in range(p) for j in range(i, p))} FROM sub CROSS JOIN t), "
+        f"rest AS (SELECT eid, n1, n, {left} FROM sides) "
+        f"SELECT eid, eid AS src, eid // 2 AS dst, n1::BIGINT AS n_side, "
+        f"{rs(f'-0.5 * {p} * (ln(n1 + 16) + ln(n - n1 + 16)) - ({p} + n) / 2 * ln({inner}) - {p} * ln(0.0625::DOUBLE)')} AS loglik FROM rest"
+    )
+
+
+@query("F10_score_cuts", _heap_cuts_sql(3, "c00 * (c11 * c22 - c12 * c12) - c01 * (c01 * c22 - c12 * c02) + c02 * (c01 * c12 - c11 * c02)"))
 def f10(spark, sf_dir):
-    """Every twentieth edge of a tree over all cells as candidate cut."""
-    c = _cells(spark, sf_dir, 1).select(F.col("cell_id").alias("id"), "pcs")
-    cuts = c.where("id > 0 and id % 20 = 3").select(F.col("id").alias("eid"))
-    return rounded(K.score_cuts(_heap_tree(c), c, cuts, 1), ["loglik"])
+    """Every edge of a tree over all cells as candidate cut, three components."""
+    c = _cells(spark, sf_dir, 3).select(F.col("cell_id").alias("id"), "pcs")
+    return rounded(K.score_cuts(_heap_tree(c), c, 3), ["loglik"])
 
 
 # --------------------------------------------------------------------------- markers
@@ -246,3 +259,18 @@ def e3(spark, sf_dir):
     n = R.table(spark, sf_dir, "part").agg(F.count(F.lit(1)).alias("n_tests"))
     found = T.find_markers(P.log_normalize(counts), R.cell_labels(spark, sf_dir), n)
     return T.top_k_per_group(found, ["cluster"], [F.asc("p_val"), F.desc("avg_log2fc"), F.asc("gene_id")], 5)
+
+
+@query("E2_counts_to_clusters")
+def e2(spark, sf_dir):
+    """Counts -> cells and genes kept -> log-normalised -> variable genes -> components -> clusters -> scores by setting."""
+    counts = R.sparse_counts(spark, sf_dir)
+    totals = P.cell_totals(counts)
+    cells = totals.where("n_genes >= 5 AND total_counts >= 50").select("cell_id")
+    kept = counts.join(cells, "cell_id", "left_semi")
+    seen = kept.groupBy("gene_id").agg(F.count(F.lit(1)).alias("n_cells"))
+    kept = cut_lineage(kept.join(seen.where("n_cells >= 3").select("gene_id"), "gene_id", "left_semi"))
+    genes = K.select_hvg(P.gene_moments(kept, cells.agg(F.count(F.lit(1)).alias("n"))), 2000).where("highly_variable").select("gene_id")
+    pcs = cut_lineage(K.pca_counts(P.log_normalize(kept), cells, genes, 15))
+    named = pcs.join(R.cell_labels(spark, sf_dir).withColumnRenamed("cluster", "annotation"), "cell_id")
+    return K.sweep(named, [3, 5], [5, 10], "annotation")

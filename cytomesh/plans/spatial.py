@@ -242,20 +242,38 @@ def g15(spark, sf_dir):
     return G.merge_small_components(G.mst(e), pieces, 5)
 
 
-@query(
-    "G16_same_label_targets",
-    f"WITH RECURSIVE {_RAD}, {_SAME_EDGES}, {_closure_sql('same', 'points')}, "
+_SMALL_TARGETS = (
+    f"{_RAD}, {_SAME_EDGES}, {_closure_sql('same', 'points')}, "
     "cp AS (SELECT component, label, count(*) AS n, avg(x) AS x, avg(y) AS y FROM cc JOIN points USING (id) GROUP BY 1, 2), "
-    f"big AS (SELECT a.component, b.component AS target, row_number() OVER (PARTITION BY a.component ORDER BY round({_DIST}, 9), b.component) AS rn FROM cp a JOIN cp b ON a.label = b.label AND a.component <> b.component AND (b.n >= 3 OR a.label NOT IN (SELECT label FROM cp WHERE n >= 3)) WHERE a.n < 3) "
-    "SELECT component, target FROM big WHERE rn = 1",
+    f"big AS (SELECT a.component, b.component AS target, row_number() OVER (PARTITION BY a.component ORDER BY round({_DIST}, 9), b.component) AS rn FROM cp a JOIN cp b ON a.label = b.label AND a.component <> b.component AND (b.n >= 3 OR a.label NOT IN (SELECT label FROM cp WHERE n >= 3)) WHERE a.n < 3)"
 )
-def g16(spark, sf_dir):
+
+
+def _pieces(spark, sf_dir):
     p = R.points(spark, sf_dir)
-    m = G.spatial_components(N.radius_graph(p, _R), p).join(p, "id")
+    return p, G.spatial_components(N.radius_graph(p, _R), p).join(p, "id")
+
+
+@query("G16_same_label_targets", f"WITH RECURSIVE {_SMALL_TARGETS} SELECT component, target FROM big WHERE rn = 1")
+def g16(spark, sf_dir):
+    _, m = _pieces(spark, sf_dir)
     comps = m.groupBy("component", "label").agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("x"), F.avg("y").alias("y"))
     return G.same_label_targets(cut_lineage(comps), 3)
 
 
+@query(
+    "G16_merge_small_same_label",
+    f"WITH RECURSIVE {_SMALL_TARGETS}, tg AS (SELECT component AS src, target AS dst FROM big WHERE rn = 1), "
+    "steps AS (SELECT src AS a, dst AS b FROM tg UNION ALL SELECT dst, src FROM tg), "
+    "joined(id, rep) AS (SELECT component, component FROM cp UNION SELECT steps.b, joined.rep FROM joined JOIN steps ON steps.a = joined.id WHERE joined.rep < steps.b), "
+    "top AS (SELECT id, min(rep) AS component FROM joined GROUP BY 1) SELECT cc.id, top.component FROM cc JOIN top ON top.id = cc.component",
+)
+def g16b(spark, sf_dir):
+    """Pieces of a label with fewer than three points move to the nearest large one of their label."""
+    p, m = _pieces(spark, sf_dir)
+    return G.merge_small_same_label(cut_lineage(m.select("id", "component", "label")), p, 3)
+
+
 def _heap_tree(df):
     """The tree id -> id // 2 over dense ids; the edge is named by its lower end."""
     return df.where("id > 0").select(F.col("id").alias("eid"), F.col("id").alias("src"), F.floor(F.col("id") / 2).alias("dst"))
@@ -279,8 +297,9 @@ def g18(spark, sf_dir):
 
 
 _GEO = (
+    "marks AS (SELECT id FROM (SELECT id, row_number() OVER (PARTITION BY label ORDER BY x, id) AS rn FROM c) WHERE rn = 1), "
     "arcs AS (SELECT src AS a, dst AS b, d AS w FROM und UNION ALL SELECT dst, src, d FROM und UNION ALL SELECT id, id, 0 FROM c), "
-    "bf(it, source, id, d) AS (SELECT 0, id, id, 0.0::DOUBLE FROM c WHERE label = 3 AND id < 100 UNION ALL "
+    "bf(it, source, id, d) AS (SELECT 0, id, id, 0.0::DOUBLE FROM marks UNION ALL "
     "SELECT bf.it + 1, bf.source, arcs.b, min(bf.d + arcs.w) FROM bf JOIN arcs ON arcs.a = bf.id WHERE bf.it < 150 GROUP BY 1, 2, 3), "
     "fin AS (SELECT source, id, d FROM bf WHERE it = 150), "
     "geo AS (SELECT s.source, c.id, coalesce(f.d, (SELECT max(d) * 2 FROM fin)) AS d FROM c CROSS JOIN (SELECT DISTINCT source FROM fin) s LEFT JOIN fin f ON f.source = s.source AND f.id = c.id)"
@@ -288,8 +307,8 @@ _GEO = (
 
 
 def _landmarks(c):
-    """A short list of landmark cells."""
-    return c.where("label = 3 and id < 100").select("id")
+    """One landmark a label: its leftmost cell."""
+    return c.groupBy("label").agg(F.min_by("id", F.struct("x", "id")).alias("id")).select("id")
 
 
 @query("G19_geodesic", f"WITH RECURSIVE {_CELLS}, {_knn_sql(6)}, {_UND}, {_GEO} SELECT source, id, {rs('d')} AS d FROM geo")

@@ -65,45 +65,44 @@ def s1(spark, sf_dir):
 def s2(spark, sf_dir):
     """Write counts as cells x genes coordinate text and read them back: the axes are turned on reading."""
     counts = R.counts(spark, sf_dir)
-    cells = P.local_index(counts.select("cell_id").distinct(), ["cell_id"]).select(
-        (F.col("idx_global") + 1).cast("bigint").alias("cell_idx"), "cell_id"
-    )
-    genes = P.local_index(counts.select("gene_id").distinct(), ["gene_id"]).select(
-        (F.col("idx_global") + 1).cast("bigint").alias("gene_idx"), "gene_id"
-    )
-    size = counts.agg(F.count(F.lit(1)).alias("nnz")).join(cells.agg(F.count(F.lit(1)).alias("n"))).join(
-        genes.agg(F.count(F.lit(1)).alias("g"))
-    )
-    head = size.select(F.format_string("%d %d %d", "n", "g", "nnz").alias("value"))
-    note = spark.createDataFrame([("%%MatrixMarket matrix coordinate integer general",)], "value string")
-    body = counts.join(cells, "cell_id").join(genes, "gene_id").select(
-        F.format_string("%d %d %d", "cell_idx", "gene_idx", "cnt").alias("value")
-    )
+    cells, genes = readers.numbered(counts, "cell_id", "cell_idx"), readers.numbered(counts, "gene_id", "gene_idx")
     path = scratch(spark) + "/counts.mtx"
-    note.union(head).coalesce(1).write.text(path)
-    body.write.mode("append").text(path)
+    writers.write_triplets(counts, genes, cells, path, by_cell=True)
     return readers.read_triplets(spark, path, genes, cells)
 
 
+@query(
+    "S2_read_real_triplets",
+    f"SELECT l_suppkey AS cell_id, l_partkey AS gene_id, {rs('sum(l_discount) / 8', 9)} AS cnt FROM lineitem GROUP BY 1, 2",
+)
+def s2b(spark, sf_dir):
+    """Real entries are kept as they are."""
+    li = R.table(spark, sf_dir, "lineitem")
+    counts = li.groupBy(F.col("l_suppkey").alias("cell_id"), F.col("l_partkey").alias("gene_id")).agg((F.sum("l_discount") / 8).alias("cnt"))
+    cells, genes = readers.numbered(counts, "cell_id", "cell_idx"), readers.numbered(counts, "gene_id", "gene_idx")
+    path = scratch(spark) + "/real.mtx"
+    writers.write_triplets(counts, genes, cells, path, field="real")
+    return rounded(readers.read_triplets(spark, path, genes, cells), ["cnt"], 9)
+
+
 @query(
     "S3_read_shards",
-    "SELECT (c_custkey % 7)::INTEGER AS shard_id, c_nationkey AS cluster, count(*) AS count, 0.5::DOUBLE AS proportion, "
-    "100::BIGINT AS total_n FROM customer WHERE c_custkey % 7 IN (0, 1, 2, 5) GROUP BY 1, 2",
+    "SELECT shard_id, cluster, count, " + rs("count * 1.0::DOUBLE / total_n", 9) + " AS proportion, total_n::BIGINT AS total_n FROM (SELECT *, sum(count) OVER (PARTITION BY shard_id) AS total_n FROM "
+    "(SELECT (c_custkey % 7)::INTEGER AS shard_id, c_nationkey AS cluster, count(*) AS count FROM customer WHERE c_custkey % 7 IN (0, 1, 2, 5) GROUP BY 1, 2))",
 )
 def s3(spark, sf_dir):
     """Per-shard summary files; shards without a companion are skipped."""
-    df = (
-        R.table(spark, sf_dir, "customer")
-        .groupBy((F.col("c_custkey") % 7).cast("int").alias("shard_id"), F.col("c_nationkey").alias("cluster"))
-        .agg(F.count(F.lit(1)).alias("count"))
-        .withColumns({"proportion": F.lit(0.5), "total_n": F.lit(100).cast("bigint")})
+    own = R.table(spark, sf_dir, "customer").select((F.col("c_custkey") % 7).cast("int").alias("shard_id"), F.col("c_nationkey").alias("cluster"))
+    counts = own.groupBy("shard_id", "cluster").agg(F.count(F.lit(1)).alias("count"))
+    df = counts.join(own.groupBy("shard_id").agg(F.count(F.lit(1)).alias("total_n")), "shard_id").select(
+        "shard_id", "cluster", "count", (F.col("count") / F.col("total_n")).alias("proportion"), "total_n"
     )
     path = scratch(spark)
     for s in range(7):
         name = f"Shard_{s:03d}_proportions.csv"
         df.where(F.col("shard_id") == s).drop("shard_id").write.option("header", True).csv(f"{path}/{name}")
     companions = spark.createDataFrame([(0,), (1,), (2,), (5,)], "shard_id int")
-    return readers.read_shards(spark, f"{path}/*", r"Shard_(\d+)_proportions", readers.PROPORTIONS_SCHEMA, companions)
+    return rounded(readers.read_shards(spark, f"{path}/*", r"Shard_(\d+)_proportions", readers.PROPORTIONS_SCHEMA, companions), ["proportion"], 9)
 
 
 @query("S4_read_boundary", "WITH p AS (SELECT nation.n_nationkey AS polygon_id, (c_custkey % 3)::INTEGER AS ring_id, c_custkey AS seq, c_acctbal AS x, c_custkey::DOUBLE AS y FROM customer JOIN nation ON c_nationkey = n_nationkey) "
