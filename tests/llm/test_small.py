@@ -319,10 +319,33 @@ def test_recurrent_model():
             v.flat[at] = old
             assert math.isclose((up - down) / (2 * e), grads[k].flat[at], rel_tol=1e-3, abs_tol=1e-7), k
     before = model.score(docs).sum()
-    model.train(docs * 10, epochs=3)
+    for rate in (8e-3, 4e-3, 2e-3):
+        assert model.train(docs * 10, rate) == 10 * sum(map(len, docs))
     assert model.score(docs).sum() > before
 
 
+def test_streams_start_every_document_anew():
+    """Two documents in one stream have the loss and gradients of two streams."""
+    model = recurrent.GatedModel(np.array([50.0, 30, 20, 10, 5, 2, 1]), 9.0)
+    rng = np.random.default_rng(1)
+    model.p = {k: v.astype(np.float64) + rng.standard_normal(v.shape) * 0.1 for k, v in model.p.items()}
+    a, b = np.array([1, 2, 3, 0]), np.array([4, 4, 7, 0])
+    docs = [np.append(a, 0), b]
+    streams = model._streams([docs[0], docs[1]])
+    assert [s.shape[1] for s in streams] == [5, 4] and all(s[0, 0] == model.listed + 1 and s[2, 0] == 0 for s in streams)
+    y = np.stack([a, b], axis=1)
+    x = np.vstack([np.full((1, 2), 8), y[:-1]])
+    apart, _ = model._window(x, y, np.zeros((2, recurrent.HIDDEN)))
+    y1 = np.concatenate([a, b])[:, None]
+    x1, keep = np.vstack([[[8]], y1[:-1]]), np.ones((8, 1))
+    x1[4], keep[4], keep[0] = 8, 0, 0
+    joined, _ = model._window(x1, y1, rng.standard_normal((1, recurrent.HIDDEN)), keep)
+    assert all(np.allclose(apart[k], joined[k], atol=1e-6) for k in apart)
+    flat = model.weights()
+    model.set_weights(flat)
+    assert np.allclose(model.weights(), flat, atol=1e-6)
+
+
 def test_scoring(docs, rows, empty):
     held = scoring.F.coalesce(scoring.F.pmod(scoring.crc32_of("doc_id"), scoring.F.lit(7)) == 2, scoring.F.lit(False))
     own = docs.select("doc_id", "text", "row", held.alias("held_out"))
@@ -349,11 +372,39 @@ def test_sample_is_full(spark, monkeypatch):
     h = scoring.F.xxhash64("doc_id")
     want = [r.doc_id for r in mixed.orderBy(h, "doc_id").limit(40).collect()]
     assert [r.doc_id for r in hash_sample(mixed, 3000, 40, "doc_id").collect()] == want
-    # 400 short documents among 3,400 training rows
-    sizes, train = [], scoring.train_model
-    monkeypatch.setattr(scoring, "train_model", lambda sample, *a: sizes.append(len(sample)) or train([], *a))
-    rows = spark.range(3400).selectExpr("id AS doc_id", "IF(id < 400, concat('some words ', id), repeat('long ', 4100)) AS text", "false AS held_out")
-    assert scoring.score_documents(rows).limit(1).count() == 1 and sizes == [scoring.SAMPLE_DOCS]
+
+
+def test_training_grows_with_the_corpus(spark, monkeypatch):
+    """Texts of every length train the weights, in as many shards as there are documents for; equal rows once."""
+    monkeypatch.setattr(scoring, "TRAIN_LEAST", 20)
+    monkeypatch.setattr(scoring, "TRAIN_EVERY", 4)
+    monkeypatch.setattr(scoring, "SHARD_DOCS", 30)
+    monkeypatch.setattr(scoring, "ROUNDS", 1)
+    found, real = [], scoring.written
+    monkeypatch.setattr(scoring, "written", lambda df, *a, **k: (lambda t: (found.append(t.selectExpr("count(*)", "count(DISTINCT shard)", "max(length(text))").first()) if "shard" in t.columns else None, t)[1])(real(df, *a, **k)))
+    for n in (10, 400, 1600):
+        rows = spark.range(n).selectExpr("id AS doc_id", "IF(id % 5 > 0, concat('some words ', id), repeat(concat(id, ' long '), 4000)) AS text", "false AS held_out")
+        assert scoring.score_documents(rows.unionByName(rows.limit(3))).count() == n + 3
+    sizes = [f[0] for f in found]
+    assert sizes[0] == 10 and 60 < sizes[1] < 140 and 300 < sizes[2] < 500 and found[0][1] == 1 and found[2][1] > 8
+    assert all(f[2] > 20_000 for f in found)
+
+
+def test_held_out_documents_beat_the_word_counts(spark):
+    rng = random.Random(3)
+    follow = {w: rng.sample(range(60), 3) for w in range(60)}  # words that have few successors
+
+    def text():
+        w, out = rng.randrange(60), []
+        for _ in range(rng.choice((20, 40, 80))):
+            out.append(f"word{w}")
+            w = rng.choice(follow[w])
+        return " ".join(out)
+
+    rows = [(i, text(), zlib.crc32(str(i).encode()) % 7 == 2) for i in range(700)]
+    got = scoring.score_documents(spark.createDataFrame(rows, "doc_id bigint, text string, held_out boolean")).where("held_out").collect()
+    assert len(got) > 60 and sum(r.score for r in got) > 0.85 * sum(r.base_score for r in got)
+    assert sum(r.score > r.base_score for r in got) > 0.95 * len(got)
 
 
 def test_quality(docs, rows, empty, spark):
