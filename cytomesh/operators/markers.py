@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cytomesh.functions.kernels import chi2_upper, normal_two_sided
-from cytomesh.operators.core import average_ranks, keyed_join, top_k_per_group, with_scalars
+from cytomesh.operators.core import average_ranks, cut_lineage, keyed_join, top_k_per_group, with_scalars
 
 
 @F.pandas_udf(T.DoubleType())
@@ -108,8 +108,10 @@ def find_markers(
     """gene_id, cluster, p_val, avg_log2fc, pct_1, pct_2, p_val_adj for genes that pass the gates."""
     fc = fold_change(values, labels)
     size = F.col("avg_log2fc") if only_positive else F.abs("avg_log2fc")
-    gated = fc.where((F.greatest("pct_1", "pct_2") >= min_pct) & (size >= min_log2fc))
-    tests = rank_sum_markers(values, labels).select("gene_id", "cluster", "p_val")
+    gated = cut_lineage(fc.where((F.greatest("pct_1", "pct_2") >= min_pct) & (size >= min_log2fc)))
+    # only genes that pass for some cluster are ranked
+    few = values.join(gated.select("gene_id").distinct(), "gene_id", "left_semi")
+    tests = rank_sum_markers(few, labels).select("gene_id", "cluster", "p_val")
     return adjust_p(gated.join(tests, ["gene_id", "cluster"]), n_genes)
 
 
@@ -126,22 +128,22 @@ def marker_quality(markers: DataFrame, alpha: float = 0.05) -> DataFrame:
     """
     p = F.greatest("p_val_adj", F.lit(1e-300))
     return markers.where(F.col("p_val_adj") < alpha).groupBy("method", "cluster").agg(
-        F.count(F.lit(1)).alias("n_significant"),
-        F.avg("avg_log2fc").alias("mean_log2fc"),
-        F.percentile("avg_log2fc", 0.5).alias("median_log2fc"),
-        F.max("avg_log2fc").alias("max_log2fc"),
-        F.avg(-F.log10(p)).alias("mean_pval"),
-        F.avg(F.col("pct_1") - F.col("pct_2")).alias("mean_pct_diff"),
+        F.count(F.lit(1)).alias("n_markers"),
+        F.avg("avg_log2fc").alias("log2fc_mean"),
+        F.percentile("avg_log2fc", 0.5).alias("log2fc_median"),
+        F.max("avg_log2fc").alias("log2fc_max"),
+        F.avg(-F.log10(p)).alias("neg_log10_p_mean"),
+        F.avg(F.col("pct_1") - F.col("pct_2")).alias("specificity_mean"),
     )
 
 
 def method_summary(quality: DataFrame) -> DataFrame:
     return quality.groupBy("method").agg(
-        F.count(F.lit(1)).alias("total_clusters"),
-        F.avg("n_significant").alias("mean_markers_per_cluster"),
-        F.avg("mean_log2fc").alias("overall_mean_log2fc"),
-        F.avg("mean_pval").alias("overall_mean_pval"),
-        F.avg("mean_pct_diff").alias("overall_mean_specificity"),
+        F.count(F.lit(1)).alias("n_clusters"),
+        F.avg("n_markers").alias("markers_per_cluster"),
+        F.avg("log2fc_mean").alias("log2fc"),
+        F.avg("neg_log10_p_mean").alias("neg_log10_p"),
+        F.avg("specificity_mean").alias("specificity"),
     )
 
 

@@ -128,7 +128,7 @@ def representative_iteration(samples: DataFrame, by: Sequence[str] = (), modal_o
     """by, iter, score: the iteration whose co-clustering matrix is nearest to the mean one.
 
     Minimises <W_t, W_t> - 2 mean_s <W_s, W_t> over the iterations with the most frequent number of
-    clusters. Equal partitions are collapsed first and enter as weights. The earliest iteration wins a tie.
+    clusters. Partitions that are equal but for the names of their clusters are collapsed first and enter as weights. The earliest iteration wins a tie.
     """
     by = list(by)
     use = samples
@@ -137,10 +137,13 @@ def representative_iteration(samples: DataFrame, by: Sequence[str] = (), modal_o
         m = modal_k(k, by).select(*by, "k")
         keep = (k.join(m, [*by, "k"]) if by else k.join(F.broadcast(m), "k")).select(*by, "iter")
         use = samples.join(F.broadcast(keep), [*by, "iter"], "left_semi")
-    # order-free signature of a partition's labelled assignment
-    sig = use.groupBy(*by, "iter").agg(
-        F.sum(F.xxhash64("obs_id", "label").cast("decimal(38,0)")).alias("sig"),
-        F.bit_xor(F.xxhash64("label", "obs_id")).alias("sig2"),
+    # a partition is the set of its blocks, whatever they are called; a block is known by its members' hashes
+    h = F.xxhash64("obs_id")
+    blocks = use.where(F.col("label").isNotNull()).groupBy(*by, "iter", "label").agg(
+        F.count(F.lit(1)).alias("_n"), F.sum(h.cast("decimal(38,0)")).alias("_sum"), F.bit_xor(F.xxhash64("obs_id", F.lit(7))).alias("_xor")
+    )
+    sig = blocks.groupBy(*by, "iter").agg(
+        F.sum(F.xxhash64("_n", "_sum", "_xor").cast("decimal(38,0)")).alias("sig"), F.bit_xor(F.xxhash64("_xor", "_sum", "_n")).alias("sig2")
     )
     reps = cut_lineage(
         sig.groupBy(*by, "sig", "sig2").agg(F.min("iter").alias("iter"), F.count(F.lit(1)).cast("double").alias("weight"))

@@ -186,27 +186,27 @@ def t4(spark, sf_dir):
 
 
 _QUALITY = (
-    "q AS (SELECT method, cluster, count(*) AS n_significant, avg(avg_log2fc) AS mean_log2fc, median(avg_log2fc) AS median_log2fc, max(avg_log2fc) AS max_log2fc, "
-    "avg(-log10(p_val_adj)) AS mean_pval, avg(pct_1 - pct_2) AS mean_pct_diff FROM mk WHERE p_val_adj < 0.05::DOUBLE GROUP BY 1, 2)"
+    "q AS (SELECT method, cluster, count(*) AS n_markers, avg(avg_log2fc) AS log2fc_mean, median(avg_log2fc) AS log2fc_median, max(avg_log2fc) AS log2fc_max, "
+    "avg(-log10(p_val_adj)) AS neg_log10_p_mean, avg(pct_1 - pct_2) AS specificity_mean FROM mk WHERE p_val_adj < 0.05::DOUBLE GROUP BY 1, 2)"
 )
 
 
 @query(
     "A23_marker_quality",
-    f"WITH {_MARKERS}, {_QUALITY} SELECT method, cluster, n_significant, " + ", ".join(f"{rs(c)} AS {c}" for c in ("mean_log2fc", "median_log2fc", "max_log2fc", "mean_pval", "mean_pct_diff")) + " FROM q",
+    f"WITH {_MARKERS}, {_QUALITY} SELECT method, cluster, n_markers, " + ", ".join(f"{rs(c)} AS {c}" for c in ("log2fc_mean", "log2fc_median", "log2fc_max", "neg_log10_p_mean", "specificity_mean")) + " FROM q",
 )
 def a23(spark, sf_dir):
-    return rounded(T.marker_quality(_adjusted(spark, sf_dir)), ["mean_log2fc", "median_log2fc", "max_log2fc", "mean_pval", "mean_pct_diff"])
+    return rounded(T.marker_quality(_adjusted(spark, sf_dir)), ["log2fc_mean", "log2fc_median", "log2fc_max", "neg_log10_p_mean", "specificity_mean"])
 
 
 @query(
     "A23_method_summary",
-    f"WITH {_MARKERS}, {_QUALITY} SELECT method, count(*) AS total_clusters, {rs('avg(n_significant)')} AS mean_markers_per_cluster, {rs('avg(mean_log2fc)')} AS overall_mean_log2fc, "
-    f"{rs('avg(mean_pval)')} AS overall_mean_pval, {rs('avg(mean_pct_diff)')} AS overall_mean_specificity FROM q GROUP BY 1",
+    f"WITH {_MARKERS}, {_QUALITY} SELECT method, count(*) AS n_clusters, {rs('avg(n_markers)')} AS markers_per_cluster, {rs('avg(log2fc_mean)')} AS log2fc, "
+    f"{rs('avg(neg_log10_p_mean)')} AS neg_log10_p, {rs('avg(specificity_mean)')} AS specificity FROM q GROUP BY 1",
 )
 def a23b(spark, sf_dir):
     s = T.method_summary(T.marker_quality(_adjusted(spark, sf_dir)))
-    return rounded(s, [c for c in s.columns if c.startswith(("mean", "overall"))])
+    return rounded(s, ["markers_per_cluster", "log2fc", "neg_log10_p", "specificity"])
 
 
 @query(

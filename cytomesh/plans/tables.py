@@ -205,26 +205,30 @@ def p4(spark, sf_dir):
     )
 
 
+#: Bounds that suit these tables; callers of the operator bring their own.
+_QC = {"transcripts": 30, "area_low": 25, "area_high": 1500, "control": 0.4, "unassigned": 0.45, "nucleus_low": 0.05, "nucleus_high": 0.6, "assigned": 0.9}
+
+
 def qc_gate_columns():
     return {
-        "keep_transcripts": F.col("transcript_counts") >= 18,
-        "keep_area": (F.col("cell_area") >= 20) & (F.col("cell_area") <= 1000),
-        "keep_control": C.clipped_ratio("control_counts", "total_counts") <= 0.10,
-        "keep_unassigned": C.clipped_ratio("unassigned_counts", "total_counts") <= 0.12,
-        "keep_nucleus": C.floored_ratio("nucleus_area", "cell_area").between(0.03, 0.85),
-        "keep_assignment": C.clipped_ratio("transcript_counts", "total_counts") >= 0.5,
+        "keep_transcripts": F.col("transcript_counts") >= _QC["transcripts"],
+        "keep_area": F.col("cell_area").between(_QC["area_low"], _QC["area_high"]),
+        "keep_control": C.clipped_ratio("control_counts", "total_counts") <= _QC["control"],
+        "keep_unassigned": C.clipped_ratio("unassigned_counts", "total_counts") <= _QC["unassigned"],
+        "keep_nucleus": C.floored_ratio("nucleus_area", "cell_area").between(_QC["nucleus_low"], _QC["nucleus_high"]),
+        "keep_assignment": C.clipped_ratio("transcript_counts", "total_counts") >= _QC["assigned"],
     }
 
 
 _QC_FLAGS_SQL = (
-    f"WITH {R.QC_SQL}, f AS (SELECT cell_id, transcript_counts >= 18 AS keep_transcripts, "
-    "cell_area >= 20 AND cell_area <= 1000 AS keep_area, "
-    "least(greatest(control_counts / greatest(total_counts, 1e-9::DOUBLE), 0), 1) <= 0.10::DOUBLE AS keep_control, "
-    "least(greatest(unassigned_counts / greatest(total_counts, 1e-9::DOUBLE), 0), 1) <= 0.12::DOUBLE AS keep_unassigned, "
-    "nucleus_area / greatest(cell_area, 1e-9::DOUBLE) BETWEEN 0.03::DOUBLE AND 0.85::DOUBLE AS keep_nucleus, "
-    "least(greatest(transcript_counts / greatest(total_counts, 1e-9::DOUBLE), 0), 1) >= 0.5::DOUBLE AS keep_assignment FROM qc), "
+    "WITH {qc}, f AS (SELECT cell_id, transcript_counts >= {transcripts} AS keep_transcripts, "
+    "cell_area BETWEEN {area_low} AND {area_high} AS keep_area, "
+    "least(greatest(control_counts / greatest(total_counts, 1e-9::DOUBLE), 0), 1) <= {control}::DOUBLE AS keep_control, "
+    "least(greatest(unassigned_counts / greatest(total_counts, 1e-9::DOUBLE), 0), 1) <= {unassigned}::DOUBLE AS keep_unassigned, "
+    "nucleus_area / greatest(cell_area, 1e-9::DOUBLE) BETWEEN {nucleus_low}::DOUBLE AND {nucleus_high}::DOUBLE AS keep_nucleus, "
+    "least(greatest(transcript_counts / greatest(total_counts, 1e-9::DOUBLE), 0), 1) >= {assigned}::DOUBLE AS keep_assignment FROM qc), "
     "g AS (SELECT *, keep_transcripts AND keep_area AND keep_control AND keep_unassigned AND keep_nucleus AND keep_assignment AS keep FROM f) "
-)
+).format(qc=R.QC_SQL, **_QC)
 _GATES = ["keep_transcripts", "keep_area", "keep_control", "keep_unassigned", "keep_nucleus", "keep_assignment"]
 
 

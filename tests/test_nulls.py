@@ -2,7 +2,7 @@
 
 import pytest
 
-from cytomesh.operators import core, joins, posterior
+from cytomesh.operators import core, joins, posterior, prep
 from cytomesh.operators.graph import geodesic, mst
 
 
@@ -50,3 +50,26 @@ def test_representative_iteration_leaves_null_labels_out(spark):
     assert posterior.representative_iteration(df).first()["iter"] in (1, 2, 3)
     o = {(r.s, r.t): r.overlap for r in posterior.partition_overlap(df).collect()}
     assert o[1, 2] == 2.0**2 + 3.0**2
+
+
+def test_groups_and_names_without_key_keep_their_rows(spark):
+    df = spark.createDataFrame([("a", 1, 1.0), ("a", 2, 3.0), (None, 3, 5.0), (None, 4, 9.0), ("b", None, 2.0)], "name string, n int, v double")
+    z = {(r.name, r.n): r.v for r in prep.zscore(df, ["v"], ["name"]).collect()}
+    half = 0.5**0.5
+    assert len(z) == 5 and z[None, 3] == pytest.approx(-half) and z[None, 4] == pytest.approx(half) and z["a", 2] == pytest.approx(half)
+    stats = prep.moments(df, ["v"], ["name"])
+    assert prep.scale_like(df, stats, ["v"], ["name"]).count() == 5
+    names = {(r.n, r.v): r.unique_name for r in prep.make_unique(df.unionByName(df.where("n = 1").withColumn("n", df.n + 4)), "name", "n").collect()}
+    assert names == {(1, 1.0): "a", (2, 3.0): "a-1", (5, 1.0): "a-2", (3, 5.0): None, (4, 9.0): None, (None, 2.0): "b"}
+
+
+@pytest.mark.parametrize("limit", [100_000, 7])
+def test_keys_with_the_names_of_inner_columns(spark, monkeypatch, limit):
+    monkeypatch.setattr(core, "RANGE_VALUES", limit)
+    rows = [(k, k, k, k, float(v)) for k in (1, 2) for v in range(40)]
+    df = spark.createDataFrame(rows, "n int, rb int, value int, total int, v double")
+    got = {tuple(r)[:4]: r.mid for r in core.quantiles(df, "v", {"mid": 0.5}, ["n", "rb", "value", "total"]).collect()}
+    assert got == {(1, 1, 1, 1): 19.5, (2, 2, 2, 2): 19.5}
+    assert core.cumulative_counts(df, "v", ["n", "rb"]).where("before + cnt = total").count() == 2
+    with pytest.raises(ValueError):
+        core.cumulative_counts(df, "v", ["value"])
