@@ -198,7 +198,11 @@ def align(cells: DataFrame, ref_shard: int, p: int) -> dict[str, DataFrame]:
 
     The cost table has S x K x K rows; it is cut from the cell-level plan once and shared by all results.
     """
-    summary, cov = shard_summary(cells, p)
+    return align_summaries(*shard_summary(cells, p), ref_shard, p)
+
+
+def align_summaries(summary: DataFrame, cov: DataFrame, ref_shard: int, p: int) -> dict[str, DataFrame]:
+    """The same from summaries that were computed before, as ``readers.read_shard_summaries`` brings them."""
     summary = cut_lineage(summary)
     soft = cut_lineage(soft_assign(cost_matrix(summary, cov, ref_shard, p)))
     hard = hard_assign(soft)
@@ -226,6 +230,6 @@ def kmeans_by_shard(cells: DataFrame, k: int, p: int, iters: int = 1000, seeds:
 
 __all__: Sequence[str] = [
     "assign_shards", "sample_n", "map_shards", "shard_summary", "shard_scores", "cost_matrix", "soft_assign",
-    "hard_assign", "confidence", "global_params", "select_reference_shard", "align", "final_assignments",
+    "hard_assign", "confidence", "global_params", "select_reference_shard", "align", "align_summaries", "final_assignments",
     "kmeans_by_shard", "gaussian_w2", "shard_distances",
 ]

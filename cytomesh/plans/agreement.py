@@ -12,6 +12,8 @@ from cytomesh.operators import shards as S
 from cytomesh.plans import roles as R
 from cytomesh.plans.registry import query
 from cytomesh.plans.sql import r, rounded, rs
+from cytomesh.plans.tables import scratch
+from cytomesh.sources import readers, writers
 
 # --------------------------------------------------------------------------- agreement
 
@@ -512,6 +514,20 @@ def l8(spark, sf_dir):
     return out.select("cell_id", "shard_id", "x", "y", "cluster", "annotation", "metacluster")
 
 
+@query(
+    "E4_files_to_metaclusters",
+    f"WITH {_SH1_SQL} SELECT cell_id, sh.shard_id, x, y, sh.cluster, annotation, ref_cluster AS metacluster FROM sh LEFT JOIN hard h ON h.shard_id = sh.shard_id AND h.cluster = sh.cluster AND h.shard_id <> 2",
+)
+def e4(spark, sf_dir):
+    """Shards -> summary files -> read back, without the shard that has no covariance -> alignment -> metacluster of every cell."""
+    sh, path = _sharded1(spark, sf_dir), scratch(spark)
+    summary, cov = S.shard_summary(sh, 1)
+    writers.write_shard_summaries(summary, cov.where("shard_id <> 2"), path, 1)
+    known, spread = readers.read_shard_summaries(spark, path, 1)
+    out = S.final_assignments(sh, S.align_summaries(known, spread, _REF, 1)["hard"])
+    return out.select("cell_id", "shard_id", "x", "y", "cluster", "annotation", "metacluster")
+
+
 @query(
     "L8_final_agreement",
     f"WITH {_SH1_SQL}, fin AS (SELECT annotation, ref_cluster FROM sh LEFT JOIN hard h ON h.shard_id = sh.shard_id AND h.cluster = sh.cluster), {ari_sql('fin', 'annotation', 'ref_cluster')} SELECT {rs('ari')} AS ari FROM ari",

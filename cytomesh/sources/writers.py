@@ -23,6 +23,20 @@ def write_summary(df: DataFrame, path: str, files: int = 1) -> None:
     df.coalesce(files).write.mode("overwrite").option("header", True).csv(path)
 
 
+def write_shard_summaries(summary: DataFrame, cov: DataFrame, path: str, p: int) -> None:
+    """Per-shard CSV files below ``path``: proportions (cluster, count, proportion, total_n), means (cluster, pc1 .. pcp)
+    and covariance (row, pc1 .. pcp), each in one folder a shard. See ``shards.shard_summary``."""
+    pcs = [F.col("mean")[i].alias(f"pc{i + 1}") for i in range(p)]
+    rows = cov.groupBy("shard_id", F.col("i").alias("row")).agg(*[F.max(F.when(F.col("j") == j, F.col("v"))).alias(f"pc{j + 1}") for j in range(p)])
+    tables = {
+        "proportions": summary.select("shard_id", "cluster", F.col("n_obs").alias("count"), F.col("prop").alias("proportion"), "total_n"),
+        "means": summary.select("shard_id", "cluster", *pcs),
+        "covariance": rows,
+    }
+    for kind, df in tables.items():
+        df.repartition("shard_id").write.mode("overwrite").partitionBy("shard_id").option("header", True).csv(f"{path}/{kind}")
+
+
 def write_triplets(counts: DataFrame, genes: DataFrame, cells: DataFrame, path: str, field: str = "integer", by_cell: bool = False) -> None:
     """(cell_id, gene_id, cnt) as Matrix-Market coordinate text below ``path``, genes x cells or, ``by_cell``, turned.
 
