@@ -32,47 +32,43 @@ def pairwise_distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def transport_cost(a: np.ndarray, b: np.ndarray, cost: np.ndarray) -> float:
-    """Exact optimal-transport cost between two small discrete distributions.
+    """Exact optimal-transport cost between two small discrete distributions; costs are not negative.
 
-    Successive shortest paths on the residual graph: each round sends as much mass as possible along the
-    cheapest path from a row with supply left to a column with demand left.
+    Each round sends as much mass as possible along the cheapest path from a row with supply left to a column with demand
+    left. Potentials keep the costs of all remaining arcs from being negative, so paths are found node by node, nearest
+    first; a node is settled once, and no path can close on itself.
     """
-    a, b = a / a.sum(), b / b.sum()
     n, m = cost.shape
-    supply, demand, flow = a.copy(), b.copy(), np.zeros((n, m))
+    supply, demand, flow = a / a.sum(), b / b.sum(), np.zeros((n, m))
+    potential = np.zeros(n + m)
     eps = 1e-13
     while supply.max() > eps and demand.max() > eps:
-        row = np.where(supply > eps, 0.0, np.inf)
-        col = np.full(m, np.inf)
-        from_row = np.full(m, -1)
-        from_col = np.full(n, -1)
-        for _ in range(n + m):
-            step = row[:, None] + cost
-            best = step.argmin(0)
-            new_col = step[best, np.arange(m)]
-            better = new_col < col - 1e-15
-            col[better], from_row[better] = new_col[better], best[better]
-            back = np.where(flow > eps, col[None, :] - cost, np.inf)
-            best_c = back.argmin(1)
-            new_row = back[np.arange(n), best_c]
-            improved = new_row < row - 1e-15
-            row[improved], from_col[improved] = new_row[improved], best_c[improved]
-            if not better.any() and not improved.any():
-                break
-        j = int(np.where(demand > eps, col, np.inf).argmin())
-        path, end = [], j
+        far = np.concatenate([np.where(supply > eps, 0.0, np.inf), np.full(m, np.inf)])
+        settled = np.zeros(n + m, bool)
+        before = np.full(n + m, -1)
         while True:
-            i = int(from_row[end])
-            path.append((i, end, 1))
-            if from_col[i] < 0:
+            k = int(np.where(settled, np.inf, far).argmin())
+            settled[k] = True
+            if k >= n and demand[k - n] > eps:
                 break
-            end = int(from_col[i])
-            path.append((i, end, -1))
-        send = min(supply[path[-1][0]], demand[j], *[flow[i, c] for i, c, s in path if s < 0] or [np.inf])
-        for i, c, s in path:
-            flow[i, c] += s * send
-        supply[path[-1][0]] -= send
-        demand[j] -= send
+            if k < n:
+                side, arcs, price = slice(n, n + m), ~settled[n:], cost[k]
+            else:
+                side, arcs, price = slice(0, n), ~settled[:n] & (flow[:, k - n] > eps), -cost[:, k - n]
+            step = far[k] + np.maximum(price + potential[k] - potential[side], 0.0)
+            better = arcs & (step < far[side])
+            far[side] = np.where(better, step, far[side])
+            before[side] = np.where(better, k, before[side])
+        potential += np.minimum(far, far[k])
+        path = [k]
+        while before[path[-1]] >= 0:
+            path.append(int(before[path[-1]]))
+        arcs_of = [(u, v - n, 1) if u < n else (v, u - n, -1) for v, u in zip(path, path[1:])]
+        send = min([supply[path[-1]], demand[k - n], *[flow[i, j] for i, j, s in arcs_of if s < 0]])
+        for i, j, s in arcs_of:
+            flow[i, j] += s * send
+        supply[path[-1]] -= send
+        demand[k - n] -= send
     return float((flow * cost).sum())
 
 

@@ -537,6 +537,20 @@ def l8b(spark, sf_dir):
     return rounded(M.ari(S.final_assignments(sh, S.align(sh, _REF, 1)["hard"]), "annotation", "metacluster"), ["ari"])
 
 
+@query(
+    "L7_reference_shard_of_one_component",
+    "WITH sized AS (SELECT (vec_id % 40)::BIGINT AS shard_id, label, count(*)::DOUBLE AS n, avg(embedding[1]::DOUBLE) AS m FROM embeddings GROUP BY 1, 2), "
+    "cum AS (SELECT shard_id, m, sum(n) OVER w / sum(n) OVER (PARTITION BY shard_id) AS hi, (sum(n) OVER w - n) / sum(n) OVER (PARTITION BY shard_id) AS lo FROM sized WINDOW w AS (PARTITION BY shard_id ORDER BY m, label)), "
+    "pairs AS (SELECT a.shard_id, b.shard_id AS other, sum(greatest(0, least(a.hi, b.hi) - greatest(a.lo, b.lo)) * (a.m - b.m) * (a.m - b.m)) AS cost FROM cum a CROSS JOIN cum b GROUP BY 1, 2), "
+    f"mean AS (SELECT shard_id, avg(cost) AS c FROM pairs GROUP BY 1) SELECT shard_id, {rs('c', 9)} AS avg_cost FROM mean ORDER BY round(c, 12), shard_id LIMIT 1",
+)
+def l7b(spark, sf_dir):
+    """In one dimension transport has a closed form: equal shares of sorted clusters meet."""
+    c = R.cells(spark, sf_dir, 1)
+    summary, _ = S.shard_summary(c.select("pcs", (F.col("cell_id") % 40).alias("shard_id"), F.col("annotation").alias("cluster")), 1)
+    return rounded(S.select_reference_shard(summary, 1), ["avg_cost"], 9)
+
+
 @query("L9_kmeans_by_shard")
 def l9(spark, sf_dir):
     return S.kmeans_by_shard(_sharded(spark, sf_dir), 5, _SP)

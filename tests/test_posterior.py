@@ -71,3 +71,40 @@ def test_partitions_equal_up_to_names_are_one(spark, monkeypatch):
     df = spark.createDataFrame(rows, "iter int, obs_id int, label string")
     assert posterior.representative_iteration(df, modal_only=False).first()["iter"] == plain_representative(rows)
     assert seen == [4]
+
+
+@pytest.mark.parametrize("few", [8, 2])
+def test_reference_shard_is_that_of_all_pairs(spark, monkeypatch, few):
+    from cytomesh.operators import shards
+
+    monkeypatch.setattr(shards, "CANDIDATES", few)
+    rng = np.random.default_rng(few)
+    rows = [(s, c, int(rng.integers(1, 30)), (rng.standard_normal(2) + [s % 5, c]).tolist()) for s in range(25) for c in range(int(rng.integers(1, 5)))]
+    rows += [(30, c, n, m) for s, c, n, m in rows if s == 7]  # two equal shards
+    summary = spark.createDataFrame(rows, "shard_id int, cluster int, n_obs long, mean array<double>")
+    costs = {r.shard_id: r.avg_cost for r in shards.shard_distances(summary, 2).collect()}
+    got = shards.select_reference_shard(summary, 2).first()
+    assert got.shard_id == min(costs, key=lambda s: (round(costs[s], 9), s)) and got.avg_cost == pytest.approx(costs[got.shard_id])
+    assert shards.select_reference_shard(summary.where("false"), 2).count() == 0
+
+
+def test_transport_ends_and_is_exact():
+    import itertools
+
+    from cytomesh.functions.kernels import transport_cost
+
+    rng = np.random.default_rng(0)
+    for t in range(1500):
+        n, m = rng.integers(1, 9, 2)
+        w, v = rng.integers(1, 30, n).astype(float), rng.integers(1, 30, m).astype(float)
+        a, b = np.sort(rng.integers(0, 6, n) * 1.0), np.sort(rng.standard_normal(m))
+        x, y = np.cumsum(w / w.sum()), np.cumsum(v / v.sum())
+        cuts = np.unique(np.concatenate([[0], x, y]))
+        mid = (cuts[1:] + cuts[:-1]) / 2
+        want = (np.diff(cuts) * (a[np.minimum(np.searchsorted(x, mid), n - 1)] - b[np.minimum(np.searchsorted(y, mid), m - 1)]) ** 2).sum()
+        assert transport_cost(w, v, (a[:, None] - b[None]) ** 2) == pytest.approx(want, abs=1e-9)
+        assert transport_cost(w, w, (a[:, None] - a[None]) ** 2) == pytest.approx(0, abs=1e-9)  # ties and equal sets
+    for _ in range(100):
+        c = rng.random((5, 5))
+        want = min(sum(c[i, p[i]] for i in range(5)) for p in itertools.permutations(range(5))) / 5
+        assert transport_cost(np.ones(5), np.ones(5), c) == pytest.approx(want)
