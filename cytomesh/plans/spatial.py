@@ -184,8 +184,7 @@ def g10(spark, sf_dir):
 
 @query("G11_connected_components", f"WITH RECURSIVE {_RAD}, {_closure_sql('rad', 'points')} SELECT id, component FROM cc")
 def g11(spark, sf_dir):
-    p = R.points(spark, sf_dir)
-    return G.connected_components(N.radius_graph(p, _R), p)
+    return G.radius_components(R.points(spark, sf_dir), _R)
 
 
 _SAME_EDGES = "same AS (SELECT src, dst FROM rad JOIN points a ON a.id = src JOIN points b ON b.id = dst WHERE a.label = b.label)"
@@ -193,8 +192,7 @@ _SAME_EDGES = "same AS (SELECT src, dst FROM rad JOIN points a ON a.id = src JOI
 
 @query("G12_spatial_components", f"WITH RECURSIVE {_RAD}, {_SAME_EDGES}, {_closure_sql('same', 'points')} SELECT id, component FROM cc")
 def g12(spark, sf_dir):
-    p = R.points(spark, sf_dir)
-    return G.spatial_components(N.radius_graph(p, _R), p)
+    return G.radius_components(R.points(spark, sf_dir), _R, "label")
 
 
 def _cell_graph(spark, sf_dir, k: int = 6):
@@ -251,7 +249,7 @@ _SMALL_TARGETS = (
 
 def _pieces(spark, sf_dir):
     p = R.points(spark, sf_dir)
-    return p, G.spatial_components(N.radius_graph(p, _R), p).join(p, "id")
+    return p, G.radius_components(p, _R, "label").join(p, "id")
 
 
 @query("G16_same_label_targets", f"WITH RECURSIVE {_SMALL_TARGETS} SELECT component, target FROM big WHERE rn = 1")
