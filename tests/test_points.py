@@ -3,8 +3,9 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
-from cytomesh.operators import graph
+from cytomesh.operators import graph, neighbors
 
 
 @pytest.fixture(scope="module")
@@ -24,6 +25,11 @@ def pairs(c, r):
     return pd.DataFrame({"src": c.id.to_numpy()[i[keep]], "dst": c.id.to_numpy()[j[keep]], "d": d[i[keep], j[keep]]})
 
 
+def shuffled(spark, df):
+    """Exchanges of the plan of the rows themselves."""
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
 @pytest.mark.parametrize("r", [0.3, 1.5, 4.0])
 @pytest.mark.parametrize("label", [None, "label"])
 def test_components_without_edges(spark, copies, r, label):
@@ -45,3 +51,19 @@ def test_squares_that_only_inner_places_link(spark):
         for r in (4.951, 5.0, 9.9):
             want = graph.connected_components(spark.createDataFrame(pairs(c, r)), df).toPandas().set_index("id").component.to_dict()
             assert graph.radius_components(df, r).toPandas().set_index("id").component.to_dict() == want
+
+
+def test_carried_labels_need_no_shuffle_of_edges(spark, copies):
+    df = spark.createDataFrame(copies.dropna())
+    plain, carried = neighbors.radius_graph(df, 1.5), neighbors.radius_graph(df, 1.5, carry=["label"])
+    assert sorted(carried.columns) == ["d", "dst", "dst_label", "src", "src_label"]
+    for step in (neighbors.edge_status, lambda e, v: neighbors.penalize(e.withColumnRenamed("d", "w"), v, 2.0)):
+        want, got = step(plain, df), step(carried, df)
+        assert shuffled(spark, got) <= shuffled(spark, plain)
+        assert got.columns == want.columns and got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+
+
+def test_locations_keep_the_longest_edge(spark, copies):
+    df = spark.createDataFrame(copies.dropna())
+    longest = F.max("d")
+    assert neighbors.radius_graph(neighbors.locations(df), 1.5).agg(longest).first() == neighbors.radius_graph(df, 1.5).agg(longest).first()
