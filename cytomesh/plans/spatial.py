@@ -223,9 +223,7 @@ def g13(spark, sf_dir):
 )
 def g13b(spark, sf_dir):
     """Spanning forest of all points: vertices minus components edges."""
-    p = R.points(spark, sf_dir)
-    e = N.with_eid(N.radius_graph(p, _R).withColumnRenamed("d", "w"))
-    return G.mst(e).agg(F.count(F.lit(1)).alias("n_edges"))
+    return G.radius_forest(R.points(spark, sf_dir), _R).agg(F.count(F.lit(1)).alias("n_edges"))
 
 
 @query("G14_bridge_components")
