@@ -119,8 +119,7 @@ def g5b(spark, sf_dir):
     "quantile_cont(degree, 0.25)::DOUBLE AS q1, median(degree)::DOUBLE AS median, quantile_cont(degree, 0.75)::DOUBLE AS q3 FROM g",
 )
 def g6(spark, sf_dir):
-    p = R.points(spark, sf_dir)
-    return rounded(N.degree_stats(N.radius_graph(p, _R), p), ["mean"])
+    return rounded(N.degree_summary(N.radius_degrees(R.points(spark, sf_dir), _R)), ["mean"])
 
 
 @query(
