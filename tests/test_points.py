@@ -5,7 +5,9 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from cytomesh.operators import graph, neighbors
+import cytomesh.plans.catalog  # noqa: F401
+from cytomesh.operators import graph, joins, neighbors
+from cytomesh.plans.registry import QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -67,3 +69,42 @@ def test_locations_keep_the_longest_edge(spark, copies):
     df = spark.createDataFrame(copies.dropna())
     longest = F.max("d")
     assert neighbors.radius_graph(neighbors.locations(df), 1.5).agg(longest).first() == neighbors.radius_graph(df, 1.5).agg(longest).first()
+
+
+def test_forest_of_copies(spark, copies):
+    df = spark.createDataFrame(copies)
+    plain = graph.mst(neighbors.with_eid(spark.createDataFrame(pairs(copies, 1.5)).withColumnRenamed("d", "w"))).toPandas()
+    got = graph.radius_forest(df, 1.5).toPandas()
+    assert len(got) == len(plain) and got.w.sum() == pytest.approx(plain.w.sum())
+    parts = graph.connected_components(spark.createDataFrame(got[["src", "dst"]]), df)
+    assert parts.exceptAll(graph.radius_components(df, 1.5)).isEmpty()
+
+
+def test_degrees_and_lengths_of_copies(spark, copies):
+    df, edges = spark.createDataFrame(copies), spark.createDataFrame(pairs(copies, 1.5))
+    assert neighbors.radius_degrees(df, 1.5).exceptAll(neighbors.degrees(edges, df)).isEmpty()
+    rows = neighbors.radius_distances(df, 1.5)
+    assert rows.agg(F.sum("n")).first()[0] == edges.count() > rows.count()
+    p = 2 * edges.where("d = 0").count() / len(copies) + 0.5
+    want, got = neighbors.search_length(edges, len(copies), p), neighbors.search_length(rows, len(copies), p, count="n")
+    assert got == pytest.approx(want)
+
+
+def test_radius_graph_inside_an_outline(spark, copies):
+    df = spark.createDataFrame(copies)
+    edges = spark.createDataFrame(pairs(copies, 1.5)).select("src", "dst")
+    t = np.linspace(0, 2 * np.pi, 41)
+    x, y = 28 + 17.3 * np.cos(t) * (1 + 0.3 * np.sin(5 * t)), 31 + 19.1 * np.sin(t)
+    rows = [(0, *map(float, r)) for r in zip(x[:-1], y[:-1], x[1:], y[1:])] + [(1, -3.0, 41.0, 70.0, 2.0)]
+    segs = spark.createDataFrame(rows, "polygon_id int, x1 double, y1 double, x2 double, y2 double")
+    want = joins.drop_crossing_edges(edges, df, segs).select("src", "dst")
+    for most in (4096, 0):
+        got = neighbors.radius_graph_inside(df, segs, 1.5, most).select("src", "dst")
+        assert 0 < got.count() < edges.count()
+        assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+
+
+def test_search_length_query_where_every_point_has_a_copy(spark, sf_dir, tmp_path):
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    orders.unionByName(orders.withColumn("o_orderkey", F.col("o_orderkey") + 1_000_000)).write.parquet(f"{tmp_path}/orders.parquet")
+    assert [tuple(r) for r in QUERIES["G22_search_length"](spark, str(tmp_path)).collect()] == [(None, None)]
