@@ -1,8 +1,8 @@
 """Lloyd's algorithm and expectation-maximisation over many starts at once, for one table or for every group of it.
 
 Rows are packed once into blocks of bounded size. A round reads every block once for all runs (a run is one start with its
-number of clusters and components): a task adds up what each run needs of its block, sums meet by (group, run, cluster),
-and one small row per (group, run) is updated. Runs that have settled take no more work. No group gathers anywhere, so a
+number of clusters and components): a task adds up what each run needs of its blocks, sums meet by (group, run, cluster),
+and the few numbers of every run are updated. Runs that have settled take no more work. No group gathers anywhere, so a
 hot one is only more blocks.
 
 Seeding is oversampled: each pass draws a fixed number of rows per run with chances proportional to their squared distance
@@ -19,14 +19,18 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cytomesh.operators.core import cut_lineage, drop_table, null_safe_join, top_k_per_group
 from cytomesh.operators.forest import array_sum
 
 BLOCK_ROWS = 8192
-#: Numbers of a group that one task may hold.
+#: Numbers of a group that one task may hold, and numbers times starts that one task takes through all rounds.
 LOCAL_NUMBERS = 1 << 20
+LOCAL_WORK = 1 << 21
+#: Numbers of the centres of all runs that are handed out together.
+STATE_NUMBERS = 1 << 20
 #: Seeding passes, and rows drawn in each as a multiple of the number of clusters.
 SEED_PASSES, OVERSAMPLE = 3, 2
 #: A centre that moves by less than this share of its length has settled.
@@ -196,9 +200,13 @@ SUMS = "c int, n double, total double, s array<double>"
 
 
 def _settle(packed: DataFrame, state: DataFrame, width: int, work, update, iters: int, columns: Sequence[str]) -> DataFrame:
-    """All rounds of groups that one task can hold, with every run of a group in the same task."""
+    """All rounds of groups that one task can hold; the runs of a group are dealt over tasks by the work they make."""
     whole = packed.groupBy("grp").agg(F.collect_list(F.struct("x", "h")).alias("parts"))  # bounded by LOCAL_NUMBERS
-    runs = state.groupBy("grp").agg(F.collect_list(F.struct(*[c for c in columns if c != "grp"])).alias("runs"))
+    dealt = null_safe_join(state, packed.groupBy("grp").agg(F.sum(F.size("x")).alias("_size")), ["grp"])
+    slots = F.ceil(F.count(F.lit(1)).over(W.partitionBy("grp")) * F.col("_size") / LOCAL_WORK)
+    dealt = dealt.withColumn("_slot", F.pmod(F.col("run"), F.greatest(slots, F.lit(1))))
+    runs = cut_lineage(dealt.groupBy("grp", "_slot").agg(F.collect_list(F.struct(*[c for c in columns if c != "grp"])).alias("runs")))
+    tasks = max(1, min(runs.count(), 512))
     schema = state.select(*columns).schema
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,32 +231,89 @@ def _settle(packed: DataFrame, state: DataFrame, width: int, work, update, iters
                     done.append({c: r[c] for c in columns})
                 yield pa.RecordBatch.from_pylist(done, to_arrow_schema(schema))
 
-    return null_safe_join(whole, runs, ["grp"]).mapInArrow(kernel, schema)
+    out = cut_lineage(null_safe_join(runs, whole, ["grp"]).repartition(tasks, "grp", "_slot").mapInArrow(kernel, schema))
+    drop_table(runs)
+    return out
+
+
+def _far_rounds(packed: DataFrame, state: DataFrame, width: int, length: int, work, update, iters: int, columns: Sequence[str]) -> DataFrame:
+    """All rounds of the other groups: a round is one job. It is handed the centres, which are small, every task adds up
+    what the runs need of its blocks, and the sums that come back move the centres."""
+    spark, schema = packed.sparkSession, state.select(*columns).schema
+    out = f"grp {dict(packed.dtypes)['grp']}, run int, {SUMS}"
+    target = spark.createDataFrame([], out).schema
+    size = state.groupBy("grp").agg(F.sum(F.size("params")).alias("n")).collect()  # one row a group of more than LOCAL_NUMBERS
+    parts, room = [[]], 0
+    for g in size:
+        if room + g["n"] > STATE_NUMBERS and parts[-1]:
+            parts.append([])
+            room = 0
+        parts[-1].append(g["grp"])
+        room += g["n"]
+
+    def summed(handed):
+        def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            from pyspark.sql.pandas.types import to_arrow_schema
+
+            types, sums = to_arrow_schema(target), {}
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    grp = batch.column("grp")[i].as_py()
+                    runs = handed.value.get(grp, [])
+                    if not runs:
+                        continue
+                    x = batch.column("x")[i].values.to_numpy().reshape(-1, width)
+                    h = batch.column("h")[i].values.to_numpy()
+                    for r in runs:
+                        for c, n, t, v in work(x, h, None, r):
+                            old = sums.get((grp, r["run"], c), (0.0, 0.0, 0.0))
+                            sums[grp, r["run"], c] = (old[0] + n, old[1] + t, old[2] + np.array(v))
+            rows = [(*k, n, t, v.tolist()) for k, (n, t, v) in sums.items()]
+            if rows:
+                names = types.names
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), types.field(n).type) for n, c in zip(names, zip(*rows, strict=True), strict=True)], names)
+
+        return kernel
+
+    done = []
+    for groups in parts:
+        known = [g for g in groups if g is not None]
+        mine = F.lit(False) if not known else F.coalesce(F.col("grp").isin(known), F.lit(False))
+        mine = mine | F.col("grp").isNull() if len(known) < len(groups) else mine
+        rows = [r.asDict() for r in state.where(mine).collect()]
+        own = packed.where(mine).select("grp", "h", "x")
+        for _ in range(iters):
+            active: dict = {}
+            for r in rows:
+                if r["active"]:
+                    active.setdefault(r["grp"], []).append(r)
+            if not active:
+                break
+            handed = spark.sparkContext.broadcast(active)
+            got = own.mapInArrow(summed(handed), target).groupBy("grp", "run", "c").agg(F.sum("n").alias("n"), F.sum("total").alias("t"), array_sum("s", length).alias("s"))
+            sums: dict = {}
+            for r in got.collect():  # one row a cluster of every run that moves
+                sums.setdefault((r["grp"], r["run"]), []).append({"c": r["c"], "n": r["n"], "t": r["t"], "s": r["s"]})
+            handed.unpersist()
+            rows = [r | update(r | {"sums": sorted(sums[r["grp"], r["run"]], key=lambda c: c["c"])}) if r["active"] else r for r in rows]
+        done += [tuple(r[c] for c in columns) for r in rows]
+    return cut_lineage(spark.createDataFrame(done, schema))
 
 
 def _rounds(packed: DataFrame, state: DataFrame, width: int, length: int, work, update, iters: int, what: str) -> DataFrame:
     """Repeat: sums of all blocks by (grp, run, c), then ``update`` of every run that still moves. Adds total, active.
 
-    Groups that one task can hold go through all rounds there; the others take one distributed round after another."""
+    Groups that one task can hold go through all rounds there; the others take one job a round."""
     columns = ["grp", "run", "k", "p", "seed", "params", "total", "active"]
     state = state.select(*columns[:6], F.lit(None).cast("double").alias("total"), F.lit(True).alias("active"))
     few = cut_lineage(packed.groupBy("grp").agg((F.sum(F.size("x")) <= LOCAL_NUMBERS).alias("_few")))
     state = null_safe_join(state, few, ["grp"])
     own = null_safe_join(packed, few.where("_few").select("grp", F.lit(True).alias("_own")), ["grp"]).drop("_own")
-    settled = cut_lineage(_settle(own, state.where("_few").drop("_few"), width, work, update, iters, columns))
-    state = cut_lineage(state.where("NOT _few").select(*columns))
+    settled = _settle(own, state.where("_few").drop("_few"), width, work, update, iters, columns)
+    far = _far_rounds(packed, state.where("NOT _few").select(*columns), width, length, work, update, iters, columns)
     drop_table(few)
-    for _ in range(iters):
-        if state.where("active").isEmpty():
-            break
-        part = _over_blocks(packed, state.where("active"), width, work, SUMS)
-        sums = part.groupBy("grp", "run", "c").agg(F.sum("n").alias("n"), F.sum("total").alias("t"), array_sum("s", length).alias("s"))
-        got = sums.groupBy("grp", "run").agg(F.sort_array(F.collect_list(F.struct("c", "n", "t", "s"))).alias("sums"))
-        moved = _updated(null_safe_join(state.where("active"), got, ["grp", "run"]), update, columns)
-        before, state = state, cut_lineage(moved.unionByName(state.where("NOT active")))
-        drop_table(before)
-    out = cut_lineage(state.unionByName(settled))
-    drop_table(state)
+    out = cut_lineage(far.unionByName(settled))
+    drop_table(far)
     drop_table(settled)
     if not out.where("active").isEmpty():
         warnings.warn(f"{what}: some runs still moved after {iters} rounds", stacklevel=3)
