@@ -2,10 +2,10 @@
 
 1. One pass deals the documents into chunks of bounded size and counts the words of every chunk.
 2. Counts meet by word, over all training documents, and every chunk gets back the totals of its own words.
-3. The most frequent words are listed (a fixed number). The recurrent model is trained in tasks, on a fixed share of all
-   training documents by the hash of id and text (all of a small corpus), whole and however long: in every round each
-   shard of some hundred documents goes on from the common weights, and these become the mean over the shards, by tokens.
-   Vocabulary, counts and the shares of words not listed come from all training documents.
+3. The most frequent words are listed (a fixed number). The recurrent model is trained in tasks, on all training
+   documents, whole and however long: in every round each shard of some hundred documents goes on from the common weights,
+   and these become the mean over the shards, by tokens. The documents are dealt over the rounds by the hash of id and
+   text, so each is learned from once; those of a small corpus are in several rounds.
 4. A task reads a chunk's totals, then its documents, all in step; the state goes from window to window to the end.
 
 Defined results: null and empty texts consist of the closing token. Rows with a null id are training rows. Repeated rows
@@ -33,8 +33,10 @@ FOLDS, HELD_OUT = 7, 2
 #: Bytes of text in a chunk; a longer document is a chunk of its own.
 CHUNK_BYTES = 12 << 20
 LISTED = CLASSES * CLASS_WORDS - 1  # and the closing token
-#: One of so many training documents trains the recurrent weights, and no fewer than so many while there are.
-TRAIN_EVERY, TRAIN_LEAST = 64, 512
+#: One of so many training documents trains the recurrent weights: each of them.
+TRAIN_EVERY = 1
+#: Documents of a round at least, while there are; a corpus of fewer for all rounds repeats them.
+TRAIN_LEAST = 512
 #: Documents of a shard, rounds over all shards, and what a round's rate is to that of the one before.
 SHARD_DOCS, ROUNDS, SLOWER = 512, 3, 0.5
 #: Weights that are summed together.
@@ -128,23 +130,28 @@ def train_model(docs: DataFrame, top: list[tuple[bytes, int]], ends: int, rest:
     end = ids.pop(None)
     model = GatedModel(np.array([c for _, c in ranked], float), float(rest))
     every = max(1, min(TRAIN_EVERY, ends // TRAIN_LEAST))
-    shards = max(1, -(-ends // (every * SHARD_DOCS)))
+    parts = min(ROUNDS, max(1, ends // (every * TRAIN_LEAST)))
+    shards = max(1, -(-ends // (every * parts * SHARD_DOCS)))
+    turns: dict[int, DataFrame] = {}
     h = F.xxhash64("doc_id", "text")
-    # equal rows train once, so no shard holds the copies of a row
-    chosen = docs.where(F.pmod(h, F.lit(every)) == 0).distinct().select(F.pmod(F.xxhash64(h), F.lit(shards)).alias("shard"), "text")
-    sample = written(chosen.repartition(shards, "shard"))
     schema = "part int, tokens bigint, v binary"
     for r in range(ROUNDS):
         handed = docs.sparkSession.sparkContext.broadcast((model, ids))  # of fixed size
 
+        if r < parts:  # equal rows train once, so no shard holds the copies of a row
+            chosen = docs.where(F.pmod(h, F.lit(every * parts)) == every * r).distinct().select(F.pmod(F.xxhash64(h), F.lit(shards)).alias("shard"), "text")
+            turns[r] = written(chosen.repartition(shards, "shard"))
         # one model a task leaves it; the sums of a part meet in a stream
-        models = sample.groupBy("shard").applyInArrow(_shard_trainer(handed, end, RATE * SLOWER**r), schema).mapInArrow(summed, schema)
+        models = turns[r % parts].groupBy("shard").applyInArrow(_shard_trainer(handed, end, RATE * SLOWER**r), schema).mapInArrow(summed, schema)
         rows = models.repartition("part").mapInArrow(summed, schema).orderBy("part").collect()  # of fixed size
         if not rows:
             break
         model.set_weights(np.concatenate([np.frombuffer(x["v"]) for x in rows]) / rows[0]["tokens"])
         handed.unpersist()
-    delete(sample)
+        if r + parts >= ROUNDS:
+            delete(turns.pop(r % parts))
+    for left in turns.values():
+        delete(left)
     return model, ids, end
 
 

@@ -502,3 +502,28 @@ def test_topk(spark):
     assert topk.search(topk.Index(own.limit(0)), own.limit(0)).count() == 0
     big = np.array([[2**30, 1]]), np.array([[2**28 + 1, 3], [0, 2**27]])
     assert topk.products(*big).tolist() == [[2**58 + 2**30 + 3, 2**27]]
+
+
+def test_every_training_document_trains_the_weights(spark, monkeypatch):
+    from cytomesh.llm import scoring
+
+    rows = [(i, " ".join(f"w{(i * j) % 7}" for j in range(5)) + f" only{i}") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    monkeypatch.setattr(scoring, "TRAIN_LEAST", 4)
+    monkeypatch.setattr(scoring, "SHARD_DOCS", 8)
+    seen = spark.sparkContext.accumulator(0)
+    plain = scoring._shard_trainer
+
+    def counted(*a):
+        trained = plain(*a)
+
+        def work(shard):
+            seen.add(shard.num_rows)
+            return trained(shard)
+
+        return work
+
+    monkeypatch.setattr(scoring, "_shard_trainer", counted)
+    top = [(f"w{k}".encode(), 20) for k in range(7)]
+    scoring.train_model(docs, top, len(rows), len(rows))
+    assert seen.value == len(rows)  # each of them once, in one of the rounds
