@@ -2,8 +2,10 @@
 
 P(word | before) = P(class | state) * P(word | class, state). The classes are runs of the most frequent words; one more
 class holds all other words, whose share in it follows their counts in the corpus, plus one, with one place for words
-never seen. Training is truncated backpropagation through time: windows of ``WINDOW`` tokens, the state carried on.
-Documents follow one another in ``STREAMS`` streams of about equal length and start from an empty state.
+never seen. Training is truncated backpropagation through time, the state carried on from window to window. Documents
+follow one another in streams of about equal length and start from an empty state. A window holds about the same number
+of tokens throughout: ``WINDOW`` steps at least, more where fewer streams are left, so a long document costs no more
+updates than its words. Inside, features come before streams, so that every operation runs along the streams.
 """
 
 from __future__ import annotations
@@ -15,18 +17,35 @@ import numpy as np
 HIDDEN, EMBEDDED = 24, 24
 CLASSES, CLASS_WORDS = 40, 50
 WINDOW, STREAMS = 16, 48
+#: Streams and tokens of a window at most, and updates from which on windows grow beyond STREAMS * WINDOW.
+MOST_STREAMS, BATCH, UPDATES = 192, 8192, 200
 RATE, CLIP = 8e-3, 5.0
 #: Tokens whose outputs are computed together.
-OUTPUTS = 32_768
+OUTPUTS = 8192
+#: Tokens that are read in step at a time, about.
+READ = 32_768
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-x))
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+def _log_softmax(x: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """The target's logarithm of every column; works in place."""
+    x -= x.max(axis=0)
+    found = x[target, np.arange(len(target))]
+    np.exp(x, out=x)
+    return found - np.log(x.sum(axis=0))
+
+
+def _softmax_errors(x: np.ndarray, target: np.ndarray, n: int) -> np.ndarray:
+    """In place: what the mean loss of ``n`` tokens changes with the logits of every column."""
+    x -= x.max(axis=0)
+    np.exp(x, out=x)
+    x /= x.sum(axis=0)
+    x[target, np.arange(len(target))] -= 1
+    x /= n
+    return x
 
 
 class GatedModel:
@@ -59,45 +78,89 @@ class GatedModel:
         c = np.tanh(x[:, 2 * n :] + zr[:, n:] * g[:, 2 * n :])
         return c + zr[:, :n] * (h - c)
 
+    def _classes(self, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The order of the targets by class, their classes in that order, and where each class begins."""
+        cls = np.where(target >= self.listed, self.classes, target // CLASS_WORDS)
+        order = np.argsort(cls.astype(np.uint16 if self.classes < 65_536 else np.int64), kind="stable")
+        cls = cls[order]
+        return order, cls, np.searchsorted(cls, np.arange(self.classes + 1))
+
     def log_probs(self, h: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Natural log-probability of listed ids, or of the class of other words, after the states h."""
-        cls = np.minimum(target // CLASS_WORDS, self.classes)
-        cls[target >= self.listed] = self.classes
-        out = _log_softmax(h @ self.p["wc"] + self.p["bc"])[np.arange(len(h)), cls]
-        order = np.argsort(cls, kind="stable")
-        bounds = np.searchsorted(cls[order], np.arange(self.classes + 1))
+        p = self.p
+        order, cls, bounds = self._classes(target)
+        h, target = h[order].T, target[order]
+        found = _log_softmax(p["wc"].T @ h + p["bc"][:, None], cls)
         for c in range(self.classes):
-            own = order[bounds[c] : bounds[c + 1]]
-            if len(own):
-                out[own] += _log_softmax(h[own] @ self.p["wi"][c] + self.p["bi"][c])[np.arange(len(own)), target[own] - c * CLASS_WORDS]
+            a, b = bounds[c], bounds[c + 1]
+            if b > a:
+                found[a:b] += _log_softmax(p["wi"][c].T @ h[:, a:b] + p["bi"][c][:, None], target[a:b] - c * CLASS_WORDS)
+        out = np.empty_like(found)
+        out[order] = found
         return out
 
+    def _gates(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """What every word and the state add to the gates, negative for the two that go through a sigmoid, and the bias
+        that the state brings into the third one."""
+        n, sign = HIDDEN, np.ones(3 * HIDDEN, self.p["wh"].dtype)
+        sign[: 2 * n] = -1
+        table = self.inputs()
+        table[:, : 2 * n] += self.p["bh"][: 2 * n]
+        table *= sign
+        return table, np.ascontiguousarray((self.p["wh"] * sign).T), self.p["bh"][2 * n :, None]
+
+    @staticmethod
+    def _step(x: np.ndarray, h: np.ndarray, wh: np.ndarray, bu: np.ndarray, zr: np.ndarray, u: np.ndarray, c: np.ndarray, out: np.ndarray) -> None:
+        """One step of all streams, into the last four."""
+        n = HIDDEN
+        g = wh @ h
+        np.add(x[: 2 * n], g[: 2 * n], out=zr)
+        np.exp(zr, out=zr)
+        zr += 1
+        np.reciprocal(zr, out=zr)
+        np.add(g[2 * n :], bu, out=u)
+        np.multiply(zr[n:], u, out=c)
+        c += x[2 * n :]
+        np.tanh(c, out=c)
+        np.subtract(h, c, out=out)
+        out *= zr[:n]
+        out += c
+
+    def _read(self, gates: np.ndarray, h: np.ndarray, wh: np.ndarray, bu: np.ndarray) -> np.ndarray:
+        """States (steps, features, streams) after the gates of every step, from the state h (features, streams)."""
+        n, s = HIDDEN, h.shape[1]
+        states = np.empty((len(gates), n, s), h.dtype)
+        zr, u, c = np.empty((2 * n, s), h.dtype), np.empty((n, s), h.dtype), np.empty((n, s), h.dtype)
+        for x, out in zip(gates, states, strict=True):
+            self._step(x, h, wh, bu, zr, u, c, out)
+            h = out
+        return states
+
     def score(self, docs: list[np.ndarray]) -> np.ndarray:
         """Sum of ``log_probs`` of every document, all read in step, each to its end."""
         sums = np.zeros(len(docs))
         order = sorted(range(len(docs)), key=lambda i: -len(docs[i]))
         lens = np.array([len(docs[i]) for i in order])
-        table = self.inputs()
-        h = np.zeros((len(docs), HIDDEN), np.float32)
+        table, wh, bu = self._gates()
+        h = np.zeros((HIDDEN, len(docs)), table.dtype)
         before = np.full(len(docs), self.listed + 1)
         at, longest = 0, int(lens[0]) if len(lens) else 0
         while at < longest:
             live = int(np.searchsorted(-lens, -at, side="left"))  # documents longer than ``at``
-            steps = min(longest - at, max(16, OUTPUTS // live))
+            steps = min(longest - at, max(16, READ // live))
             block = np.full((live, steps), -1)
             for k in range(live):
                 part = docs[order[k]][at : at + steps]
                 block[k, : len(part)] = part
-            states = np.empty((steps, live, HIDDEN), np.float32)
-            h = h[:live]
-            gates = table[np.concatenate([before[:live, None], np.maximum(block[:, :-1], 0)], axis=1)]
-            for t in range(steps):
-                states[t] = h = self.step(gates[:, t], h)
+            gates = table[np.concatenate([before[:live, None], np.maximum(block[:, :-1], 0)], axis=1).T].transpose(0, 2, 1)
+            states = self._read(np.ascontiguousarray(gates), h[:, :live], wh, bu)
+            h = states[-1].copy()
             before = block[:, -1].copy()
-            who, when = np.nonzero(block >= 0)
-            for a in range(0, len(who), OUTPUTS):
-                w, t = who[a : a + OUTPUTS], when[a : a + OUTPUTS]
-                sums[:live] += np.bincount(w, self.log_probs(states[t, w], block[w, t]).astype(np.float64), minlength=live)
+            rows, block = states.transpose(0, 2, 1).reshape(-1, HIDDEN), block.T.ravel()
+            own = np.flatnonzero(block >= 0)
+            for a in range(0, len(own), OUTPUTS):
+                part = own[a : a + OUTPUTS]
+                sums[:live] += np.bincount(part % live, self.log_probs(rows[part], block[part]), minlength=live)
             at += steps
         out = np.zeros(len(docs))
         out[order] = sums
@@ -110,58 +173,62 @@ class GatedModel:
         ``keep`` is 0 where a document starts, and 1 elsewhere."""
         p, n = self.p, HIDDEN
         steps, streams = y_ids.shape
-        keep = np.ones((steps, streams, 1), np.float32) if keep is None else keep[:, :, None].astype(np.float32)
-        xs = p["embed"][x_ids]
-        gx = xs @ p["wx"] + p["bx"]
-        hs, olds, zs, rs, cs, us = [h0], [], [], [], [], []
+        kind, ids = p["wh"].dtype, x_ids.reshape(-1)
+        keep = np.ones((steps, streams), kind) if keep is None else keep.astype(kind)
+        xs = p["embed"][ids]
+        table, wh, bu = self._gates()
+        gates = np.ascontiguousarray(table[x_ids].transpose(0, 2, 1))
+        olds, zr, cs, us = (np.empty((steps, k, streams), kind) for k in (n, 2 * n, n, n))
+        hs = np.empty((steps + 1, n, streams), kind)
+        hs[0] = h0.T
         for t in range(steps):
-            olds.append(hs[-1] * keep[t])
-            g = olds[-1] @ p["wh"] + p["bh"]
-            z, r = _sigmoid(gx[t, :, :n] + g[:, :n]), _sigmoid(gx[t, :, n : 2 * n] + g[:, n : 2 * n])
-            c = np.tanh(gx[t, :, 2 * n :] + r * g[:, 2 * n :])
-            zs.append(z), rs.append(r), cs.append(c), us.append(g[:, 2 * n :])
-            hs.append(c + z * (olds[-1] - c))
-        grads = {k: np.zeros_like(v) for k, v in p.items()}
-        flat, y = np.stack(hs[1:]).reshape(-1, n), y_ids.reshape(-1)
+            np.multiply(hs[t], keep[t], out=olds[t])
+            self._step(gates[t], olds[t], wh, bu, zr[t], us[t], cs[t], hs[t + 1])
+        grads = {k: np.zeros_like(p[k]) for k in ("wc", "bc", "wi", "bi")}
+        y = y_ids.reshape(-1)
         own = np.flatnonzero(y >= 0)
-        dflat = np.zeros_like(flat)
+        dflat = np.zeros((steps * streams, n), kind)
         if len(own):
-            h, target = flat[own], y[own]
-            cls = np.where(target >= self.listed, self.classes, target // CLASS_WORDS)
-            d = np.exp(_log_softmax(h @ p["wc"] + p["bc"]))
-            d[np.arange(len(own)), cls] -= 1
-            d /= len(own)
-            grads["wc"], grads["bc"] = h.T @ d, d.sum(axis=0)
-            dh = d @ p["wc"].T
-            for c in np.unique(cls[cls < self.classes]):
-                k = np.flatnonzero(cls == c)
-                e = np.exp(_log_softmax(h[k] @ p["wi"][c] + p["bi"][c]))
-                e[np.arange(len(k)), target[k] - c * CLASS_WORDS] -= 1
-                e /= len(own)
-                grads["wi"][c], grads["bi"][c] = h[k].T @ e, e.sum(axis=0)
-                dh[k] += e @ p["wi"][c].T
-            dflat[own] = dh
-        dhs = dflat.reshape(steps, streams, n)
-        carry, dgx = np.zeros_like(h0), np.zeros_like(gx)
+            order, cls, bounds = self._classes(y[own])
+            own = own[order]
+            h, target = hs[1:].transpose(0, 2, 1).reshape(-1, n)[own].T, y[own]
+            d = _softmax_errors(p["wc"].T @ h + p["bc"][:, None], cls, len(own))
+            grads["wc"], grads["bc"] = h @ d.T, d.sum(axis=1)
+            dh = p["wc"] @ d
+            for c in range(self.classes):
+                a, b = bounds[c], bounds[c + 1]
+                if b > a:
+                    e = _softmax_errors(p["wi"][c].T @ h[:, a:b] + p["bi"][c][:, None], target[a:b] - c * CLASS_WORDS, len(own))
+                    grads["wi"][c], grads["bi"][c] = h[:, a:b] @ e.T, e.sum(axis=1)
+                    dh[:, a:b] += p["wi"][c] @ e
+            dflat[own] = dh.T
+        dhs = np.ascontiguousarray(dflat.reshape(steps, streams, n).transpose(0, 2, 1))
+        # what a step's gates change with its state; only the state's own share goes from step to step
+        z, r = zr[:, :n], zr[:, n:]
+        to_c = (1 - z) * (1 - cs * cs)
+        to = np.stack([(olds - cs) * z * (1 - z), to_c * us * r * (1 - r), to_c * r], axis=1)
+        dg, carry = np.empty_like(to), np.zeros((n, streams), kind)
         for t in range(steps - 1, -1, -1):
-            dh = dhs[t] + carry
-            z, r, c, u, prev = zs[t], rs[t], cs[t], us[t], olds[t]
-            dc = dh * (1 - z) * (1 - c * c)
-            dz = dh * (prev - c) * z * (1 - z)
-            dr = dc * u * r * (1 - r)
-            dg = np.concatenate([dz, dr, dc * r], axis=1)
-            dgx[t] = np.concatenate([dz, dr, dc], axis=1)
-            grads["wh"] += prev.T @ dg
-            grads["bh"] += dg.sum(axis=0)
-            carry = (dh * z + dg @ p["wh"].T) * keep[t]
-        flat_gx = dgx.reshape(-1, 3 * n)
-        grads["wx"], grads["bx"] = xs.reshape(-1, EMBEDDED).T @ flat_gx, flat_gx.sum(axis=0)
-        np.add.at(grads["embed"], x_ids.reshape(-1), flat_gx @ p["wx"].T)
-        return grads, hs[-1]
-
-    def _streams(self, docs: list[np.ndarray]) -> list[np.ndarray]:
-        """Rows (input, token, keep) of up to STREAMS streams, longest first."""
-        heap = [(0, k) for k in range(min(STREAMS, len(docs)))]
+            dhs[t] += carry
+            np.multiply(dhs[t], to[t], out=dg[t])
+            carry = p["wh"] @ dg[t].reshape(3 * n, streams)
+            carry += dhs[t] * z[t]
+            carry *= keep[t]
+
+        def flat(x: np.ndarray) -> np.ndarray:
+            return x.reshape(steps, -1, streams).transpose(1, 0, 2).reshape(-1, steps * streams)
+
+        both = flat(dg)
+        grads["wh"], grads["bh"] = flat(olds) @ both.T, both.sum(axis=1)
+        both[2 * n :] = flat(dhs * to_c)
+        grads["wx"], grads["bx"] = (both @ xs).T, both.sum(axis=1)
+        words = len(p["embed"])
+        grads["embed"] = np.stack([np.bincount(ids, row, words) for row in p["wx"] @ both], axis=1).astype(kind)
+        return grads, hs[-1].T
+
+    def _streams(self, docs: list[np.ndarray], most: int = STREAMS) -> list[np.ndarray]:
+        """Rows (input, token, keep) of up to ``most`` streams, longest first."""
+        heap = [(0, k) for k in range(min(most, len(docs)))]
         dealt: list[list[np.ndarray]] = [[] for _ in heap]
         for d in sorted(docs, key=len, reverse=True):
             size, k = heapq.heappop(heap)
@@ -181,28 +248,41 @@ class GatedModel:
         docs = [d for d in docs if len(d)]
         if not docs:
             return 0
-        streams = self._streams(docs)
+        total = sum(map(len, docs))
+        batch = min(BATCH, max(STREAMS * WINDOW, total // UPDATES))
+        streams = self._streams(docs, min(MOST_STREAMS, batch // WINDOW))
         lens = np.array([s.shape[1] for s in streams])
-        first = {k: np.zeros_like(v) for k, v in self.p.items()}
-        second = {k: np.zeros_like(v) for k, v in self.p.items()}
-        h = np.zeros((len(streams), HIDDEN), np.float32)
-        for step, t in enumerate(range(0, int(lens[0]), WINDOW), 1):
+        own = np.concatenate([v.ravel() for v in self.p.values()])
+        ends = np.cumsum([0] + [v.size for v in self.p.values()])
+        self.p = {k: own[a:b].reshape(v.shape) for (k, v), a, b in zip(self.p.items(), ends, ends[1:], strict=False)}
+        first, second, kept = np.zeros_like(own), np.zeros_like(own), np.empty_like(own)
+        h = np.zeros((len(streams), HIDDEN), own.dtype)
+        t, longest, update = 0, int(lens[0]), 0
+        while t < longest:
             live = int(np.searchsorted(-lens, -t, side="left"))
-            block = np.full((3, WINDOW, live), -1)
+            steps = min(max(WINDOW, batch // live), longest - t)
+            block = np.full((3, steps, live), -1)
             block[0], block[2] = 0, 1
             for k in range(live):
-                part = streams[k][:, t : t + WINDOW]
+                part = streams[k][:, t : t + steps]
                 block[:, : part.shape[1], k] = part
             grads, h = self._window(block[0], block[1], h[:live], block[2])
-            norm = np.sqrt(sum(float((v * v).sum()) for v in grads.values()))
-            scale = min(1.0, CLIP / (norm + 1e-12))
-            pace = rate * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
-            for k, v in self.p.items():
-                v_k = grads[k] * np.float32(scale)
-                first[k] += np.float32(0.1) * (v_k - first[k])
-                second[k] += np.float32(0.001) * (v_k * v_k - second[k])
-                v -= np.float32(pace) * first[k] / (np.sqrt(second[k]) + np.float32(1e-8))
-        return int(lens.sum())
+            g = np.concatenate([grads[k].ravel() for k in self.p])
+            g *= min(1.0, CLIP / (float(np.sqrt(np.dot(g, g))) + 1e-12))
+            t, update = t + steps, update + 1
+            pace = rate * float(np.sqrt(1 - 0.999**update)) / (1 - 0.9**update)
+            first *= 0.9
+            first += np.multiply(g, 0.1, out=kept)
+            g *= g
+            g *= 0.001
+            second *= 0.999
+            second += g
+            np.sqrt(second, out=g)
+            g += 1e-8
+            np.divide(first, g, out=g)
+            g *= pace
+            own -= g
+        return total
 
     # weights as one list of numbers
 

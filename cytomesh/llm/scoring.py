@@ -3,7 +3,7 @@
 1. One pass deals the documents into chunks of bounded size and counts the words of every chunk.
 2. Counts meet by word, over all training documents, and every chunk gets back the totals of its own words.
 3. The most frequent words are listed (a fixed number). The recurrent model is trained in tasks, on all training
-   documents, whole and however long: in every round each shard of some hundred documents goes on from the common weights,
+   documents, whole and however long: in every round each shard of some thousand documents goes on from the common weights,
    and these become the mean over the shards, by tokens. The documents are dealt over the rounds by the hash of id and
    text, so each is learned from once; those of a small corpus are in several rounds.
 4. A task reads a chunk's totals, then its documents, all in step; the state goes from window to window to the end.
@@ -38,7 +38,7 @@ TRAIN_EVERY = 1
 #: Documents of a round at least, while there are; a corpus of fewer for all rounds repeats them.
 TRAIN_LEAST = 512
 #: Documents of a shard, rounds over all shards, and what a round's rate is to that of the one before.
-SHARD_DOCS, ROUNDS, SLOWER = 512, 3, 0.5
+SHARD_DOCS, ROUNDS, SLOWER = 4096, 3, 0.5
 #: Weights that are summed together.
 WEIGHTS_PART = 16_384
 
@@ -139,10 +139,11 @@ def train_model(docs: DataFrame, top: list[tuple[bytes, int]], ends: int, rest:
         handed = docs.sparkSession.sparkContext.broadcast((model, ids))  # of fixed size
 
         if r < parts:  # equal rows train once, so no shard holds the copies of a row
-            chosen = docs.where(F.pmod(h, F.lit(every * parts)) == every * r).distinct().select(F.pmod(F.xxhash64(h), F.lit(shards)).alias("shard"), "text")
-            turns[r] = written(chosen.repartition(shards, "shard"))
+            chosen = docs.where(F.pmod(h, F.lit(every * parts)) == every * r).select(F.pmod(F.xxhash64(h), F.lit(shards)).alias("shard"), "doc_id", "text")
+            turns[r] = written(chosen.repartition(shards, "shard").distinct().select("shard", "text"))
         # one model a task leaves it; the sums of a part meet in a stream
-        models = turns[r % parts].groupBy("shard").applyInArrow(_shard_trainer(handed, end, RATE * SLOWER**r), schema).mapInArrow(summed, schema)
+        apart = turns[r % parts].repartition(4 * shards, "shard")  # so that few shards share a task
+        models = apart.groupBy("shard").applyInArrow(_shard_trainer(handed, end, RATE * SLOWER**r), schema).mapInArrow(summed, schema)
         rows = models.repartition("part").mapInArrow(summed, schema).orderBy("part").collect()  # of fixed size
         if not rows:
             break

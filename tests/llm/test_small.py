@@ -346,6 +346,17 @@ def test_streams_start_every_document_anew():
     assert np.allclose(model.weights(), flat, atol=1e-6)
 
 
+def test_long_document_takes_no_more_windows_than_its_words(monkeypatch):
+    """Once the other streams have ended, the windows of a long document grow; every word still trains."""
+    model = recurrent.GatedModel(np.array([50.0, 30, 20, 10, 5, 2, 1]), 9.0)
+    rng = np.random.default_rng(2)
+    docs = [rng.integers(0, 8, n) for n in (20_000, *[100] * 100)]
+    seen, plain = [], recurrent.GatedModel._window
+    monkeypatch.setattr(recurrent.GatedModel, "_window", lambda self, x, y, *a: (seen.append(int((y >= 0).sum())), plain(self, x, y, *a))[1])
+    assert model.train(docs) == 30_000 == sum(seen)
+    assert len(seen) < 100  # 1,250 windows of 16 steps
+
+
 def test_scoring(docs, rows, empty):
     held = scoring.F.coalesce(scoring.F.pmod(scoring.crc32_of("doc_id"), scoring.F.lit(7)) == 2, scoring.F.lit(False))
     own = docs.select("doc_id", "text", "row", held.alias("held_out"))
