@@ -50,8 +50,8 @@ def rank_sum_statistics(values: DataFrame, labels: DataFrame) -> DataFrame:
     Only non-zeros are ranked; the zeros of a gene form one tie block below them, added in closed form.
     """
     data = _labelled(values, labels)
-    per_value = data.groupBy("gene_id", "cluster", "value").agg(F.count(F.lit(1)).alias("m"))
-    ranks = average_ranks(data, "value", ["gene_id"])
+    per_value = cut_lineage(data.groupBy("gene_id", "cluster", "value").agg(F.count(F.lit(1)).alias("m")))
+    ranks = cut_lineage(average_ranks(per_value, "value", ["gene_id"], "m"))
     t = F.col("ties").cast("double")
     sums = per_value.join(ranks, ["gene_id", "value"]).groupBy("gene_id", "cluster").agg(
         F.sum(F.col("m") * F.col("avg_rank")).alias("r"), F.sum("m").alias("nnz_c")
