@@ -17,6 +17,7 @@ from cytomesh.functions import columns as C
 from cytomesh.operators.core import (
     average_ranks,
     cumulative_counts,
+    cut_lineage,
     keyed_join,
     null_safe_join,
     quantiles,
@@ -262,6 +263,7 @@ def doublet_flag(cells: DataFrame, counts_col: str, area_col: str, p: float = 0.
         "doublet_score",
         F.greatest(zero, F.coalesce("_res", zero)) + F.greatest(zero, F.coalesce("_area", zero)),
     ).select(*cells.columns, "doublet_score")
+    scored = cut_lineage(scored)  # it hangs on aggregates of its own rows, and is read three times
     thr = quantiles(scored, "doublet_score", {"threshold": p})
     return with_scalars(scored, thr).withColumn("likely_doublet", F.col("doublet_score") > F.col("threshold"))
 

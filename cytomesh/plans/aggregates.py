@@ -370,13 +370,13 @@ def f2(spark, sf_dir):
 )
 def e2(spark, sf_dir):
     """Position, rank-curve cutoff, gates and doublets combined as in the cell filtering workflow."""
-    from cytomesh.operators.core import with_scalars
+    from cytomesh.operators.core import cut_lineage, with_scalars
     from cytomesh.operators.joins import points_in_polygons
     from cytomesh.plans.tables import qc_gate_columns
 
     q = R.qc_cells(spark, sf_dir)
     pts = R.points(spark, sf_dir).select(F.col("id").alias("cell_id"), "x", "y")
-    placed = points_in_polygons(q.join(pts, "cell_id"), readers.read_boundary(vertices(spark)), key="cell_id")
+    placed = cut_lineage(points_in_polygons(q.join(pts, "cell_id"), readers.read_boundary(vertices(spark)), key="cell_id"))
     knee = P.kneedle_cutoff(placed.where("inside"), "total_counts")
     dbl = P.doublet_flag(placed, "transcript_counts", "cell_area")
     gated = P.qc_gates(with_scalars(dbl, knee), qc_gate_columns(), "pass_gates")

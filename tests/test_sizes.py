@@ -3,7 +3,7 @@
 import numpy as np
 import pandas as pd
 
-from cytomesh.operators import core, markers
+from cytomesh.operators import core, markers, prep
 
 
 def test_small_groups_need_no_sketch(spark, monkeypatch):
@@ -31,3 +31,9 @@ def test_rank_sums_read_the_values_once(spark):
         assert u == (a[:, None] > b).sum() + 0.5 * (a[:, None] == b).sum()
     plan = markers.rank_sum_statistics(values, labels)._jdf.queryExecution().optimizedPlan().toString()
     assert "Range (" not in plan  # only the written counts
+
+
+def test_doublets_read_the_cells_once(spark):
+    cells = spark.range(50).selectExpr("id AS cell_id", "id % 7 + 1.0D AS n", "id % 11 + 1.0D AS area")
+    plan = prep.doublet_flag(cells, "n", "area")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Range (" not in plan  # only the written table
