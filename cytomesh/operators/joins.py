@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
@@ -9,9 +10,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cytomesh.functions import columns as C
-from cytomesh.operators.core import keyed_join, with_scalars
+from cytomesh.operators.core import cut_lineage, keyed_join, with_scalars
 from cytomesh.operators.segment_tree import outline_distance
 
+PLACE_PAIRS = 1 << 20  # rows that one task of a join on places should make
+MOST_TASKS = 20_000
+
 # --------------------------------------------------------------------------- key joins
 
 
@@ -72,12 +76,31 @@ def n_clusters(df: DataFrame, column: str, by: Sequence[str] = ()) -> DataFrame:
 
 
 def join_rounded_xy(a: DataFrame, b: DataFrame, how: str = "left") -> DataFrame:
-    """Join on coordinates rounded half-even to integers."""
+    """Join on coordinates rounded half-even to integers.
+
+    Many rows may share a place, so the result can be far larger than both sides. It is counted from the rows of every
+    place first; a large one is made by tasks that have about PLACE_PAIRS rows of it each: the rows of ``a`` at a heavy place
+    are dealt over shares, and each share meets all of ``b`` there.
+    """
 
     def rounded(df: DataFrame) -> DataFrame:
         return df.withColumns({"x": F.bround("x").cast("int"), "y": F.bround("y").cast("int")})
 
-    return rounded(a).join(rounded(b), ["x", "y"], how)
+    a, b = rounded(a), rounded(b)
+    if how not in ("inner", "left"):
+        return a.join(b, ["x", "y"], how)
+    at = a.groupBy("x", "y").agg(F.count(F.lit(1)).alias("_na"))
+    met = cut_lineage(at.join(b.groupBy("x", "y").agg(F.count(F.lit(1)).alias("_nb")), ["x", "y"]).withColumn("_pairs", F.col("_na") * F.col("_nb")))
+    pairs = met.agg(F.coalesce(F.sum("_pairs"), F.lit(0))).first()[0]
+    if pairs <= PLACE_PAIRS:
+        return a.join(b, ["x", "y"], how)
+    shares = met.where(F.col("_pairs") > PLACE_PAIRS).select("x", "y", F.ceil(F.col("_pairs") / PLACE_PAIRS).cast("int").alias("_shares"))
+    parts = min(MOST_TASKS, 4 * math.ceil(pairs / PLACE_PAIRS))
+    own = F.coalesce("_shares", F.lit(1))
+    left = a.join(shares, ["x", "y"], "left").withColumn("_share", F.pmod(F.xxhash64(*a.columns), own).cast("int")).drop("_shares")
+    right = b.join(shares, ["x", "y"], "left").withColumn("_share", F.explode(F.sequence(F.lit(0), own - 1))).drop("_shares")
+    on = ["x", "y", "_share"]
+    return left.repartition(parts, *on).join(right, on, how).drop("_share")
 
 
 def join_result(truth: DataFrame, result: DataFrame) -> DataFrame:

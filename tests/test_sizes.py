@@ -3,7 +3,7 @@
 import numpy as np
 import pandas as pd
 
-from cytomesh.operators import core, markers, prep
+from cytomesh.operators import core, joins, markers, prep
 
 
 def test_small_groups_need_no_sketch(spark, monkeypatch):
@@ -37,3 +37,17 @@ def test_doublets_read_the_cells_once(spark):
     cells = spark.range(50).selectExpr("id AS cell_id", "id % 7 + 1.0D AS n", "id % 11 + 1.0D AS area")
     plan = prep.doublet_flag(cells, "n", "area")._jdf.queryExecution().optimizedPlan().toString()
     assert "Range (" not in plan  # only the written table
+
+
+def test_rows_of_a_place_are_dealt_over_tasks(spark, monkeypatch):
+    a = spark.range(400).selectExpr("id AS a_id", "CASE WHEN id < 300 THEN 2.4D WHEN id < 350 THEN id * 1.0D END AS x", "1.5D AS y")
+    b = spark.range(40).selectExpr("id AS b_id", "IF(id < 30, 2.0D, id + 300.0D) AS x", "2.0D AS y")
+    place = lambda r: (r.x, r.y, r.a_id, r.b_id)
+    for how in ("left", "inner"):
+        monkeypatch.setattr(joins, "PLACE_PAIRS", 1 << 20)
+        want = sorted(map(place, joins.join_rounded_xy(a, b, how).collect()), key=str)
+        monkeypatch.setattr(joins, "PLACE_PAIRS", 500)
+        got = joins.join_rounded_xy(a, b, how)
+        assert sorted(map(place, got.collect()), key=str) == want and got.columns == ["x", "y", "a_id", "b_id"]
+        rows = got.rdd.mapPartitions(lambda rs: [sum(1 for _ in rs)]).collect()
+        assert sum(rows) == len(want) > 9000 and max(rows) < 3000
