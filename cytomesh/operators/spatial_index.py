@@ -131,7 +131,9 @@ def _reached_leaves(local: DataFrame, stats: DataFrame, span: float, x0: float,
         (F.col("x0") - r).alias("qx0"), (F.col("x1") + r).alias("qx1"), (F.col("y0") - r).alias("qy0"), (F.col("y1") + r).alias("qy1"),
     )
     extent = F.greatest(F.col("qx1") - F.col("qx0"), F.col("qy1") - F.col("qy0"))
-    lvl = F.when(extent >= span, 0).otherwise(F.least(F.floor(F.log2(F.lit(span) / extent)), F.lit(DEPTH))).cast("int")
+    # a leaf of one location whose neighbours are all copies has no extent
+    fine = F.least(F.log2(F.lit(span) / F.nullif(extent, F.lit(0.0))), F.lit(float(DEPTH)))
+    lvl = F.when(extent >= span, 0).when(extent <= 0, DEPTH).otherwise(F.floor(fine)).cast("int")
     q = q.withColumn("cl", lvl)
     cells = F.pow(F.lit(2.0), F.col("cl"))
 

@@ -4,6 +4,7 @@ import numpy as np
 import pandas as pd
 
 from cytomesh.operators import core, joins, markers, prep
+from cytomesh.operators.spatial_index import knn_join
 
 
 def test_small_groups_need_no_sketch(spark, monkeypatch):
@@ -51,3 +52,12 @@ def test_rows_of_a_place_are_dealt_over_tasks(spark, monkeypatch):
         assert sorted(map(place, got.collect()), key=str) == want and got.columns == ["x", "y", "a_id", "b_id"]
         rows = got.rdd.mapPartitions(lambda rs: [sum(1 for _ in rs)]).collect()
         assert sum(rows) == len(want) > 9000 and max(rows) < 3000
+
+
+def test_neighbours_where_every_location_has_copies(spark):
+    """A leaf may be one location, and all neighbours of its points copies."""
+    points = spark.range(6 * 400).selectExpr("id", "hash(id % 400) % 1000 / 7.0D AS x", "hash(id % 400, 1) % 1000 / 7.0D AS y")
+    got = knn_join(None, points, 5).toPandas()
+    assert len(got) == 5 * 6 * 400 and (got.d == 0).all() and ((got.src - got.dst) % 400 == 0).all() and (got.src != got.dst).all()
+    far = points.unionByName(points.limit(0)).where("id < 2399")  # one location has five, whose fifth neighbour is elsewhere
+    assert (knn_join(None, far, 5).toPandas().groupby("src").size() == 5).all()
