@@ -4,7 +4,7 @@ import numpy as np
 import pandas as pd
 
 from cytomesh.operators import core, joins, markers, prep
-from cytomesh.operators.spatial_index import knn_join
+from cytomesh.operators.spatial_index import _reached_leaves, knn_join
 
 
 def test_small_groups_need_no_sketch(spark, monkeypatch):
@@ -61,3 +61,9 @@ def test_neighbours_where_every_location_has_copies(spark):
     assert len(got) == 5 * 6 * 400 and (got.d == 0).all() and ((got.src - got.dst) % 400 == 0).all() and (got.src != got.dst).all()
     far = points.unionByName(points.limit(0)).where("id < 2399")  # one location has five, whose fifth neighbour is elsewhere
     assert (knn_join(None, far, 5).toPandas().groupby("src").size() == 5).all()
+
+
+def test_a_leaf_without_extent_reaches_its_neighbours(spark):
+    local = spark.sql("SELECT 0 AS realm, 3 AS lv, 1L AS cx, 1L AS cy, 1.5D AS x, 1.5D AS y, 0.0D AS radius")
+    stats = spark.sql("SELECT 0 AS realm, 2 AS lv, 0L AS cx, 0L AS cy, 6L AS nc, 1.0D AS bx0, 1.5D AS bx1, 1.5D AS by0, 1.5D AS by1")
+    assert _reached_leaves(local, stats, 8.0, 0.0, 0.0).count() == 1
