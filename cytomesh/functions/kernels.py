@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 
+#: Pairs that are held at a time where blocks meet: a tile stays in a core's cache.
+TILE_ROWS, TILE_COLUMNS = 128, 2048
+
 
 def sym_sqrt(m: np.ndarray) -> np.ndarray:
     """Square root of symmetric positive semi-definite matrices (stacked)."""
@@ -31,6 +35,119 @@ def pairwise_distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(d2)
 
 
+def _finite(x: np.ndarray) -> bool:
+    return bool(np.isfinite((x * x).sum()))
+
+
+def near_tiles(a: np.ndarray, b: np.ndarray) -> Iterator[tuple[slice, slice, np.ndarray, float]]:
+    """Rows, columns, their squared distances about, and by how much these may be wrong, tile by tile.
+
+    Matrix products around the middle of ``b`` give them; where values are not finite, explicit differences.
+    """
+    exact = not (len(a) and len(b) and _finite(a) and _finite(b))
+    if not exact:
+        middle = b.mean(axis=0)
+        ca, cb = a - middle, b - middle
+        na, nb = (ca * ca).sum(axis=1), (cb * cb).sum(axis=1)
+        margin = 16 * (a.shape[1] + 4) * np.finfo(float).eps * float(na.max() + nb.max())
+        exact = not np.isfinite(margin)
+    if not exact:
+        left = np.column_stack([-2 * ca, na, np.ones(len(a))])
+        right = np.ascontiguousarray(np.column_stack([cb, np.ones(len(b)), nb]).T)
+    for i in range(0, len(a), TILE_ROWS):
+        rows = slice(i, min(i + TILE_ROWS, len(a)))
+        for j in range(0, len(b), TILE_COLUMNS):
+            cols = slice(j, min(j + TILE_COLUMNS, len(b)))
+            yield (rows, cols, pairwise_distance(a[rows], b[cols]) ** 2, 0.0) if exact else (rows, cols, left[rows] @ right[:, cols], margin)
+
+
+def squared_differences(a: np.ndarray, b: np.ndarray, r: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Squared distances of the pairs (r, c) from explicit differences."""
+    d2 = np.zeros(len(r))
+    for t in range(a.shape[1]):
+        diff = a[r, t] - b[c, t]
+        d2 += diff * diff
+    return d2
+
+
+def distance_sums(a: np.ndarray, b: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """Per row of ``a`` the sum of the distances to the rows of ``b`` of each group 0, 1, ...
+
+    Short distances, whose root would show the rounding of a product, come from explicit differences: equal rows add 0.
+    """
+    order = np.argsort(group, kind="stable")
+    group, b = group[order], b[order]
+    out = np.zeros((len(a), int(group[-1]) + 1 if len(b) else 0))
+    for rows, cols, d2, margin in near_tiles(a, b):
+        if margin:
+            r, c = np.nonzero(d2 <= 1e6 * margin)
+            d2[r, c] = squared_differences(a[rows], b[cols], r, c)
+        own = group[cols]
+        starts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+        out[rows, own[starts]] += np.add.reduceat(np.sqrt(d2, out=d2), starts, axis=1)
+    return out
+
+
+def shortest_longest(a: np.ndarray, b: np.ndarray, labels: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[float | None, float | None]]:
+    """Per labelling (codes of the rows of ``a`` and of ``b``, -1 without one) the smallest distance between different
+    labels and the largest inside one. Products find the pairs that may better what is known; only those are looked at."""
+    least, most = np.full(len(labels), np.inf), np.full(len(labels), -np.inf)
+    apart = np.array([len(np.union1d(x[x >= 0], y[y >= 0])) > 1 for x, y in labels])
+    alike = np.array([len(np.intersect1d(x[x >= 0], y[y >= 0])) > 0 for x, y in labels])
+    for rows, cols, d2, margin in near_tiles(a, b):
+        low, high = max(least[apart], default=-np.inf), min(most[alike], default=np.inf)
+        r, c = np.nonzero((d2 <= low + margin) | (d2 >= high - margin))
+        if not len(r):
+            continue
+        r, c = r + rows.start, c + cols.start
+        exact = squared_differences(a, b, r, c)
+        for i, (x, y) in enumerate(labels):
+            known, same = (x[r] >= 0) & (y[c] >= 0), x[r] == y[c]
+            least[i] = np.fmin.reduce(exact[known & ~same], initial=least[i])
+            most[i] = np.fmax.reduce(exact[known & same], initial=most[i])
+    return [(float(np.sqrt(x)) if x < np.inf else None, float(np.sqrt(y)) if y >= 0 else None) for x, y in zip(least, most, strict=True)]
+
+
+def nearest_rows(a: np.ndarray, b: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row of ``a``, row of ``b`` and distance for the k nearest rows of ``b``; the earlier row wins a tie. Values are finite.
+
+    Products tell which pairs can be among them; the distances of those pairs, and the order, come from explicit differences.
+    """
+    k = min(k, len(b))
+    if not k or not len(a):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    found, waiting, best = [], [], ()
+    for rows, cols, near, margin in near_tiles(a, b):
+        if cols.start == 0:
+            best, turn, due = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)), 0, 1
+            limit = np.partition(near, k - 1, axis=1)[:, k - 1] + 2 * margin if near.shape[1] > k else np.full(len(near), np.inf)
+        turn += 1
+        r, c = np.nonzero(near <= limit[:, None])
+        waiting.append((r, c + cols.start))
+        last = cols.stop == len(b)
+        if turn == due or last or sum(len(w[0]) for w in waiting) > 1_000_000:
+            due = max(due, 2 * turn)
+            best, waiting = _best_rows(a[rows], b, best, waiting, k), []
+            have = np.bincount(best[0], minlength=len(near))
+            kth = best[2][np.cumsum(have) - 1]
+            limit = np.where(have == k, kth * kth * (1 + 1e-15) + 2 * margin, np.inf)
+        if last:
+            found.append((best[0] + rows.start, best[1], best[2]))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def _best_rows(a: np.ndarray, b: np.ndarray, best: tuple, waiting: list, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    r, c = (np.concatenate(x) for x in zip(*waiting, strict=True))
+    d = np.sqrt(squared_differences(a, b, r, c))
+    r, c, d = np.concatenate([best[0], r]), np.concatenate([best[1], c]), np.concatenate([best[2], d])
+    order = np.lexsort((c, d, r))
+    r, c, d = r[order], c[order], d[order]
+    starts = np.flatnonzero(np.r_[True, r[1:] != r[:-1]])
+    rank = np.arange(len(r)) - np.repeat(starts, np.diff(np.r_[starts, len(r)]))
+    keep = rank < k
+    return r[keep], c[keep], d[keep]
+
+
 def transport_cost(a: np.ndarray, b: np.ndarray, cost: np.ndarray) -> float:
     """Exact optimal-transport cost between two small discrete distributions; costs are not negative.
 
