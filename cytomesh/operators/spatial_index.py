@@ -335,6 +335,25 @@ def knn_join(
     )
 
 
+def kth_distances(points: DataFrame, k: int, leaf_rows: int = LEAF_ROWS) -> DataFrame:
+    """d, n: the distance from a point to the k-th of all others, and how many points have it. Rows may repeat a distance.
+
+    All points of a place have the same one, so a place asks once; one with more than k points need not ask.
+    """
+    pos = [F.col(c).cast("double").alias(c) for c in ("x", "y")]
+    placed = points.select(F.lit("").alias("realm"), "id", *pos).where((F.abs("x") < float("inf")) & (F.abs("y") < float("inf")))
+    here = F.count(F.lit(1)).over(W.partitionBy("realm", "x", "y"))
+    places = cut_lineage(_locations(placed, k + 1).withColumn("qlab", here))
+    asks = (F.col("rk") == 1) & (F.col("qlab") <= k)
+    asking = places.where(asks).agg(F.count(F.lit(1)), F.coalesce(F.sum("qlab"), F.lit(0))).first()
+    crowded = placed.agg((F.count(F.lit(1)) - asking[1]).alias("n")).where("n > 0").select(F.lit(0.0).alias("d"), "n")
+    if not asking[0]:
+        return crowded
+    rows = places.select("realm", "x", "y", "id", F.lit(True).alias("is_c"), asks.alias("is_q"), F.lit(0).cast("bigint").alias("lab"), "qlab")
+    near = search(rows, k + 1, id_type=dict(placed.dtypes)["id"], leaf_rows=leaf_rows).where(F.size("near") > k)
+    return crowded.unionByName(near.select(F.col("near")[k]["d"].alias("d"), F.col("qlab").alias("n")))
+
+
 def nearest_foreign(
     points: DataFrame, asking: DataFrame | None = None, leaf_rows: int = LEAF_ROWS
 ) -> DataFrame:
@@ -363,4 +382,4 @@ def nearest_foreign(
     return own.groupBy("label").agg(best).select("label", "m.src", "m.dst", "m.d")
 
 
-__all__: Sequence[str] = ["assign_leaves", "search", "knn_join", "nearest_foreign"]
+__all__: Sequence[str] = ["assign_leaves", "search", "knn_join", "kth_distances", "nearest_foreign"]

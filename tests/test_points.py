@@ -108,3 +108,24 @@ def test_search_length_query_where_every_point_has_a_copy(spark, sf_dir, tmp_pat
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
     orders.unionByName(orders.withColumn("o_orderkey", F.col("o_orderkey") + 1_000_000)).write.parquet(f"{tmp_path}/orders.parquet")
     assert [tuple(r) for r in QUERIES["G22_search_length"](spark, str(tmp_path)).collect()] == [(None, None)]
+
+
+def test_suggested_radius_asks_once_per_place(spark, monkeypatch):
+    """Places with more copies than neighbours wanted need no search; the others ask once, whatever their copies."""
+    from cytomesh.operators import spatial_index
+
+    rng = np.random.default_rng(9)
+    x, times = rng.random((400, 2)) * 10, np.repeat([1, 2, 7], [150, 150, 100])
+    at = np.repeat(x, times, axis=0)
+    at[-1] = np.nan
+    pts = spark.createDataFrame([(i, None if a != a else float(a), None if b != b else float(b)) for i, (a, b) in enumerate(at)], "id bigint, x double, y double")
+    asked, real = [], spatial_index.search
+    monkeypatch.setattr(spatial_index, "search", lambda rows, *a, **k: (asked.append(rows.where("is_q").count()), real(rows, *a, **k))[1])
+    kth = spatial_index.kth_distances(pts, 4).groupBy("d").sum("n").collect()
+    assert asked == [300]
+    asked.clear()
+    radius = neighbors.suggest_radius(pts, n=20).first()["radius"]
+    d = np.sort(np.sqrt(((at[:-1, None] - at[None, :-1]) ** 2).sum(-1)), axis=1)[:, 4]
+    assert np.allclose(np.sort(np.repeat([r[0] for r in kth], [r[1] for r in kth])), np.sort(d), rtol=0, atol=1e-12)
+    assert radius == pytest.approx(np.sort(d)[(len(d) + 1) // 2 - 1], abs=1e-12)
+    assert sum(asked) <= 300 + 20
