@@ -272,5 +272,7 @@ def e2(spark, sf_dir):
     kept = cut_lineage(kept.join(seen.where("n_cells >= 3").select("gene_id"), "gene_id", "left_semi"))
     genes = K.select_hvg(P.gene_moments(kept, cells.agg(F.count(F.lit(1)).alias("n"))), 2000).where("highly_variable").select("gene_id")
     pcs = cut_lineage(K.pca_counts(P.log_normalize(kept), cells, genes, 15))
+    # few cells have fewer components: all rows are 0 on those that would follow
+    pcs = pcs.withColumn("pcs", F.slice(F.concat("pcs", F.array_repeat(F.lit(0.0), 15)), 1, 15))
     named = pcs.join(R.cell_labels(spark, sf_dir).withColumnRenamed("cluster", "annotation"), "cell_id")
     return K.sweep(named, [3, 5], [5, 10], "annotation")
