@@ -344,7 +344,12 @@ def g22b(spark, sf_dir):
     """NULL where no length meets the target, as where every point has copies."""
     p = R.points(spark, sf_dir)
     try:
-        length, share = N.search_length(N.radius_distances(p, 12.0), p.count(), 0.5, count="n")
+        if N.repeated_ids(N.locations(p)).isEmpty():
+            length, share = N.search_length(
+                N.radius_distances(p, 12.0), p.count(), 0.5, count="n", shorter=lambda d: N.radius_distances(p, d), extent=lambda d: N.radius_extent(p, d), r=12.0
+            )
+        else:
+            length, share = N.search_length(N.radius_distances(p, 12.0), p.count(), 0.5, count="n")
     except N.NoLength:
         length = share = None
     return spark.createDataFrame([(length, share)], "length double, contribution double")
