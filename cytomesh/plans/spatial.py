@@ -166,8 +166,7 @@ def j16(spark, sf_dir):
 def g9(spark, sf_dir):
     p = R.points(spark, sf_dir)
     e = N.radius_graph(p, _R, carry=["label"]).withColumnRenamed("d", "w")
-    spots = N.radius_graph(N.locations(p), _R).withColumnRenamed("d", "w")  # copies of a point lengthen no edge
-    return N.penalize(e, p, longest=spots.select("w").unionByName(p.sparkSession.range(1).select(F.lit(0.0).alias("w")))).select("src", "dst", r("pen_w"))
+    return N.penalize(e, p, longest=N.longest_edge(p, _R)).select("src", "dst", r("pen_w"))
 
 
 @query(
