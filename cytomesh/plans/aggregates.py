@@ -369,10 +369,15 @@ def f2(spark, sf_dir):
     None,
 )
 def e2(spark, sf_dir):
-    """Position, rank-curve cutoff, gates and doublets combined as in the cell filtering workflow."""
+    """Position, rank-curve cutoff, gates and doublets combined as in the cell filtering workflows.
+
+    ``keep_upper``: counts up to the cutoff of the cells inside; ``keep_upper_rel``: or a shape that makes up for more.
+    ``keep_counts`` is the filter of the workflow that goes by position and counts alone, ``keep_final`` that of the one
+    with gates, which ask for a shape that lets every count pass: there the relaxed flag is kept for the record, as here.
+    """
     from cytomesh.operators.core import cut_lineage, with_scalars
     from cytomesh.operators.joins import points_in_polygons
-    from cytomesh.plans.tables import qc_gate_columns
+    from cytomesh.plans.tables import _QC, qc_gate_columns
 
     q = R.qc_cells(spark, sf_dir)
     pts = R.points(spark, sf_dir).select(F.col("id").alias("cell_id"), "x", "y")
@@ -380,8 +385,11 @@ def e2(spark, sf_dir):
     knee = P.kneedle_cutoff(placed.where("inside"), "total_counts")
     dbl = P.doublet_flag(placed, "transcript_counts", "cell_area")
     gated = P.qc_gates(with_scalars(dbl, knee), qc_gate_columns(), "pass_gates")
-    relaxed = (F.col("total_counts") <= F.col("cutoff")) | (F.col("keep_area") & ~F.col("likely_doublet") & F.col("keep_nucleus"))
-    keep = F.col("inside") & relaxed & F.col("pass_gates") & ~F.col("likely_doublet")
-    return gated.withColumn("keep_final", keep).groupBy("inside", "likely_doublet", "pass_gates", "keep_final").agg(
-        F.count(F.lit(1)).alias("n_cells")
-    )
+    upper = F.col("total_counts") <= F.col("cutoff")
+    relaxed = F.col("keep_upper") | ((F.col("cell_area") <= _QC["area_high"]) & ~F.col("likely_doublet") & F.col("keep_nucleus"))
+    flags = gated.withColumn("keep_upper", upper).withColumn("keep_upper_rel", relaxed).withColumns({
+        "keep_counts": F.col("inside") & F.col("keep_upper"),
+        "keep_final": F.col("inside") & F.col("keep_upper_rel") & F.col("pass_gates") & ~F.col("likely_doublet"),
+    })
+    kept = ["inside", "keep_upper", "keep_upper_rel", "likely_doublet", "pass_gates", "keep_counts", "keep_final"]
+    return flags.groupBy(*kept).agg(F.count(F.lit(1)).alias("n_cells"))
